@@ -13,26 +13,26 @@ from pyspark.sql import functions as F
 FALSY_JSON = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
 
 
-def json_type(value: Column) -> Column:
-    """JSON type of a VARIANT; a number without fraction is ``integer``, null for no value."""
-    name = F.schema_of_variant(value)
-    head = F.substring_index(F.substring_index(name, "(", 1), "<", 1)
-    scale = F.regexp_extract(name, r",(\d+)\)", 1)
-    real = F.try_variant_get(value, "$", "double")
+def type_from_name(name: Column, number: Column) -> Column:
+    """JSON type from the name ``schema_of_variant`` gives and the value as a double."""
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(head == "STRING", "string")
-        .when(head == "BIGINT", "integer")
-        .when(head == "DECIMAL", F.when(scale == "0", "integer").otherwise("number"))
-        .when(head == "DOUBLE", F.when(real == F.rint(real), "integer").otherwise("number"))
-        .when(head == "BOOLEAN", "boolean")
-        .when(head == "VOID", "null")
-        .when(head == "ARRAY", "array")
-        .when(head == "OBJECT", "object")
-        .otherwise("string")
+        F.when(name == "STRING", "string")
+        .when(name == "BIGINT", "integer")
+        .when(name.startswith("DECIMAL"), F.when(name.endswith(",0)"), "integer").otherwise("number"))
+        .when(name == "DOUBLE", F.when(number == F.rint(number), "integer").otherwise("number"))
+        .when(name == "BOOLEAN", "boolean")
+        .when(name == "VOID", "null")
+        .when(name.startswith("ARRAY"), "array")
+        .when(name.startswith("OBJECT"), "object")
+        .when(name.isNotNull(), "string")
     )
 
 
+def json_type(value: Column) -> Column:
+    """JSON type of a VARIANT; a number without fraction is ``integer``, null for no value."""
+    return type_from_name(F.schema_of_variant(value), F.try_variant_get(value, "$", "double"))
+
+
 def is_type(actual: Column, allowed: Column) -> Column:
     """Is the JSON type among the allowed ones? Every integer is also a number."""
     return F.array_contains(allowed, actual) | (

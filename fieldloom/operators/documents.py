@@ -90,47 +90,88 @@ def _walk(layout: TemplateLayout, depth: int, content: Column, path: Column, par
     return _entries(content, item)
 
 
-def _regular(value: Column, leaf: bool) -> Column:
-    return value
-
-
 def _reparse(value: Column, leaf: bool) -> Column:
     return F.from_json(value, "map<string,variant>" if leaf else "map<string,string>")
 
 
+def _flat(layout: TemplateLayout, content: Column, stop: int, leaf) -> Column:
+    """Walk the nested maps of a well-formed document down to ``stop`` levels of keys.
+
+    Nothing but ``transform`` and ``flatten``: one null map on the way makes the result null.
+    """
+    def down(at: Column, path: Column, depth: int) -> Column:
+        def step(e: Column) -> Column:
+            own = _join(path, e["key"])
+            return leaf(own, e["value"]) if depth == stop else down(e["value"], own, depth + 1)
+
+        inner = F.transform(F.map_entries(at), step)
+        return inner if depth == stop else F.flatten(inner)
+
+    return down(content, F.lit(layout.root_array), 1)
+
+
 def parse_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -> DataFrame:
-    """Add ``nodes``: every container and every field of the document with its path.
+    """Take documents apart, one row each.
 
-    A document of the expected shape is read in one pass. One with a misplaced scalar or list
-    is read again level by level, so that its sound parts are kept. ``nodes`` is null for
-    text that is no JSON object.
+    Adds ``leaves`` (path and value of every field), ``containers`` (paths of the objects),
+    ``closed`` (paths where an object should be but something else is), ``named`` (the value of
+    ``table_name``) and ``other_keys`` (further keys at the top). All are null for text that is
+    no JSON object.
+
+    A well-formed document is read in one pass. One with a misplaced scalar, list or null is
+    read again level by level, so that its sound parts are kept.
     """
     root = F.lit(layout.root_array)
+    depth = 2 * len(layout.levels) + 1
     options = {"columnNameOfCorruptRecord": "_bad"}
     schema = f"{_document_schema(layout)}, _bad string"
-    out = docs.withColumn("_doc", F.from_json(F.col(doc), schema, options))
     content = F.col("_doc").getField(layout.root_array)
-    regular = _walk(layout, 0, content, root, _regular)
+    leaf = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
+    path_only = lambda path, value: path
+    opened = docs.withColumn("_doc", F.from_json(F.col(doc), schema, options)).withColumns(
+        {
+            "_keys": F.json_object_keys(F.col(doc)),
+            "_leaves": _flat(layout, content, depth, leaf),
+        }
+    )
+    sound = (F.col("_doc._bad").isNull() & F.col("_leaves").isNotNull()).alias("_sound")
+    inner = [_flat(layout, content, stop, path_only) for stop in range(1, depth)]
+    paths = F.concat(F.array(root), *inner) if inner else F.array(root)
 
     heads = F.from_json(
         F.col(doc), f"{TABLE_NAME} variant, {_quoted(layout.root_array)} string"
     )
     outer = _reparse(heads.getField(layout.root_array), not layout.levels)
-    irregular = _walk(layout, 0, outer, root, _reparse)
-
-    keys = F.json_object_keys(F.col(doc))
-    sound = F.col("_doc._bad").isNull()
-    body = F.when(sound, regular).otherwise(irregular)
-    has_root = F.array_contains(keys, root)
-    is_object = F.when(sound, content.isNotNull()).otherwise(outer.isNotNull())
-    top = F.when(has_root, F.array(_container(root, is_object))).otherwise(_no_nodes())
-    name = F.when(sound, F.col("_doc").getField(TABLE_NAME)).otherwise(heads.getField(TABLE_NAME))
-    others = F.transform(
-        F.filter(keys, lambda k: k != root),
-        lambda k: _node(k, F.when(k == TABLE_NAME, name)),
+    step_by_step = F.concat(
+        F.when(
+            F.array_contains("_keys", root), F.array(_container(root, outer.isNotNull()))
+        ).otherwise(_no_nodes()),
+        _walk(layout, 0, outer, root, _reparse),
+    )
+    split = opened.select(
+        *docs.columns, "_keys", "_leaves", sound,
+        F.when(sound, paths).alias("_paths"),
+        F.when(~sound & F.col("_keys").isNotNull(), step_by_step).alias("_nodes"),
+        F.when(sound, F.col("_doc").getField(TABLE_NAME))
+        .otherwise(heads.getField(TABLE_NAME)).alias("named"),
+    )
+    nodes = F.col("_nodes")
+    found = F.transform(F.filter(nodes, lambda n: n["open"].isNull()), lambda n: leaf(n["path"], n["value"]))
+    chosen = split.select(
+        *docs.columns, "named", "_sound",
+        F.when(F.col("_sound"), F.col("_leaves")).otherwise(found).alias("_leaves"),
+        F.when(F.col("_sound"), F.array_distinct("_paths")).otherwise(
+            F.array_distinct(F.transform(F.filter(nodes, lambda n: n["open"]), lambda n: n["path"]))
+        ).alias("containers"),
+        F.when(~F.col("_sound"), F.array_distinct(
+            F.transform(F.filter(nodes, lambda n: ~n["open"]), lambda n: n["path"]))
+        ).alias("closed"),
+        F.array_except("_keys", F.array(F.lit(TABLE_NAME), root)).alias("other_keys"),
+    )
+    return chosen.select(
+        *docs.columns, "named", _last_wins(F.col("_leaves")).alias("leaves"), "containers",
+        "closed", "other_keys",
     )
-    nodes = F.when(keys.isNotNull(), _last_wins(F.concat(others, top, body)))
-    return out.withColumn("nodes", nodes).drop("_doc")
 
 
 def _last_wins(nodes: Column) -> Column:
@@ -148,17 +189,16 @@ def _last_wins(nodes: Column) -> Column:
 
 def flatten_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -> DataFrame:
     """One row per field value: ``doc_id, template_id, level_keys, property_key, value``."""
-    depth = 2 * len(layout.levels) + 2
     keep = [c for c in ("doc_id", "template_id") if c in docs.columns]
     rows = (
         parse_documents(docs, layout, doc)
-        .select(*keep, F.explode_outer("nodes").alias("node"))
-        .select(*keep, F.split("node.path", PATH_SEP).alias("_parts"), F.col("node.value"))
-        .filter(F.size("_parts") == depth)
+        .select(*keep, F.explode_outer("leaves").alias("_leaf"))
+        .filter("_leaf is not null")
+        .select(*keep, F.split("_leaf.path", PATH_SEP).alias("_parts"), F.col("_leaf.value"))
     )
     return rows.select(
         *keep,
-        F.slice("_parts", 1, depth - 1).alias("level_keys"),
+        F.slice("_parts", 1, F.size("_parts") - 1).alias("level_keys"),
         F.element_at("_parts", -1).alias("property_key"),
         "value",
     )
@@ -187,47 +227,32 @@ RULE_COLUMNS = [
 def contract_rows(index: DataFrame, flat: DataFrame) -> DataFrame:
     """One row per template with all its rules. This is the lookup table for documents.
 
-    ``rules`` maps each path to its parent and its rule (no rule for containers), ``holders``
-    lists the paths that may hold others. A template is one JSON file, so the size of a row is
-    bounded by it.
+    ``rules`` maps the path of each field to its rule, ``holders`` lists the paths of the
+    containers. A template is one JSON file, so the size of a row is bounded by it.
     """
-    fields = last_per_path(index)
-    leaves = fields.select(
-        "template_id", "title", "path",
-        F.array_join("level_keys", PATH_SEP).alias("parent"),
-        F.struct(*RULE_COLUMNS).alias("rule"),
+    fields = (
+        last_per_path(index)
+        .groupBy("template_id")
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("path", F.struct(*RULE_COLUMNS)))
+            ).alias("rules"),
+            F.collect_list(F.when(F.col("is_virtual"), F.col("path"))).alias("virtual_paths"),
+        )
     )
-    no_rule = F.lit(None).cast(leaves.schema["rule"].dataType).alias("rule")
-    above = F.slice("level_keys", 1, F.size("level_keys") - 1)
     containers = (
         flat.filter("kind = 'container'")
-        .select(
-            "template_id", "title", F.array_join("level_keys", PATH_SEP).alias("path"),
-            F.array_join(above, PATH_SEP).alias("parent"), no_rule,
-        )
-        .dropDuplicates(["template_id", "path"])
-    )
-    entry = F.struct("path", F.struct("parent", "rule").alias("about"))
-    named = F.struct(
-        F.lit(TABLE_NAME).alias("path"),
-        F.struct(F.lit("").alias("parent"), no_rule).alias("about"),
-    )
-    holds = lambda e: e["about"]["rule"].isNull() | e["about"]["rule"]["is_virtual"]
-    return (
-        leaves.unionByName(containers)
         .groupBy("template_id")
-        .agg(F.max("title").alias("table_title"), F.collect_list(entry).alias("entries"))
-        .select(
-            "template_id",
-            "table_title",
-            F.map_from_entries(F.array_append("entries", named)).alias("rules"),
-            F.transform(F.filter("entries", holds), lambda e: e["path"]).alias("holders"),
-            F.transform(
-                F.filter("entries", lambda e: e["about"]["rule"]["is_virtual"]),
-                lambda e: e["path"],
-            ).alias("virtual_paths"),
+        .agg(
+            F.max("title").alias("table_title"),
+            F.collect_set(F.array_join("level_keys", PATH_SEP)).alias("holders"),
         )
     )
+    no_rules = F.from_json(F.lit("{}"), fields.schema["rules"].dataType)
+    return containers.join(fields, "template_id", "left").select(
+        "template_id", "table_title", F.coalesce("rules", no_rules).alias("rules"), "holders",
+        F.coalesce("virtual_paths", F.array().cast("array<string>")).alias("virtual_paths"),
+    )
 
 
 def line_up(
@@ -236,53 +261,137 @@ def line_up(
 ) -> DataFrame:
     """Documents against their contracts, still one row per document.
 
-    ``aligned`` maps every path that either side knows to ``state, value, open, rule``; it is
-    null, with the reason in ``trouble``, where a document cannot be compared. ``state`` is ``match``, ``missing`` (in the contract only) or ``unexpected`` (in the document only). Below a missing or
-    unexpected container nothing is reported again: such paths have the state ``absent``.
+    ``aligned`` maps the path of every field that either side knows, and of every container that
+    is not as it should be, to ``state, value, rule``. It is null, with the reason in
+    ``trouble``, where a document cannot be compared at all. States:
+
+    * ``match``: a field the contract knows, with its value
+    * ``missing``: in the contract only; ``unexpected``: in the document only
+    * ``absent``: below a missing, unexpected or closed container, which is reported itself
+    * ``closed``: a container that holds no object
+    * ``misnamed``: the ``table_name`` is not that of the template
     """
     kept = ["doc_id", "template_id", *keep]
-    parsed = parse_documents(docs.select(*kept, doc), layout, doc)
+    parsed = parse_documents(docs.select(*kept, doc), layout, doc).drop(doc)
     joined = lookup_join(parsed, contracts, ["template_id"], "left", **join)
     trouble = F.when(F.col("rules").isNull(), "unknown template").when(
-        F.col("nodes").isNull(), "unreadable"
+        F.col("leaves").isNull(), "unreadable"
     )
-    expanded = joined.select(
-        *kept, "table_title", "rules", "holders", trouble.alias("trouble"),
+    usable = joined.select(
+        *kept, "table_title", "rules", "holders", "named", "containers", "closed", "other_keys",
+        "virtual_paths", trouble.alias("trouble"),
         F.when(
-            trouble.isNull(),
-            _last_wins(F.concat("nodes", _virtual_nodes(F.col("nodes"), F.col("virtual_paths")))),
-        ).alias("nodes"),
-        _open_paths(F.col("nodes"), F.col("virtual_paths")).alias("_open"),
+            F.size("virtual_paths") > 0,
+            F.concat("leaves", _virtual_leaves(F.col("leaves"), F.col("virtual_paths"))),
+        ).otherwise(F.col("leaves")).alias("leaves"),
+        F.array_except("holders", F.concat("containers", _list("closed"))).alias("_lost"),
+        F.array_except(F.concat("containers", _list("closed")), "holders").alias("_extra"),
     )
-    values = F.map_from_entries(
+    is_open = F.concat(
+        F.col("containers"),
         F.transform(
-            "nodes",
-            lambda n: F.struct(n["path"], F.struct(n["value"], n["open"], F.lit(True).alias("in"))),
-        )
+            F.filter("leaves", lambda f: F.array_contains("virtual_paths", f["path"])
+                     & _is_object(f["value"])),
+            lambda f: f["path"],
+        ),
     )
+    simple = (
+        (F.size("_lost") == 0) & (F.size("_extra") == 0) & F.col("closed").isNull()
+        & (F.size("virtual_paths") == 0)
+    )
+    values = F.map_from_entries(F.when(F.col("trouble").isNull(), F.col("leaves")))
+
+    def zipped(state) -> Column:
+        return F.map_zip_with(
+            values, F.col("rules"),
+            lambda k, v, r: F.struct(state(k, v, r).alias("state"), v.alias("value"), r.alias("rule")),
+        )
+
+    def simple_state(k: Column, v: Column, r: Column) -> Column:
+        return F.when(v.isNull(), "missing").when(r.isNull(), "unexpected").otherwise("match")
 
-    def state(path: Column, value: Column, about: Column) -> Column:
-        parent = F.regexp_replace(path, f"{PATH_SEP}?[^{PATH_SEP}]*$", "")
-        known = (parent == "") | F.array_contains("holders", parent)
-        shown = (about["parent"] == "") | F.array_contains("_open", about["parent"])
+    def full_state(k: Column, v: Column, r: Column) -> Column:
+        known = F.array_contains(F.concat("holders", "virtual_paths"), _parent(k))
+        shown = F.array_contains("_open", F.array_join(r["level_keys"], PATH_SEP))
         return (
-            F.when(value.isNotNull() & about.isNotNull(), "match")
-            .when(about.isNotNull(), F.when(shown, "missing").otherwise("absent"))
-            .otherwise(F.when(known, "unexpected").otherwise("absent"))
+            F.when(v.isNull(), F.when(shown, "missing").otherwise("absent"))
+            .when(r.isNull(), F.when(known, "unexpected").otherwise("absent"))
+            .otherwise("match")
         )
 
-    aligned = F.map_zip_with(
-        values, F.col("rules"),
-        lambda k, v, r: F.struct(
-            state(k, v, r).alias("state"), v["value"].alias("value"), v["open"].alias("open"),
-            r["rule"].alias("rule"),
+    staged = usable.select(
+        *kept, "table_title", "trouble", "rules", "leaves", "holders", "virtual_paths",
+        simple.alias("_simple"), F.when(~simple, is_open).alias("_open"),
+        _problems(layout).alias("_problems"),
+    )
+    both = staged.select(
+        *kept, "table_title", "trouble", "_problems",
+        F.when(F.col("_simple"), zipped(simple_state)).otherwise(zipped(full_state)).alias("aligned"),
+    )
+    rule_type = contracts.schema["rules"].dataType.valueType
+    as_entries = F.transform(
+        "_problems",
+        lambda p: F.struct(
+            p["path"],
+            F.struct(p["state"].alias("state"), p["value"].alias("value"),
+                     F.lit(None).cast(rule_type).alias("rule")),
         ),
     )
-    return expanded.select(
-        *kept, "table_title", "trouble", F.when(F.col("trouble").isNull(), aligned).alias("aligned")
+    return both.select(
+        *kept, "table_title", "trouble",
+        F.when(
+            F.size("_problems") > 0, F.map_concat("aligned", F.map_from_entries(as_entries))
+        ).otherwise(F.col("aligned")).alias("aligned"),
     )
 
 
+def _list(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
+def _parent(path: Column) -> Column:
+    return F.regexp_replace(path, f"{PATH_SEP}?[^{PATH_SEP}]*$", "")
+
+
+def _problems(layout: TemplateLayout) -> Column:
+    """Containers that are missing, unexpected or closed, and what is wrong at the top."""
+    none = F.lit(None).cast("variant")
+
+    def rows(paths: Column, state: str) -> Column:
+        return F.transform(
+            paths, lambda p: F.struct(p.alias("path"), F.lit(state).alias("state"), none.alias("value"))
+        )
+
+    reached = F.array_union("containers", F.array(F.lit("")))
+    lost = F.filter("_lost", lambda p: F.array_contains(reached, _parent(p)))
+    extra = F.filter("_extra", lambda p: F.array_contains("holders", _parent(p)))
+    closed = F.filter(_list("closed"), lambda p: F.array_contains("holders", p))
+    name = F.try_variant_get("named", "$", "string")
+    wrong = F.when(
+        F.col("named").isNotNull() & ~F.coalesce(name == F.col("table_title"), F.lit(False)),
+        F.array(
+            F.struct(
+                F.lit(TABLE_NAME).alias("path"), F.lit("misnamed").alias("state"),
+                F.col("named").alias("value"),
+            )
+        ),
+    ).otherwise(rows(F.array().cast("array<string>"), ""))
+    unnamed = F.when(F.col("named").isNull(), F.array(F.lit(TABLE_NAME))).otherwise(
+        F.array().cast("array<string>")
+    )
+    sound = (
+        (F.size("_lost") == 0) & (F.size("_extra") == 0) & F.col("closed").isNull()
+        & F.col("named").isNotNull() & (F.size("other_keys") == 0)
+    )
+    full = F.concat(
+        rows(F.concat(unnamed, lost), "missing"),
+        rows(F.concat(F.col("other_keys"), extra), "unexpected"),
+        rows(closed, "closed"),
+        wrong,
+    )
+    return F.when(sound, wrong).otherwise(full)
+
+
 def align_documents(
     docs: DataFrame, contracts: DataFrame, layout: TemplateLayout, doc: str = "doc",
     keep: tuple[str, ...] = (), **join,
@@ -290,17 +399,21 @@ def align_documents(
     """:func:`line_up` in long form: one row per document and path.
 
     A document that cannot be compared has one row whose ``state`` is the trouble: ``unreadable``
-    (no JSON object) or ``unknown template``.
+    (no JSON object) or ``unknown template``. ``is_first`` marks one row of each document.
     """
     kept = ["doc_id", "template_id", *keep]
     return (
         line_up(docs, contracts, layout, doc, keep, **join)
-        .select(*kept, "table_title", "trouble", F.explode_outer("aligned").alias("path", "_n"))
         .select(
-            *kept, "table_title", F.coalesce("path", F.lit("")).alias("path"),
+            *kept, "trouble",
+            F.posexplode_outer(F.map_entries("aligned")).alias("_pos", "_e"),
+        )
+        .select(*kept, "trouble", "_pos", F.col("_e.key").alias("path"), F.col("_e.value").alias("_n"))
+        .select(
+            *kept, F.coalesce("path", F.lit("")).alias("path"),
             F.coalesce("_n.state", "trouble").alias("state"),
-            F.col("_n.value").alias("value"), F.col("_n.open").alias("open"),
-            F.col("_n.rule").alias("rule"),
+            F.col("_n.value").alias("value"), F.col("_n.rule").alias("rule"),
+            (F.coalesce("_pos", F.lit(0)) == 0).alias("is_first"),
         )
     )
 
@@ -309,32 +422,21 @@ def _is_object(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("OBJECT")
 
 
-def _open_paths(nodes: Column, virtual_paths: Column) -> Column:
-    """Paths that hold an object in this document."""
-    held = F.filter(
-        nodes,
-        lambda n: F.coalesce(n["open"], F.lit(False))
-        | (F.array_contains(virtual_paths, n["path"]) & _is_object(n["value"])),
-    )
-    return F.transform(held, lambda n: n["path"])
-
-
-def _virtual_nodes(nodes: Column, virtual_paths: Column) -> Column:
+def _virtual_leaves(leaves: Column, virtual_paths: Column) -> Column:
     """Fields of virtual containers, one level below the field that holds the object."""
-    holders = F.filter(nodes, lambda n: F.array_contains(virtual_paths, n["path"]))
+    holders = F.filter(leaves, lambda n: F.array_contains(virtual_paths, n["path"]))
 
     def children(n: Column) -> Column:
         inner = F.try_variant_get(n["value"], "$", "map<string,variant>")
         return F.coalesce(
             F.transform(
-                F.map_entries(inner), lambda e: _node(_join(n["path"], e["key"]), e["value"])
+                F.map_entries(inner),
+                lambda e: F.struct(_join(n["path"], e["key"]).alias("path"), e["value"].alias("value")),
             ),
-            _no_nodes(),
+            F.array().cast("array<struct<path:string,value:variant>>"),
         )
 
-    return F.when(F.size(virtual_paths) > 0, F.flatten(F.transform(holders, children))).otherwise(
-        _no_nodes()
-    )
+    return F.flatten(F.transform(holders, children))
 
 
 def field_rows(aligned: DataFrame) -> DataFrame:
@@ -342,6 +444,6 @@ def field_rows(aligned: DataFrame) -> DataFrame:
 
     A missing value is null; JSON null stays a VARIANT null.
     """
-    inner = ("rule", "value", "path", "state", "open", "table_title")
+    inner = ("rule", "value", "path", "state", "is_first")
     others = [c for c in aligned.columns if c not in inner]
     return aligned.filter("rule is not null").select(*others, "path", "state", "value", "rule.*")

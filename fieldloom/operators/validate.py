@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import is_iso_date, is_iso_datetime
-from fieldloom.functions.values import answer_text, is_type, items, json_type
-from fieldloom.operators.documents import TABLE_NAME
+from fieldloom.functions.values import answer_text, is_type, items, type_from_name
 from fieldloom.operators.templates import PATH_SEP
 
 #: A rule of the caller: ``(value, rule) -> Column`` giving an error text, or null when fine.
 #: ``value`` is the VARIANT, ``rule`` a struct with the columns of the field index.
 Rule = Callable[[Column, Column], Column]
 
+#: Label of the errors of the second phase.
+LATE = "custom"
 _ENTRY_KEYS = ("entry", "description")
 
 
@@ -37,10 +38,8 @@ def _datetime_error(value: Column, rule: Column) -> Column:
 DEFAULT_RULES: dict[str, Rule] = {"date": _date_error, "datetime": _datetime_error}
 
 
-def grid_errors(value: Column, enum: Column, max_items: Column) -> Column:
+def grid_errors(rows: Column, enum: Column, max_items: Column) -> Column:
     """Errors of a grid answer: too many rows, rows of another shape, unknown entries."""
-    rows = items(value)
-
     def row_error(item: Column) -> Column:
         shape = F.try_variant_get(item, "$", "map<string,variant>")
         entry = F.try_variant_get(item, "$.entry", "variant")
@@ -49,8 +48,8 @@ def grid_errors(value: Column, enum: Column, max_items: Column) -> Column:
             F.when(shape.isNull(), "grid row is no object")
             .when(entry.isNull() | text.isNull(), "grid row lacks entry or description")
             .when(F.size(shape) > len(_ENTRY_KEYS), "grid row has other keys")
-            .when(json_type(entry) != "string", "grid entry is no text")
-            .when(json_type(text) != "string", "grid description is no text")
+            .when(F.schema_of_variant(entry) != "STRING", "grid entry is no text")
+            .when(F.schema_of_variant(text) != "STRING", "grid description is no text")
             .when(
                 ~F.array_contains(F.coalesce(enum, _none()),
                                   F.try_variant_get(entry, "$", "string")),
@@ -67,78 +66,82 @@ def grid_errors(value: Column, enum: Column, max_items: Column) -> Column:
     )
 
 
-def value_errors(value: Column, rule: Column) -> Column:
-    """Errors of one present value: array of ``<rule>: <text>``, empty when it is fine."""
-    kind = json_type(value)
-    number = F.try_variant_get(value, "$", "double")
-    text = F.try_variant_get(value, "$", "string")
-    enum = rule["enum"]
-    enum_on = rule["enum_on"]
-    parts = items(value)
-    shown = F.coalesce(answer_text(value), F.lit("null"))
-    sound_type = is_type(kind, rule["json_types"])
+def with_value_parts(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Take a VARIANT column apart once: ``_kind, _number, _text, _items`` for the checks below."""
+    v = F.col(value)
+    name = F.col("_name")
+    return (
+        rows.withColumns(
+            {
+                "_name": F.schema_of_variant(v),
+                "_number": F.try_variant_get(v, "$", "double"),
+            }
+        )
+        .withColumns(
+            {
+                "_kind": type_from_name(name, F.col("_number")),
+                "_text": F.when(name == "STRING", F.try_variant_get(v, "$", "string")),
+                "_items": F.when(name.startswith("ARRAY"), items(v)),
+            }
+        )
+        .drop("_name")
+    )
+
+
+def scalar_errors(value: Column, rule: Column) -> list[Column]:
+    """Errors of type, range, option and constant, for rows from :func:`with_value_parts`."""
+    kind, number, text = F.col("_kind"), F.col("_number"), F.col("_text")
+    sound = is_type(kind, rule["json_types"])
     type_error = F.when(
-        ~sound_type,
+        ~sound,
         F.concat(F.lit("type: "), kind, F.lit(" is not "), F.array_join(rule["json_types"], "/")),
     )
-    numeric = kind.isin("integer", "number") & sound_type
-    low = F.when(
-        numeric & (number < rule["minimum"]), F.concat(F.lit("minimum: "), shown)
-    )
-    high = F.when(
-        numeric & (number > rule["maximum"]), F.concat(F.lit("maximum: "), shown)
-    )
+    shown = F.coalesce(text, F.to_json(value), F.lit("null"))
+    numeric = kind.isin("integer", "number") & sound
+    low = F.when(numeric & (number < rule["minimum"]), F.concat(F.lit("minimum: "), shown))
+    high = F.when(numeric & (number > rule["maximum"]), F.concat(F.lit("maximum: "), shown))
     member = F.when(
-        (enum_on == "value") & (kind == "string") & ~F.array_contains(enum, text),
+        (rule["enum_on"] == "value") & ~F.array_contains(rule["enum"], text),
         F.concat(F.lit("enum: "), text),
     )
     const = F.when(
-        rule["const"].isNotNull() & ((kind != "string") | (text != rule["const"])),
+        rule["const"].isNotNull() & ~F.coalesce(text == rule["const"], F.lit(False)),
         F.concat(F.lit("const: "), shown),
     )
-    odd_items = F.filter(
+    return [type_error, low, high, member, const]
+
+
+def item_errors(rule: Column) -> Column:
+    """Errors of list items and grid rows, for rows from :func:`with_value_parts`."""
+    parts, enum = F.col("_items"), rule["enum"]
+    odd = F.filter(
         parts,
         lambda i: ~F.is_variant_null(i)
-        & ((json_type(i) != "string")
+        & ((F.schema_of_variant(i) != "STRING")
            | (enum.isNotNull() & ~F.array_contains(enum, F.try_variant_get(i, "$", "string")))),
     )
-    item_errors = F.when(
-        (enum_on == "items") & (kind == "array"),
-        F.transform(odd_items, lambda i: F.concat(F.lit("item: "), answer_text(i))),
-    ).otherwise(_none())
-    grid = F.when(
-        (enum_on == "entry") & (kind == "array"),
-        F.transform(
-            grid_errors(value, enum, rule["max_items"]), lambda e: F.concat(F.lit("grid: "), e)
-        ),
-    ).otherwise(_none())
-    return F.array_compact(
-        F.concat(F.array(type_error, low, high, member, const), item_errors, grid)
+    wrong_items = F.transform(odd, lambda i: F.concat(F.lit("item: "), F.coalesce(
+        F.try_variant_get(i, "$", "string"), F.to_json(i))))
+    wrong_rows = F.transform(
+        grid_errors(parts, enum, rule["max_items"]), lambda e: F.concat(F.lit("grid: "), e)
+    )
+    return F.when(parts.isNotNull() & (rule["enum_on"] == "items"), wrong_items).when(
+        parts.isNotNull() & (rule["enum_on"] == "entry"), wrong_rows
     )
 
 
-def structure_errors(
-    state: Column, path: Column, value: Column, is_open: Column, rule: Column, title: Column
-) -> Column:
-    """Errors of the shape of a document at one path."""
-    name = F.try_variant_get(value, "$", "string")
-    return F.array_compact(
-        F.array(
-            F.when(state == "missing", "required: is missing")
-            .when(state == "unexpected", "additional: was unexpected")
-            .when(state == "unreadable", "document: no JSON object")
-            .when(state == "unknown template", "template: unknown"),
-            F.when(
-                (state == "match") & rule.isNull() & (path != TABLE_NAME)
-                & ~F.coalesce(is_open, F.lit(False)),
-                "type: container is no object",
-            ),
-            F.when(
-                (state == "match") & (path == TABLE_NAME)
-                & ~F.coalesce(name == title, F.lit(False)),
-                F.concat(F.lit("const: "), F.coalesce(name, F.lit("null"))),
-            ),
+def structure_error(state: Column, value: Column) -> Column:
+    """Error of the shape of a document at one path, null when there is none."""
+    return (
+        F.when(state == "missing", "required: is missing")
+        .when(state == "unexpected", "additional: was unexpected")
+        .when(state == "closed", "type: container is no object")
+        .when(
+            state == "misnamed",
+            F.concat(F.lit("const: "), F.coalesce(answer_text(value), F.lit("null"))),
         )
+        .when(state == "unreadable", "document: no JSON object")
+        .when(state == "unknown template", "template: unknown")
     )
 
 
@@ -146,28 +149,15 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def first_phase(
-    state: Column, path: Column, value: Column, is_open: Column, rule: Column, title: Column
-) -> Column:
-    """Structure, types, options, ranges and constants: array of ``<rule>: <text>``."""
-    known = (state == "match") & rule.isNotNull()
-    return F.concat(
-        structure_errors(state, path, value, is_open, rule, title),
-        F.when(known, value_errors(value, rule)).otherwise(_none()),
-    )
-
-
 def second_phase(
-    state: Column, value: Column, rule: Column, rules: Mapping[str, Rule] | None = None
+    value: Column, rule: Column, rules: Mapping[str, Rule] | None = None
 ) -> Column:
-    """Dates and the rules of the caller, for values that are there."""
+    """Error of dates and of the rules of the caller, for a value that is there."""
     error = F.lit(None).cast("string")
     for target, check in {**DEFAULT_RULES, **(rules or {})}.items():
         error = F.when(rule["target_type"] == target, check(value, rule)).otherwise(error)
     filled = value.isNotNull() & ~F.is_variant_null(value)
-    return F.array_compact(
-        F.array(F.when((state == "match") & filled, F.concat(F.lit("custom: "), error)))
-    )
+    return F.when(filled, F.concat(F.lit(f"{LATE}: "), error))
 
 
 def _shown(path: Column) -> Column:
@@ -181,66 +171,75 @@ def validate(aligned: DataFrame, rules: Mapping[str, Rule] | None = None) -> Dat
     rules of the caller (by target type, replacing the built-in ones). Extra columns that
     ``align_documents`` kept are passed on. Nothing is shuffled.
     """
-    inner = ("rule", "value", "path", "state", "open", "table_title")
+    inner = ("rule", "value", "path", "state", "is_first")
     kept = [c for c in aligned.columns if c not in inner]
-    state, path, value = F.col("state"), F.col("path"), F.col("value")
-    rule = F.col("rule")
-    first = first_phase(state, path, value, F.col("open"), rule, F.col("table_title"))
-    second = second_phase(state, value, rule, rules)
+    return _violations(aligned, kept, rules, F.lit(False)).filter("phase is not null")
 
-    def tag(phase: int, errors: Column) -> Column:
-        return F.transform(errors, lambda e: F.struct(F.lit(phase).alias("phase"), e.alias("error")))
 
-    return (
+def _violations(
+    aligned: DataFrame, kept: list[str], rules: Mapping[str, Rule] | None, marker: Column
+) -> DataFrame:
+    """Violations, and a row without a phase where ``marker`` holds and nothing is wrong."""
+    value, rule = F.col("value"), F.col("rule")
+    known = F.col("state") == "match"
+    shape = structure_error(F.col("state"), value)
+    parts = with_value_parts(
         aligned.select(
-            *kept, _shown(path).alias("path"), F.concat(tag(1, first), tag(2, second)).alias("_all")
+            *kept, _shown(F.col("path")).alias("path"), "rule", marker.alias("_marker"),
+            shape.alias("_shape"), F.when(known, value).alias("value"),
+            known.alias("_known"),
         )
-        .select(*kept, "path", F.explode_outer("_all").alias("_e"))
+    )
+    known = F.col("_known")
+    # No lambda around these: what stands inside one is not compiled.
+    everything = F.concat(
+        F.array_compact(
+            F.array(
+                F.when(F.col("_marker"), F.lit("")),
+                "_shape",
+                *(F.when(known, e) for e in scalar_errors(value, rule)),
+                F.when(known, second_phase(value, rule, rules)),
+            )
+        ),
+        F.coalesce(item_errors(rule), _none()),
+    )
+    label = F.substring_index("_e", ":", 1)
+    # Computed in a step of its own: as the input of the explode it would not be compiled, and
+    # a filter in front of the explode would evaluate all rules again.
+    return (
+        parts.select(*kept, "path", everything.alias("_errors"))
+        .select(*kept, "path", F.explode_outer("_errors").alias("_e"))
         .filter("_e is not null")
         .select(
-            *kept, F.col("_e.phase").alias("phase"), "path",
-            F.substring_index("_e.error", ":", 1).alias("rule"),
-            F.expr("substring(_e.error, instr(_e.error, ': ') + 2)").alias("message"),
+            *kept,
+            F.when(label == LATE, 2).when(F.col("_e") != "", 1).alias("phase"),
+            "path", label.alias("rule"),
+            F.expr("substring(_e, instr(_e, ': ') + 2)").alias("message"),
         )
     )
 
 
-def verdicts(lined: DataFrame, rules: Mapping[str, Rule] | None = None) -> DataFrame:
-    """One row per document: ``is_valid, error_count, errors``, from :func:`line_up`.
+def verdicts(aligned: DataFrame, rules: Mapping[str, Rule] | None = None) -> DataFrame:
+    """One row per document: ``doc_id, template_id, is_valid, error_count, errors``.
 
-    Phase 2 counts only for documents without an error in phase 1. Everything happens within
-    the row of the document, so nothing is shuffled or grouped.
+    Phase 2 counts only for documents without an error in phase 1. Takes the long form. Before
+    the shuffle each document has shrunk to its id and its errors, and those are put together
+    per partition first.
     """
-    kept = [c for c in lined.columns if c not in ("aligned", "trouble", "table_title")]
-    none = F.lit(None)
-    title, rows = F.col("table_title"), F.map_entries("aligned")
-
-    def lines(path: Column, errors: Column) -> Column:
-        return F.transform(errors, lambda e: F.concat_ws(": ", F.nullif(_shown(path), F.lit("")), e))
-
-    def first(e: Column) -> Column:
-        n = e["value"]
-        errors = first_phase(n["state"], e["key"], n["value"], n["open"], n["rule"], title)
-        return lines(e["key"], errors)
-
-    def second(e: Column) -> Column:
-        n = e["value"]
-        return lines(e["key"], second_phase(n["state"], n["value"], n["rule"], rules))
-
-    broken = structure_errors(
-        F.col("trouble"), F.lit(""), none.cast("variant"), none.cast("boolean"), none, title
-    )
-    one = F.when(F.col("trouble").isNotNull(), broken).otherwise(
-        F.flatten(F.transform(rows, first))
-    )
-    two = F.flatten(F.transform(rows, second))
-    return (
-        lined.select(*kept, one.alias("_one"), "aligned")
-        .select(*kept, F.when(F.size("_one") > 0, F.col("_one")).otherwise(two).alias("_shown"))
-        .select(
-            *kept,
-            (F.size("_shown") == 0).alias("is_valid"),
-            F.size("_shown").cast("bigint").alias("error_count"),
-            F.array_sort("_shown").alias("errors"),
-        )
+    # Each document passes on one row even when nothing is wrong with it.
+    marker = F.col("is_first")
+    errors = _violations(aligned, ["doc_id", "template_id"], rules, marker)
+    line = F.concat_ws(": ", F.nullif("path", F.lit("")), "rule", "message")
+    grouped = errors.groupBy("doc_id", "template_id").agg(
+        F.collect_list(F.when(F.col("phase") == 1, line)).alias("_one"),
+        F.collect_list(F.when(F.col("phase") == 2, line)).alias("_two"),
+    )
+    return grouped.select(
+        "doc_id", "template_id",
+        F.when(F.size("_one") > 0, F.col("_one")).otherwise(F.col("_two")).alias("_shown"),
+    ).select(
+        "doc_id", "template_id",
+        (F.size("_shown") == 0).alias("is_valid"),
+        F.size("_shown").cast("bigint").alias("error_count"),
+        F.array_sort("_shown").alias("errors"),
     )

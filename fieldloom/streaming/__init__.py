@@ -1,0 +1,6 @@
+"""Streams.
+
+There is no operator of its own here. Flattening, lining up and checking documents work row by
+row, so ``line_up``, ``validate`` and ``verdicts`` take a frame from ``spark.readStream`` as they
+take any other, as long as the contracts are a batch table.
+"""
