@@ -28,9 +28,16 @@ def type_from_name(name: Column, number: Column) -> Column:
     )
 
 
+def number_of(name: Column, value: Column) -> Column:
+    """The value as a double if it is a number. Casting texts would raise and catch every time."""
+    numeric = name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
+    return F.when(numeric, F.try_variant_get(value, "$", "double"))
+
+
 def json_type(value: Column) -> Column:
     """JSON type of a VARIANT; a number without fraction is ``integer``, null for no value."""
-    return type_from_name(F.schema_of_variant(value), F.try_variant_get(value, "$", "double"))
+    name = F.schema_of_variant(value)
+    return type_from_name(name, number_of(name, value))
 
 
 def is_type(actual: Column, allowed: Column) -> Column:

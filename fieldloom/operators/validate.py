@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import is_iso_date, is_iso_datetime
-from fieldloom.functions.values import answer_text, is_type, items, type_from_name
+from fieldloom.functions.values import answer_text, is_type, items, number_of, type_from_name
 from fieldloom.operators.templates import PATH_SEP
 
 #: A rule of the caller: ``(value, rule) -> Column`` giving an error text, or null when fine.
@@ -71,12 +71,8 @@ def with_value_parts(rows: DataFrame, value: str = "value") -> DataFrame:
     v = F.col(value)
     name = F.col("_name")
     return (
-        rows.withColumns(
-            {
-                "_name": F.schema_of_variant(v),
-                "_number": F.try_variant_get(v, "$", "double"),
-            }
-        )
+        rows.withColumn("_name", F.schema_of_variant(v))
+        .withColumn("_number", number_of(name, v))
         .withColumns(
             {
                 "_kind": type_from_name(name, F.col("_number")),
@@ -191,15 +187,14 @@ def _violations(
         )
     )
     known = F.col("_known")
-    # No lambda around these: what stands inside one is not compiled.
+    # Nulls stay in the array and go after the explode: functions that drop them are lambdas
+    # inside, and what stands inside a lambda is not compiled.
     everything = F.concat(
-        F.array_compact(
-            F.array(
-                F.when(F.col("_marker"), F.lit("")),
-                "_shape",
-                *(F.when(known, e) for e in scalar_errors(value, rule)),
-                F.when(known, second_phase(value, rule, rules)),
-            )
+        F.array(
+            F.when(F.col("_marker"), F.lit("")),
+            "_shape",
+            *(F.when(known, e) for e in scalar_errors(value, rule)),
+            F.when(known, second_phase(value, rule, rules)),
         ),
         F.coalesce(item_errors(rule), _none()),
     )
