@@ -13,9 +13,10 @@ _CLOSED = '"additionalProperties":false'
 
 
 def json_text(text: Column) -> Column:
-    """A string as a JSON literal."""
+    """A string as a JSON literal, null for null."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    # A missing text shows as a bare null here, a text that reads "null" has its quotes.
+    return F.nullif(F.substring(listed, F.lit(2), F.length(listed) - 2), F.lit("null"))
 
 
 def _list(texts: Column, nullable: bool) -> Column:

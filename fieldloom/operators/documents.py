@@ -208,8 +208,12 @@ def read_path(doc: Column, path: list[str]) -> Column:
     """Value at a fixed path of a VARIANT document; null when a step is missing."""
     value = doc
     for step in path:
-        quoted = step.replace("\\", "\\\\").replace("'", "\\'")
-        value = F.try_variant_get(value, f"$['{quoted}']", "variant")
+        if "'" in step and '"' in step:
+            entries = F.try_variant_get(value, "$", "map<string,variant>")
+            value = F.try_element_at(entries, F.lit(step))
+        else:
+            mark = '"' if "'" in step else "'"
+            value = F.try_variant_get(value, f"$[{mark}{step}{mark}]", "variant")
     return value
 
 
