@@ -1 +1,172 @@
-"""To come."""
+"""Sources and sinks, over files that Spark writes from the tables to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldloom.functions.text import file_safe_name
+from fieldloom.operators.compare import latest_records
+from fieldloom.operators.contract import build_contracts
+from fieldloom.operators.enrich import enrich_from_rows, merge_duplicates, prepare_pairs
+from fieldloom.operators.templates import build_field_index, drop_untyped, flatten_template
+from fieldloom.plans.layout import QUESTIONNAIRE
+from fieldloom.plans.reconcile import reconcile
+from fieldloom.session import shared_folder
+from fieldloom.sources.files import read_key_values, read_pairs, read_templates
+from fieldloom.sources.sinks import (
+    contract_file_name,
+    export_contracts,
+    write_long_report,
+    write_record_report,
+    write_wide_report,
+)
+from registry import query
+from registry.compare_queries import DIFFERENCES, order_differences, order_pair_texts
+from registry.document_queries import ORDER_VIOLATIONS  # noqa: F401
+from registry.inputs import order_contracts, order_flat, order_index, order_templates, table
+from registry.text_queries import clean_sql, strip_sql
+
+
+@query(
+    "guidelines_csv",
+    f"""select cast(conv_id as varchar) as key, cast(turn as varchar) as turn,
+      {clean_sql(strip_sql('text'))} as value from conversations""",
+)
+def guidelines_csv(spark, sf):
+    """Conversations written as one CSV per role and read back, texts with their line breaks."""
+    path = shared_folder(spark, "guidelines")
+    table(spark, sf, "conversations").select(
+        F.concat_ws("/", "conv_id", "turn").alias("Key"), F.lit("").alias("Unused"),
+        F.col("text").alias("Guidelines"),
+    ).write.csv(path, header=True, escape='"', quoteAll=True)
+    rows = read_key_values(spark, path, "KEY", "guidelines", case_insensitive=True)
+    pairs = merge_duplicates(prepare_pairs(rows), "last")
+    parts = F.split("key", "/")
+    return pairs.select(
+        F.get(parts, F.lit(0)).alias("key"), F.get(parts, F.lit(1)).alias("turn"), "value"
+    )
+
+
+@query(
+    "guidelines_enrich",
+    """with o as (select cast(substr(o_orderpriority, 1, 1) as bigint) as template_id, count(*) as n
+      from orders group by 1)
+    select template_id, concat('first ', (select count(*) from orders), '. second ',
+      (select count(*) from orders)) as description from o""",
+)
+def guidelines_enrich(spark, sf):
+    """A guideline file with a repeated key, applied to all questionnaires."""
+    path = shared_folder(spark, "guidelines")
+    counted = table(spark, sf, "orders").agg(F.count("*").cast("string").alias("n"))
+    counted.select(
+        F.explode(F.array(F.lit("first "), F.lit("second "), F.lit(""))).alias("which"), "n"
+    ).select(
+        F.when(F.col("which") == "", " ").otherwise("A_6").alias("Key"),
+        F.concat("which", "n").alias("Guidelines"),
+    ).coalesce(1).write.csv(path, header=True)
+    rows = read_key_values(spark, path, "Key", "Guidelines")
+    index, _ = enrich_from_rows(order_index(spark, sf), rows, "concat", prefix="Cust")
+    return index.filter("key = 'Cust_A_6'").select("template_id", "description")
+
+
+@query(
+    "read_templates",
+    """with t as (select distinct cast(substr(o_orderpriority, 1, 1) as bigint) as template_id,
+      concat('Order ', o_orderpriority) as title from orders)
+    select template_id, title, '3' as version, cast(11 as bigint) as fields from t""",
+)
+def read_templates_query(spark, sf):
+    """Questionnaires written one per file and read back."""
+    path = shared_folder(spark, "templates")
+    order_templates(spark, sf).select(
+        "template_id", F.col("doc").alias("value")
+    ).repartition("template_id").write.partitionBy("template_id").text(path)
+    templates = read_templates(spark, f"{path}/*/", QUESTIONNAIRE, glob="*.txt")
+    index = build_field_index(
+        drop_untyped(flatten_template(templates, QUESTIONNAIRE)), QUESTIONNAIRE
+    )
+    counts = index.groupBy("template_id").agg(F.count("*").alias("fields"))
+    return templates.select("template_id", "title", "version").join(counts, "template_id")
+
+
+@query(
+    "read_pairs",
+    """select 'usable' as what, count(*) as n from orders
+      where o_orderkey % 47 > 0 and o_orderkey % 43 > 0 and o_orderkey % 53 > 0
+    union all select 'left out', count(*) from orders
+      where o_orderkey % 47 = 0 or o_orderkey % 43 = 0 or o_orderkey % 53 = 0""",
+)
+def read_pairs_query(spark, sf):
+    """Record pairs written one per line and read back, good ones and others apart."""
+    path = shared_folder(spark, "pairs")
+    order_pair_texts(spark, sf).select(F.col("doc").alias("value")).write.text(path)
+    usable, left_out = read_pairs(spark, path, glob="*.txt", one_per_line=True)
+    count = lambda frame, name: frame.agg(
+        F.lit(name).alias("what"), F.count("*").alias("n"))
+    return count(usable, "usable").unionByName(count(left_out, "left out"))
+
+
+@query(
+    "write_report",
+    f"""select cast(o_orderkey as varchar) as o_orderkey, field, message from ({DIFFERENCES})""",
+)
+def write_report(spark, sf):
+    """The long report written as CSV and read back."""
+    path = shared_folder(spark, "report")
+    found = order_differences(spark, sf)
+    write_long_report(found.select("o_orderkey", "field", "message"), path)
+    return spark.read.csv(path, header=True, escape='"')
+
+
+@query(
+    "record_report",
+    f"""select field as fields, message from ({DIFFERENCES})
+    where o_orderkey = (select max(o_orderkey) from orders where o_orderkey % 7 = 0)""",
+)
+def record_report(spark, sf):
+    """The report of one record: the last order whose state was changed."""
+    path = shared_folder(spark, "report")
+    newest = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").agg(F.max("o_orderkey")).first()[0]
+    found = order_differences(spark, sf).withColumn("record_key", F.col("o_orderkey").cast("string"))
+    write_record_report(found, str(newest), path)
+    back = spark.read.csv(path, header=True, escape='"')
+    return back.withColumnRenamed(str(newest), "message")
+
+
+@query(
+    "wide_csv",
+    f"""with d as ({DIFFERENCES}), k as (select max(o_orderkey) as a,
+        max(o_orderkey) filter (where o_orderkey % 2 = 0) as b from orders where o_orderkey % 7 = 0)
+    select field as fields, max(case when o_orderkey = k.a then message end) as one,
+      max(case when o_orderkey = k.b then message end) as two
+    from d, k where o_orderkey in (k.a, k.b) group by field""",
+)
+def wide_csv(spark, sf):
+    """The wide report of two records, written as CSV and read back."""
+    path = shared_folder(spark, "report")
+    keys = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").agg(
+        F.max("o_orderkey").alias("a"),
+        F.max(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey"))).alias("b"),
+    ).first()
+    names = [str(keys["a"]), str(keys["b"])]
+    found = order_differences(spark, sf).withColumn("record_key", F.col("o_orderkey").cast("string"))
+    chosen = found.filter(F.col("record_key").isin(*names))
+    write_wide_report(chosen, sorted(set(names)), path)
+    back = spark.read.csv(path, header=True, escape='"')
+    return back.select("fields", F.col(names[0]).alias("one"), F.col(names[1]).alias("two"))
+
+
+@query(
+    "export_contracts",
+    """select distinct concat(substr(o_orderpriority, 1, 1), '_Order_',
+      replace(replace(o_orderpriority, '-', '_'), ' ', '_'), '_schema.json') as file,
+      concat('Order ', o_orderpriority) as title from orders""",
+)
+def export_contracts_query(spark, sf):
+    """Contracts written as files; their names and titles are read back."""
+    path = shared_folder(spark, "contracts")
+    export_contracts(
+        build_contracts(order_index(spark, sf), order_flat(spark, sf), QUESTIONNAIRE), path
+    )
+    back = spark.read.text(path)
+    return back.select("file", F.get_json_object("value", "$.title").alias("title"))
