@@ -17,8 +17,7 @@ from fieldloom.operators.templates import PATH_SEP, last_per_path
 from fieldloom.plans.joins import lookup_join
 from fieldloom.plans.layout import TemplateLayout
 
-_NODE = "struct<path:string,value:variant,open:boolean>"
-_NODES = f"array<{_NODE}>"
+_NODES = "array<struct<path:string,value:variant,open:boolean>>"
 TABLE_NAME = "table_name"
 
 
@@ -34,80 +33,77 @@ def _document_schema(layout: TemplateLayout, leaf: bool = True) -> str:
     return f"{TABLE_NAME} variant, {_quoted(layout.root_array)} {inner}"
 
 
-def _node(path: Column, value: Column) -> Column:
-    """A value at a path."""
-    return F.struct(
-        path.alias("path"), value.alias("value"), F.lit(None).cast("boolean").alias("open")
-    )
-
-
-def _container(path: Column, is_object: Column) -> Column:
-    """A container at a path, and whether it really holds an object."""
-    return F.struct(
-        path.alias("path"), F.lit(None).cast("variant").alias("value"), is_object.alias("open")
-    )
-
-
-def _no_nodes() -> Column:
-    return F.array().cast(_NODES)
+def _text(value: str) -> str:
+    """A Python string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _join(path: Column, key: Column) -> Column:
     return F.concat(path, F.lit(PATH_SEP), key)
 
 
-def _entries(content: Column, make) -> Column:
-    """Nodes of all entries of a map, none for a null map."""
-    nodes = F.flatten(F.transform(F.map_entries(content), make))
-    return F.coalesce(nodes, _no_nodes())
+# The walks below are written as SQL text: one parsed expression instead of hundreds of calls
+# into the JVM for every query that reads documents.
+_SEP = "char(31)"
+_NONE = f"cast(array() as {_NODES})"
 
 
-def _walk(layout: TemplateLayout, depth: int, content: Column, path: Column, parse) -> Column:
-    """Nodes below a container whose entries are items (or properties on the last level)."""
-    if depth == len(layout.levels):
-        leaves = F.transform(
-            F.map_entries(content), lambda e: _node(_join(path, e["key"]), e["value"])
-        )
-        return F.coalesce(leaves, _no_nodes())
-    deeper = depth + 1 < len(layout.levels)
-    child = layout.levels[depth + 1].array if deeper else layout.prop.array
-    last = depth + 1 == len(layout.levels)
+def _node(path: str, value: str) -> str:
+    """A value at a path."""
+    return f"struct({path} as path, {value} as value, cast(null as boolean) as open)"
 
-    def item(e: Column) -> Column:
-        own = _join(path, e["key"])
-        parts = parse(e["value"], False)
 
-        def part(c: Column) -> Column:
-            at = _join(own, c["key"])
-            inside = parse(c["value"], last)
-            below = F.when(c["key"] == child, _walk(layout, depth + 1, inside, at, parse))
-            return F.concat(
-                F.array(_container(at, inside.isNotNull())), F.coalesce(below, _no_nodes())
-            )
+def _container(path: str, is_object: str) -> str:
+    """A container at a path, and whether it really holds an object."""
+    return f"struct({path} as path, cast(null as variant) as value, {is_object} as open)"
 
-        return F.concat(F.array(_container(own, parts.isNotNull())), _entries(parts, part))
 
-    return _entries(content, item)
+def _entries(content: str, name: str, node: str) -> str:
+    """Nodes of all entries of a map, none for a null map."""
+    return f"coalesce(flatten(transform(map_entries({content}), {name} -> {node})), {_NONE})"
 
 
-def _reparse(value: Column, leaf: bool) -> Column:
-    return F.from_json(value, "map<string,variant>" if leaf else "map<string,string>")
+def _reparse(text: str, leaf: bool) -> str:
+    return f"from_json({text}, 'map<string,{'variant' if leaf else 'string'}>')"
 
 
-def _flat(layout: TemplateLayout, content: Column, stop: int, leaf) -> Column:
+def _walk(layout: TemplateLayout, depth: int, content: str, path: str) -> str:
+    """Nodes below a container of a document that is read level by level."""
+    if depth == len(layout.levels):
+        leaf = _node(f"concat({path}, {_SEP}, p.key)", "p.value")
+        return f"coalesce(transform(map_entries({content}), p -> {leaf}), {_NONE})"
+    last = depth + 1 == len(layout.levels)
+    child = layout.prop.array if last else layout.levels[depth + 1].array
+    item, part = f"i{depth}", f"c{depth}"
+    own = f"concat({path}, {_SEP}, {item}.key)"
+    at = f"concat({own}, {_SEP}, {part}.key)"
+    parts = _reparse(f"{item}.value", False)
+    inside = _reparse(f"{part}.value", last)
+    below = (
+        f"case when {part}.key = {_text(child)} then {_walk(layout, depth + 1, inside, at)} "
+        f"else {_NONE} end"
+    )
+    inner = f"concat(array({_container(at, f'{inside} is not null')}), {below})"
+    outer = (
+        f"concat(array({_container(own, f'{parts} is not null')}), {_entries(parts, part, inner)})"
+    )
+    return _entries(content, item, outer)
+
+
+def _flat(layout: TemplateLayout, content: str, stop: int, with_value: bool) -> Column:
     """Walk the nested maps of a well-formed document down to ``stop`` levels of keys.
 
     Nothing but ``transform`` and ``flatten``: one null map on the way makes the result null.
     """
-    def down(at: Column, path: Column, depth: int) -> Column:
-        def step(e: Column) -> Column:
-            own = _join(path, e["key"])
-            return leaf(own, e["value"]) if depth == stop else down(e["value"], own, depth + 1)
-
-        inner = F.transform(F.map_entries(at), step)
-        return inner if depth == stop else F.flatten(inner)
-
-    return down(content, F.lit(layout.root_array), 1)
+    keys = [f"{_SEP}, e{d}.key" for d in range(1, stop + 1)]
+    path = f"concat({_text(layout.root_array)}, {', '.join(keys)})"
+    made = f"struct({path} as path, e{stop}.value as value)" if with_value else path
+    for depth in range(stop, 0, -1):
+        source = content if depth == 1 else f"e{depth - 1}.value"
+        made = f"transform(map_entries({source}), e{depth} -> {made})"
+        if depth < stop:
+            made = f"flatten({made})"
+    return F.expr(made)
 
 
 def parse_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -> DataFrame:
@@ -125,38 +121,39 @@ def parse_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -
     depth = 2 * len(layout.levels) + 1
     options = {"columnNameOfCorruptRecord": "_bad"}
     schema = f"{_document_schema(layout)}, _bad string"
-    content = F.col("_doc").getField(layout.root_array)
-    leaf = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
-    path_only = lambda path, value: path
+    content = f"_doc.{_quoted(layout.root_array)}"
     opened = docs.withColumn("_doc", F.from_json(F.col(doc), schema, options)).withColumns(
         {
             "_keys": F.json_object_keys(F.col(doc)),
-            "_leaves": _flat(layout, content, depth, leaf),
+            "_leaves": _flat(layout, content, depth, True),
         }
     )
-    sound = (F.col("_doc._bad").isNull() & F.col("_leaves").isNotNull()).alias("_sound")
-    inner = [_flat(layout, content, stop, path_only) for stop in range(1, depth)]
+    sound = F.col("_doc._bad").isNull() & F.col("_leaves").isNotNull()
+    inner = [_flat(layout, content, stop, False) for stop in range(1, depth)]
     paths = F.concat(F.array(root), *inner) if inner else F.array(root)
 
-    heads = F.from_json(
-        F.col(doc), f"{TABLE_NAME} variant, {_quoted(layout.root_array)} string"
+    head = f"{TABLE_NAME} variant, {_quoted(layout.root_array)} string"
+    heads = F.from_json(F.col(doc), head)
+    outer = _reparse(
+        f"from_json({_quoted(doc)}, {_text(head)}).{_quoted(layout.root_array)}", not layout.levels
     )
-    outer = _reparse(heads.getField(layout.root_array), not layout.levels)
-    step_by_step = F.concat(
-        F.when(
-            F.array_contains("_keys", root), F.array(_container(root, outer.isNotNull()))
-        ).otherwise(_no_nodes()),
-        _walk(layout, 0, outer, root, _reparse),
+    name = _text(layout.root_array)
+    step_by_step = F.expr(
+        f"concat(case when array_contains(_keys, {name}) then "
+        f"array({_container(name, f'{outer} is not null')}) else {_NONE} end, "
+        f"{_walk(layout, 0, outer, name)})"
     )
     split = opened.select(
-        *docs.columns, "_keys", "_leaves", sound,
+        *docs.columns, "_keys", "_leaves", sound.alias("_sound"),
         F.when(sound, paths).alias("_paths"),
         F.when(~sound & F.col("_keys").isNotNull(), step_by_step).alias("_nodes"),
         F.when(sound, F.col("_doc").getField(TABLE_NAME))
         .otherwise(heads.getField(TABLE_NAME)).alias("named"),
     )
     nodes = F.col("_nodes")
-    found = F.transform(F.filter(nodes, lambda n: n["open"].isNull()), lambda n: leaf(n["path"], n["value"]))
+    found = F.expr(
+        "transform(filter(_nodes, n -> n.open is null), n -> struct(n.path as path, n.value as value))"
+    )
     chosen = split.select(
         *docs.columns, "named", "_sound",
         F.when(F.col("_sound"), F.col("_leaves")).otherwise(found).alias("_leaves"),

@@ -213,38 +213,55 @@ def _ladder(layout: TemplateLayout, source: Column, pick) -> Column:
         value = pick(kind)
         if value is None:
             continue
-        column = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(source == name, column) if out is None else out.when(source == name, column)
+        out = F.when(source == name, value) if out is None else out.when(source == name, value)
     return F.lit(None) if out is None else out
 
 
-def type_map(layout: TemplateLayout, source: Column) -> dict[str, Column]:
-    """Columns that a source type fixes: target type and the rule that goes with it."""
+def _literal(value) -> str:
+    """A Python value as an SQL literal."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return f"{value}D" if isinstance(value, float) else str(value)
+    if isinstance(value, tuple):
+        return f"array({', '.join(map(_literal, value))})"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
+def _case(layout: TemplateLayout, source: str, get, kind: str, default: str = "null") -> Column:
+    """The same for plain values, as one piece of SQL text."""
+    groups: dict[str, list[str]] = {}
+    for name, field_type in layout.types.items():
+        value = get(field_type)
+        if value is not None:
+            groups.setdefault(_literal(value), []).append(_literal(name))
+    arms = " ".join(
+        f"when {source} in ({', '.join(names)}) then {value}" for value, names in groups.items()
+    )
+    return F.expr(f"cast(case {arms} else {default} end as {kind})" if arms else
+                  f"cast({default} as {kind})")
+
 
-    def rule(kind) -> TargetRule:
-        return layout.rules[kind.target]
+def type_map(layout: TemplateLayout, source: str = "prop.type") -> dict[str, Column]:
+    """Columns that a source type fixes: target type and the rule that goes with it."""
 
-    def pick(get):
-        return _ladder(layout, source, lambda kind: get(rule(kind)))
+    def of_rule(get, kind: str, default: str = "null") -> Column:
+        return _case(layout, source, lambda k: get(layout.rules[k.target]), kind, default)
 
     return {
-        "target_type": _ladder(layout, source, lambda k: k.target).cast("string"),
-        "json_types": pick(lambda r: F.array(*map(F.lit, r.json_types))).cast("array<string>"),
-        "minimum": pick(lambda r: r.minimum).cast("double"),
-        "maximum": pick(lambda r: r.maximum).cast("double"),
-        "format": pick(lambda r: r.format).cast("string"),
-        "enum_on": pick(lambda r: r.enum_on).cast("string"),
-        "default_items": pick(lambda r: r.max_items).cast("int"),
-        "is_constant": F.coalesce(pick(lambda r: r.constant or None).cast("boolean"), F.lit(False)),
-        "has_children": F.coalesce(
-            pick(lambda r: r.children or None).cast("boolean"), F.lit(False)
-        ),
-        "is_skipped": F.coalesce(pick(lambda r: r.skip or None).cast("boolean"), F.lit(False)),
-        "description": pick(lambda r: r.description).cast("string"),
-        "needs_options": F.coalesce(
-            _ladder(layout, source, lambda k: k.needs_options or None).cast("boolean"),
-            F.lit(False),
-        ),
+        "target_type": _case(layout, source, lambda k: k.target, "string"),
+        "json_types": of_rule(lambda r: r.json_types, "array<string>"),
+        "minimum": of_rule(lambda r: r.minimum, "double"),
+        "maximum": of_rule(lambda r: r.maximum, "double"),
+        "format": of_rule(lambda r: r.format, "string"),
+        "enum_on": of_rule(lambda r: r.enum_on, "string"),
+        "default_items": of_rule(lambda r: r.max_items, "int"),
+        "is_constant": of_rule(lambda r: r.constant or None, "boolean", "false"),
+        "has_children": of_rule(lambda r: r.children or None, "boolean", "false"),
+        "is_skipped": of_rule(lambda r: r.skip or None, "boolean", "false"),
+        "description": of_rule(lambda r: r.description, "string"),
+        "needs_options": _case(layout, source, lambda k: k.needs_options or None, "boolean", "false"),
     }
 
 
@@ -266,7 +283,7 @@ def _judged(flat: DataFrame, layout: TemplateLayout) -> DataFrame:
     questions = flat.filter((F.col("kind") == "field") & ~F.coalesce(
         source.isin(*layout.ignored_types), F.lit(False)
     ))
-    mapped = questions.select("*", *(c.alias(n) for n, c in type_map(layout, source).items()))
+    mapped = questions.select("*", *(c.alias(n) for n, c in type_map(layout).items()))
     options = F.col("prop.options")
     texts = F.col("choices")
     extracted = _ladder(
