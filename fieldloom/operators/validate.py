@@ -181,7 +181,7 @@ def _violations(
     shape = structure_error(F.col("state"), value)
     parts = with_value_parts(
         aligned.select(
-            *kept, _shown(F.col("path")).alias("path"), "rule", marker.alias("_marker"),
+            *kept, "path", "rule", marker.alias("_marker"),
             shape.alias("_shape"), F.when(known, value).alias("value"),
             known.alias("_known"),
         )
@@ -208,7 +208,7 @@ def _violations(
         .select(
             *kept,
             F.when(label == LATE, 2).when(F.col("_e") != "", 1).alias("phase"),
-            "path", label.alias("rule"),
+            _shown(F.col("path")).alias("path"), label.alias("rule"),
             F.expr("substring(_e, instr(_e, ': ') + 2)").alias("message"),
         )
     )

@@ -21,7 +21,7 @@ from fieldloom.operators.templates import (
 from fieldloom.operators.validate import validate, verdicts
 from fieldloom.plans.layout import QUESTIONNAIRE, FieldType, PropertyNames, TemplateLayout
 from registry import query
-from registry.inputs import order_contracts, order_docs, spread, table
+from registry.inputs import order_contracts, order_docs, spread, stored_once, table
 
 # ------------------------------------------------------------------------------ flat event forms
 
@@ -54,6 +54,10 @@ def contracts_of(templates, layout):
 
 def event_contracts(spark, sf):
     """One form for all events; the choices are the event types there are."""
+    return stored_once(spark, sf, "event_contracts", lambda: _event_contracts(spark, sf))
+
+
+def _event_contracts(spark, sf):
     kinds = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     listed = kinds.agg(F.array_sort(F.collect_list("event_type")).alias("kinds"))
     known = F.to_json(F.filter("kinds", lambda k: k != "error"))

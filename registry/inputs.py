@@ -17,6 +17,7 @@ from fieldloom.operators.templates import (
     read_templates_frame,
 )
 from fieldloom.plans.layout import QUESTIONNAIRE
+from fieldloom.session import stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -145,9 +146,23 @@ def order_index(spark: SparkSession, sf: str) -> DataFrame:
     return build_field_index(order_flat(spark, sf), QUESTIONNAIRE)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    """Contracts are made once per session and kept as a table in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = stored(make(), name)
+    return _STORED[key]
+
+
 def order_contracts(spark: SparkSession, sf: str) -> DataFrame:
-    flat = order_flat(spark, sf)
-    return contract_rows(build_field_index(flat, QUESTIONNAIRE), flat)
+    def make() -> DataFrame:
+        flat = order_flat(spark, sf)
+        return contract_rows(build_field_index(flat, QUESTIONNAIRE), flat)
+
+    return stored_once(spark, sf, "order_contracts", make)
 
 
 # ------------------------------------------------------------------------ one document per order
