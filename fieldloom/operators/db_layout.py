@@ -99,7 +99,7 @@ def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     ordered = F.array_sort(F.transform(known, row))
-    prepared = lined.filter("aligned is not null").select(
+    prepared = lined.filter("trouble is null").select(
         "doc_id", "template_id", "table_title", *keep, ordered.alias("_rows")
     )
     sections = F.array_distinct(F.transform("_rows", lambda r: r["section"]))

@@ -385,11 +385,15 @@ def reverse_map(
         F.map_values("aligned"),
         lambda n: n["rule"].isNotNull() & ~n["rule"]["is_virtual_child"],
     )
-    entries = F.array_sort(F.flatten(F.transform(known, made)))
-    prepared = lined.filter("aligned is not null").select(
-        "doc_id", "template_id", "table_title", entries.alias("_raw")
-    ).select(
-        "doc_id", "template_id", "table_title", _last_stored(F.col("_raw")).alias("_all")
+    # The explode of one item is a border for the optimizer: flattening a column is much cheaper
+    # than flattening the large expression it comes from, whose type is derived again every time.
+    prepared = (
+        lined.filter("trouble is null")
+        .select("doc_id", "template_id", "table_title",
+                F.explode_outer(F.array(F.transform(known, made))).alias("_nested"))
+        .select("doc_id", "template_id", "table_title",
+                F.array_sort(F.flatten("_nested")).alias("_raw"))
+        .select("doc_id", "template_id", "table_title", _last_stored(F.col("_raw")).alias("_all"))
     )
     properties = lambda found: _pairs(F.transform(found, lambda x: x["e"]), as_object)
     prop_name = json_text(F.lit(properties_key))

@@ -96,34 +96,30 @@ def parse_pairs(texts: DataFrame, left: str = "chart", right: str = "stored") ->
         f"{q(right)} struct<ehr_patient_id:string,facility_id:string,"
         "assessments:struct<items:map<string,string>>>"
     )
-    body = F.from_json("doc", schema)
-    chart, stored = body.getField(left), body.getField(right)
-    items = F.map_entries(stored["assessments"]["items"])
-    first = F.get(items, F.lit(0))
-    internal = F.get(chart["json_internal_filled"], F.lit(0))["internal_json"]
-    fallback = F.get_json_object(first["value"], "$.fac_id")
-    facility = F.when(_falsy(stored["facility_id"]), fallback).otherwise(stored["facility_id"])
-    parts = texts.select(
-        "*",
-        body.alias("_b"),
-    ).select(
+    # The explode of one item keeps later filters from being moved in front of the parse, where
+    # they would parse every text again.
+    opened = texts.select("*", F.explode_outer(F.array(F.from_json("doc", schema))).alias("_b"))
+    chart, stored = F.col("_b").getField(left), F.col("_b").getField(right)
+    first = F.get(F.map_entries(stored["assessments"]["items"]), F.lit(0))
+    fallback = F.get_json_object(F.col("_first.value"), "$.fac_id")
+    facility = F.when(_falsy(F.col("_facility")), fallback).otherwise(F.col("_facility"))
+    parts = opened.select(
         *texts.columns,
-        internal.alias("internal"),
+        F.get(chart["json_internal_filled"], F.lit(0))["internal_json"].alias("internal"),
         chart["schema_id"].alias("_schema"),
         F.coalesce(chart["table_name"], F.lit("")).alias("table_name"),
         F.coalesce(chart["state"], F.lit("")).alias("state"),
-        first["key"].alias("_record"),
+        first.alias("_first"),
         stored["ehr_patient_id"].alias("_patient"),
-        facility.alias("_facility"),
-        first["value"].alias("_stored"),
-        (F.json_object_keys("doc").isNull()).alias("_broken"),
-        (stored.isNull()).alias("_alone"),
+        stored["facility_id"].alias("_facility"),
+        (chart.isNull() & stored.isNull() & F.json_object_keys("doc").isNull()).alias("_broken"),
+        stored.isNull().alias("_alone"),
     )
     problem = (
         F.when(F.col("_broken"), "no JSON object")
         .when(_falsy(F.col("internal")) | (F.col("internal") == "{}"), "no filled document")
         .when(F.col("_alone"), "no stored record")
-        .when(F.col("_record").isNull(), "stored record has no items")
+        .when(F.col("_first").isNull(), "stored record has no items")
     )
     return parts.select(
         *[c for c in texts.columns if c != "doc"],
@@ -131,10 +127,10 @@ def parse_pairs(texts: DataFrame, left: str = "chart", right: str = "stored") ->
         lenient_id(F.col("_schema")).alias("template_id"),
         "table_name",
         "state",
-        lenient_id(F.col("_record")).alias("record_id"),
+        lenient_id(F.col("_first.key")).alias("record_id"),
         lenient_id(F.col("_patient")).alias("patient_id"),
-        lenient_id(F.col("_facility")).alias("facility_id"),
-        F.from_json("_stored", STORED_RECORD).alias("stored"),
+        lenient_id(facility).alias("facility_id"),
+        F.from_json("_first.value", STORED_RECORD).alias("stored"),
         problem.alias("problem"),
     )
 
