@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import blank, section_code, split_multi, strip_space
+from fieldloom.functions.text import section_code, split_multi, strip_space
 from fieldloom.functions.values import (
     answer_code,
     answer_text,

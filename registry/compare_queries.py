@@ -9,7 +9,7 @@ from fieldloom.plans.reconcile import keyed_pairs, reconcile
 from fieldloom.sources.files import parse_pairs
 from fieldloom.plans.layout import QUESTIONNAIRE
 from registry import query
-from registry.inputs import order_contracts, order_docs, spread, table
+from registry.inputs import order_contracts, order_docs, table
 
 _FIELDS = ("status", "price", "priority")
 

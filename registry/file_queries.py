@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.functions.text import file_safe_name
-from fieldloom.operators.compare import latest_records
 from fieldloom.operators.contract import build_contracts
 from fieldloom.operators.enrich import enrich_from_rows, merge_duplicates, prepare_pairs
 from fieldloom.operators.templates import build_field_index, drop_untyped, flatten_template
 from fieldloom.plans.layout import QUESTIONNAIRE
-from fieldloom.plans.reconcile import reconcile
 from fieldloom.session import shared_folder
 from fieldloom.sources.files import read_key_values, read_pairs, read_templates
 from fieldloom.sources.sinks import (
-    contract_file_name,
     export_contracts,
     write_long_report,
     write_record_report,
@@ -22,8 +18,7 @@ from fieldloom.sources.sinks import (
 )
 from registry import query
 from registry.compare_queries import DIFFERENCES, order_differences, order_pair_texts
-from registry.document_queries import ORDER_VIOLATIONS  # noqa: F401
-from registry.inputs import order_contracts, order_flat, order_index, order_templates, table
+from registry.inputs import order_flat, order_index, order_templates, table
 from registry.text_queries import clean_sql, strip_sql
 
 
