@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +22,18 @@ def build_session(app: str = "fieldloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, *parts: str) -> str:
-    """A new path below the folder that the cluster shares (``spark.checkpoint.dir``)."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir`` or, where that is unset, a
+    folder in the warehouse, which driver and executors also share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        # One machine only, as in tests: any folder of it is shared.
-        root = tempfile.gettempdir()
-    return "/".join([root.rstrip("/"), "fieldloom", uuid.uuid4().hex, *parts])
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, *parts: str) -> str:
+    """A new path below the folder that the cluster shares."""
+    return "/".join([shared_root(spark), "fieldloom", uuid.uuid4().hex, *parts])
 
 
 def stored(frame: DataFrame, name: str = "table") -> DataFrame:
