@@ -11,6 +11,7 @@ from fieldloom.llm.common import table
 from fieldloom.llm.exact_dedup import exact_dedup
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.mixing import mix_to_targets
+from fieldloom.llm.quality import quality_scores
 from fieldloom.llm.sharding import hilbert_shards
 from fieldloom.llm.url_filter import filter_urls
 
@@ -101,6 +102,15 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+# --- 3: quality ------------------------------------------------------------------------------
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document, learned from the labels that are not held out."""
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 # --- 7: shards -------------------------------------------------------------------------------
 
 
