@@ -91,12 +91,11 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     values, owner = mixed(rolled[keep]), words.text[keep]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        for j, t in enumerate(short):
-            x = np.uint64(int(counts[t]))
-            for w in h[first[t] : first[t] + counts[t]]:
-                x = (x * np.uint64(_P) + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
-            extra[j] = x
+        extra = counts[short].astype(np.uint64)
+        for k in range(width - 1):
+            has = counts[short] > k
+            at = np.minimum(first[short] + k, n - 1)
+            extra = np.where(has, extra * np.uint64(_P) + h[at], extra)
         values, owner = np.concatenate([values, mixed(extra)]), np.concatenate([owner, short])
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]

@@ -11,6 +11,7 @@ from fieldloom.llm.common import table
 from fieldloom.llm.exact_dedup import exact_dedup
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.mixing import mix_to_targets
+from fieldloom.llm.ngram_join import near_duplicates
 from fieldloom.llm.quality import quality_scores
 from fieldloom.llm.sharding import hilbert_shards
 from fieldloom.llm.url_filter import filter_urls
@@ -111,6 +112,16 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# --- 5: near copies --------------------------------------------------------------------------
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every document under links of Jaccard similarity 0.8 or more."""
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 # --- 7: shards -------------------------------------------------------------------------------
 
 
