@@ -14,6 +14,7 @@ from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import near_duplicates
 from fieldloom.llm.quality import quality_scores
 from fieldloom.llm.sharding import hilbert_shards
+from fieldloom.llm.suffix_dedup import repeated_spans
 from fieldloom.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,18 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# --- 4: repeated strings ---------------------------------------------------------------------
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses of strings of 50 bytes that an earlier document has."""
+    found = repeated_spans(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # --- 5: near copies --------------------------------------------------------------------------
 
 
