@@ -19,6 +19,9 @@ _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: White space and every other ASCII sign that is neither letter nor digit.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -52,9 +55,9 @@ def in_blocks(frame: pd.DataFrame, column: str, most: int = 4 << 20) -> Iterator
 class Words:
     """The words of a block of texts: hashes, and the text that each lies in."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, ends: np.ndarray, apart: np.ndarray = _SPACE) -> None:
         n = len(data)
-        space = _SPACE[data]
+        space = apart[data]
         inside = np.zeros(n + 1, bool)
         inside[:n] = ~space
         cut = np.zeros(n + 1, bool)
