@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
+from fieldloom.llm.decontaminate import benchmark_matches
 from fieldloom.llm.exact_dedup import exact_dedup
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.mixing import mix_to_targets
@@ -135,6 +136,16 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+# --- 6: benchmark passages -------------------------------------------------------------------
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    found = benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "overlap", "answer", "similarity", "at")
+
+
 # --- 7: shards -------------------------------------------------------------------------------
 
 
