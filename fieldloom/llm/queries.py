@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import table
 from fieldloom.llm.decontaminate import benchmark_matches
 from fieldloom.llm.exact_dedup import exact_dedup
+from fieldloom.llm.html_wrapper import extract_pages
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import near_duplicates
@@ -191,6 +192,16 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+# --- 9: page texts ---------------------------------------------------------------------------
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, by its host's wrapper."""
+    found = extract_pages(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
 # --- 10: mixing ------------------------------------------------------------------------------
 
 #: Wanted shares of tokens. What is not named counts together.
