@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,14 +75,16 @@ def statistics(texts: pd.Series) -> np.ndarray:
     return np.where((ends > starts)[:, None], out, 0.0)
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` and the statistics as an array."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("stats", T.ArrayType(T.FloatType()))])
+    kept = docs.select(*keep)
+    names = kept.columns
+    schema = T.StructType([*kept.schema, T.StructField("stats", T.ArrayType(T.FloatType()))])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in in_blocks(batch, "_text"):
-                yield rows[keep].assign(stats=list(statistics(rows["_text"]).astype(np.float32)))
+                yield rows[names].assign(stats=list(statistics(rows["_text"]).astype(np.float32)))
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInPandas(work, schema)
 
@@ -154,8 +156,9 @@ def quality_scores(
     threshold: float = 0.3,
     folds: int = 5,
     seed: int = 7,
+    keep: Sequence[Column] = (),
 ) -> DataFrame:
-    """Rows ``id, held_out, score, predicted`` for every row of ``docs``.
+    """Rows ``id, held_out, score, predicted`` for every row of ``docs``, with the columns ``keep``.
 
     Scores estimate the chance of label 1 and lie in 0 to 1; ``predicted`` is 1 from ``threshold``
     on. Only statistics of the whole text are inputs, never labels, ids or other columns. Labels of
@@ -170,8 +173,8 @@ def quality_scores(
     calibration works on counts of labels by ``BINS`` cells of the raw score, computed the same way
     from models fitted without the rows they score: the sums are kept for two halves.
     """
-    spark = docs.sparkSession
-    stats = stored(with_statistics(docs, [id_col], text_col), "stats")
+    stats = stored(with_statistics(docs, [F.col(id_col), *keep], text_col), "stats")
+    names = [c for c in stats.columns if c != "stats"]
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
     held = F.coalesce(fold == 0, F.lit(False))
     wanted = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_y")).dropna()
@@ -190,7 +193,7 @@ def quality_scores(
     count, ones = (total[0], total[1]) if len(total) else (0, 0)
     if count == 0 or ones in (0, count):
         flat = float(ones / count) if count else 0.5
-        return stats.select(id_col, held.alias("held_out"), F.lit(flat).alias("score"), F.lit(int(flat >= threshold)).alias("predicted"))
+        return stats.select(*names, held.alias("held_out"), F.lit(flat).alias("score"), F.lit(int(flat >= threshold)).alias("predicted"))
     k = len(STATISTICS)
     mean = total[2 : 2 + k] / count
     scale = np.sqrt(np.maximum(total[2 + k :] / count - mean**2, 1e-12))
@@ -237,8 +240,8 @@ def quality_scores(
             raw = features(array(batch)) @ model
             # Calibrated, with a trace of the raw score so that rows of one step keep their order.
             value = 0.999 * np.interp(raw, centre, level) + 0.001 * np.clip((raw - low) / (high - low), 0, 1)
-            yield batch[[id_col]].assign(score=np.clip(value, 0, 1))
+            yield batch[names].assign(score=np.clip(value, 0, 1))
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(stats.schema[c] for c in names), T.StructField("score", T.DoubleType())])
     return stats.mapInPandas(score, schema).select(
-        id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        *names, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

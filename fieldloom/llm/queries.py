@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldloom.llm.common import table
 from fieldloom.llm.decontaminate import benchmark_matches
 from fieldloom.llm.exact_dedup import exact_dedup
@@ -218,3 +219,11 @@ MIX_FRACTION = 0.5
 def op10_mix_targets(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_to_targets(table(spark, folder, "documents"), MIX_TARGETS, MIX_FRACTION)
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
+# --- the pipeline ----------------------------------------------------------------------------
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
