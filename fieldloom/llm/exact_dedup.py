@@ -17,6 +17,8 @@ _ROCKS = {
     # One pool of memory for all states of an executor; the rest of a state lies on its disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else every state takes megabytes of disk in advance, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
