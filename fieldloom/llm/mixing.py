@@ -47,14 +47,12 @@ def rake(mass: np.ndarray, targets: Sequence[np.ndarray], budget: float, rounds:
             now = kept.sum(axis=others)
             # What a category cannot give is shared among those that can.
             want, limit = target * budget, mass.sum(axis=others)
-            for _ in range(len(target)):
-                short = want > limit
-                rest = budget - limit[short].sum()
+            short = np.zeros(len(target), bool)
+            while (want > limit)[~short].any():
+                short |= want > limit
                 share = target[~short].sum()
-                new = np.where(short, limit, target * (rest / share) if share > 0 else 0)
-                if np.allclose(new, want, rtol=1e-12, atol=0):
-                    break
-                want = new
+                rest = max(0.0, budget - limit[short].sum())
+                want = np.where(short, limit, target * (rest / share) if share > 0 else 0.0)
             factor = np.divide(want, now, out=np.zeros_like(now), where=now > 0)
             shape = [-1 if a == axis else 1 for a in range(mass.ndim)]
             kept = np.minimum(kept * factor.reshape(shape), mass)
