@@ -72,7 +72,7 @@ def bitmap(ids: DataFrame, bits: int = 26) -> np.ndarray:
 
     schema = "chunk int, page binary"
     rows = ids.select("id").filter("id is not null").mapInPandas(marks, schema)
-    full = np.zeros(max(_CHUNK, (1 << bits) // 8), np.uint8)
+    full = np.zeros(-(-(1 << bits) // (8 * _CHUNK)) * _CHUNK, np.uint8)
     for chunk, page in rows.groupBy("chunk").applyInPandas(merged, schema).toLocalIterator():
         full[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(page, np.uint8)
     return full
@@ -129,3 +129,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+# --- the same filter in built-in functions only ----------------------------------------------
+
+#: Words of 64 bits: a table of as many rows at most, whatever the set.
+_WORDS = 1 << 18
+
+
+def bit_table(hashes: DataFrame) -> DataFrame:
+    """The set of a long column ``id`` as rows (_word, _bits): at most ``2**18``, so it may be
+    broadcast. Ids that share a bit pass the filter as well: what follows must check again."""
+    return hashes.filter("id is not null").groupBy(F.pmod("id", F.lit(_WORDS)).cast("int").alias("_word")).agg(
+        F.bit_or(_bit(F.col("id"))).alias("_bits"))
+
+
+def _bit(hash_: Column) -> Column:
+    place = F.pmod(F.shiftright(hash_, 40), F.lit(64)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def with_hit(frame: DataFrame, bits: DataFrame, hash_: Column) -> DataFrame:
+    """``frame`` with ``_hit``: whether the hash may be in the set (never false for a member)."""
+    columns = frame.columns
+    marked = frame.withColumn("_h", hash_).withColumn("_word", F.pmod("_h", F.lit(_WORDS)).cast("int"))
+    return marked.join(F.broadcast(bits), "_word", "left").select(
+        *columns, (F.coalesce("_bits", F.lit(0)).bitwiseAND(_bit(F.col("_h"))) != 0).alias("_hit"))

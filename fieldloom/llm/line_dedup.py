@@ -5,62 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import bit_table, with_hit
+from fieldloom.session import stored
+
 WILD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The words of a line (parted by spaces, tabs and carriage returns) joined by single spaces;
-    a word with a digit is a variable field."""
-    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
-    plain = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(plain)
-
+    """Words with a digit are variable fields."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
-def _md5(text: Column) -> Column:
-    return F.unhex(F.md5(text))
 
+def _lines(text: Column) -> Column:
+    """Lines of a text, their words (parted by spaces, tabs, carriage returns) joined by one space."""
+    odd = text.contains("  ") | text.contains("\t") | text.contains("\r")
+    text = F.when(odd, F.regexp_replace(text, r"[ \t\r]+", " ")).otherwise(text)
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.split(F.trim(text), "\n")
 
-def mask_lines(docs: DataFrame, depth: int, min_tokens: int, text_col: str) -> DataFrame:
-    """Columns of ``docs`` with ``_no, _masked, _leaf`` for every line of ``min_tokens`` words.
 
-    The leaf is the place in the tree: the number of words, then the first ``depth`` words.
-    """
+def placed_lines(docs: DataFrame, depth: int, min_tokens: int, text_col: str) -> DataFrame:
+    """``_no, _line, _leaf`` for every line of ``min_tokens`` words or more, with the columns of
+    ``docs`` but the text. The leaf is the place in the tree: the number of words, then the first
+    ``depth`` words."""
     keep = [c for c in docs.columns if c != text_col]
-    lines = docs.select(*keep, F.posexplode(F.split(F.col(text_col), "\n")).alias("_no", "_line"))
-    lines = lines.select(*keep, "_no", masked(F.col("_line")).alias("_masked"))
-    spaces = F.length("_masked") - F.length(F.replace("_masked", F.lit(" "), F.lit("")))
-    lines = lines.withColumn("_words", spaces + 1).filter(F.col("_words") >= min_tokens)
-    leaf = F.concat_ws(" ", F.col("_words").cast("string"), F.substring_index("_masked", " ", depth))
-    return lines.select(*keep, "_no", "_masked", _md5(leaf).alias("_leaf"))
-
-
-def _patterns(lines: DataFrame, constant_share: float, similarity: float) -> DataFrame:
-    """For each leaf of distinct lines, its words with null at variable places (``_pattern``)."""
-    count = lines.groupBy("_leaf").agg(F.count("*").alias("_lines"))
-    words = lines.select("_leaf", F.posexplode(F.split("_masked", " ")).alias("_at", "_word"))
+    lines = docs.select(*keep, F.posexplode(_lines(F.col(text_col))).alias("_no", "_line"))
+    words = F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
+    lead = masked(F.substring_index("_line", " ", depth))
+    return lines.filter(words >= min_tokens).select(*keep, "_no", "_line", F.concat_ws(" ", words.cast("string"), lead).alias("_leaf"))
+
+
+def _patterns(each: DataFrame, constant_share: float, similarity: float) -> DataFrame:
+    """For each leaf of several lines: at which places a word is constant (``_pattern``), or null
+    where too few places are."""
+    several = each.groupBy("_leaf").agg(F.count("*").alias("_lines")).filter("_lines > 1")
+    words = each.join(several.select("_leaf"), "_leaf").select("_leaf", F.posexplode(F.split("_masked", " ")).alias("_at", "_word"))
     tops = words.groupBy("_leaf", "_at", "_word").agg(F.count("*").alias("_n")).groupBy("_leaf", "_at").agg(F.max("_n").alias("_top"))
-    fixed = tops.join(count, "_leaf").select("_leaf", "_at", (F.col("_top") >= constant_share * F.col("_lines")).alias("_fixed"))
+    fixed = tops.join(several, "_leaf").select("_leaf", "_at", (F.col("_top") >= constant_share * F.col("_lines")).alias("_fixed"))
     by_leaf = fixed.groupBy("_leaf").agg(
         F.sort_array(F.collect_list(F.struct("_at", "_fixed"))).getField("_fixed").alias("_pattern"),
         F.avg(F.col("_fixed").cast("int")).alias("_share"))
     return by_leaf.select("_leaf", F.when(F.col("_share") >= similarity, F.col("_pattern")).alias("_pattern"))
 
 
-def recurring_lines(
-    docs: DataFrame, depth: int, min_tokens: int, constant_share: float, similarity: float, id_col: str, text_col: str
-) -> DataFrame:
-    """Rows (_leaf, _line, _keeper): lines whose template two documents have, with the smallest id."""
-    lines = mask_lines(docs.select(id_col, text_col), depth, min_tokens, text_col)
-    shared = (
-        lines.groupBy("_leaf").agg(F.min(id_col).alias("_a"), F.max(id_col).alias("_b")).filter("_a < _b").select("_leaf")
-    )
-    each = lines.join(shared, "_leaf").groupBy("_leaf", "_masked").agg(F.min(id_col).alias("_a"), F.max(id_col).alias("_b"))
-    patterns = _patterns(each, constant_share, similarity)
-    template = F.when(F.col("_pattern").isNull(), F.col("_masked")).otherwise(F.array_join(
-        F.zip_with(F.split("_masked", " "), "_pattern", lambda w, fixed: F.when(fixed, w).otherwise(WILD)), " "))
-    placed = each.join(patterns, "_leaf").select("_leaf", _md5(F.col("_masked")).alias("_line"), _md5(template).alias("_template"), "_a", "_b")
-    recurring = placed.groupBy("_leaf", "_template").agg(F.min("_a").alias("_keeper"), F.max("_b").alias("_b")).filter("_keeper < _b")
-    return placed.select("_leaf", "_template", "_line").join(recurring, ["_leaf", "_template"]).select("_leaf", "_line", "_keeper")
+def _recurring(each: DataFrame, constant_share: float, similarity: float) -> DataFrame:
+    """Rows (_leaf, _key, _keeper): lines whose template two documents have, with the smallest id."""
+    wild = F.array_join(F.zip_with(F.split("_masked", " "), "_pattern", lambda w, fixed: F.when(fixed, w).otherwise(WILD)), " ")
+    template = F.when(F.col("_pattern").isNull(), F.col("_masked")).otherwise(wild)
+    placed = each.join(_patterns(each, constant_share, similarity), "_leaf", "left").select(
+        "_leaf", "_key", F.unhex(F.md5(template)).alias("_template"), "_a", "_b")
+    found = placed.groupBy("_leaf", "_template").agg(F.min("_a").alias("_keeper"), F.max("_b").alias("_z")).filter("_keeper < _z")
+    return placed.join(found, ["_leaf", "_template"]).select("_leaf", "_key", "_keeper")
 
 
 def line_dedup(
@@ -85,28 +80,36 @@ def line_dedup(
     lines but don't make lines recur. An empty table gives no rows; other columns pass through,
     and those named like a new one are replaced.
 
-    Built-in functions only. A line in a third of all documents is one row for each task before it
-    is shuffled. Texts meet the numbers of their dropped lines at the end, by id and hash.
+    Built-in functions only. Leaves of several documents are found first, from counts; of all other
+    lines nothing more is shuffled (a table of bits of fixed size sorts them out, a join makes it
+    exact). A line in a third of all documents is one row for each task before it is shuffled. Only
+    texts that lose lines meet the numbers of these lines, by id and hash.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(id_col), F.col(text_col))
-    found = recurring_lines(docs, depth, min_tokens, constant_share, similarity, id_col, text_col)
-    lines = mask_lines(keyed, depth, min_tokens, text_col)
-    lost = (
-        lines.select("_id", "_hash", id_col, "_no", "_leaf", _md5(F.col("_masked")).alias("_line"))
-        .join(found, ["_leaf", "_line"])
+    marks = {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)}
+    lines = placed_lines(docs.select(id_col, text_col).withColumns(marks), depth, min_tokens, text_col)
+    shared = stored(
+        lines.groupBy("_leaf").agg(F.min(id_col).alias("_a"), F.max(id_col).alias("_b")).filter("_a < _b").select("_leaf"), "leaves")
+    likely = with_hit(lines, bit_table(shared.select(F.xxhash64("_leaf").alias("id"))), F.xxhash64("_leaf")).filter("_hit").drop("_hit")
+    line = masked(F.col("_line"))
+    known = stored(
+        likely.join(shared, "_leaf").select("_id", "_hash", id_col, "_no", "_leaf", line.alias("_masked"))
+        .withColumn("_key", F.unhex(F.md5("_masked"))), "lines")
+    each = stored(known.groupBy("_leaf", "_key").agg(
+        F.first("_masked").alias("_masked"), F.min(id_col).alias("_a"), F.max(id_col).alias("_b")), "each")
+    lost = stored(
+        known.drop("_masked").join(_recurring(each, constant_share, similarity), ["_leaf", "_key"])
         .filter(~F.col(id_col).eqNullSafe(F.col("_keeper")))
-        .groupBy("_id", "_hash").agg(F.collect_set("_no").alias("_lost"))
-    )
-    every = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("_lost"))
+        .groupBy("_id", "_hash").agg(F.collect_set("_no").alias("_lost")), "lost")
+    every = with_hit(docs.withColumns(marks), bit_table(lost.select(F.xxhash64("_id", "_hash").alias("id"))), F.xxhash64("_id", "_hash"))
+    whole = every.filter("not _hit").withColumn("_lost", F.lit(None).cast("array<int>"))
+    cut = every.filter("_hit").join(lost, ["_id", "_hash"], "left")
+    columns = [*docs.columns, "_lost"]
+    parts = F.split(F.col(text_col), "\n")
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_lost")))
     text = F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(F.col("_parts"), i)), "\n"))
-    joined = docs.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(text_col)}).join(lost, ["_id", "_hash"], "left")
-    return joined.withColumn("_parts", every).select(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n"))
+    return whole.select(*columns).union(cut.select(*columns)).withColumn("_parts", parts).select(
         *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_parts")), F.lit(0)).alias("n_lines"),
-        F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias("n_dropped"),
-    )
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_parts")).alias("n_lines"),
+        F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).alias("n_dropped"))
