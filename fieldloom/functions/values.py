@@ -80,8 +80,8 @@ def answer_text(value: Column) -> Column:
         .when(name == "BOOLEAN", F.initcap(plain))
         .when(
             name.startswith("DECIMAL"),
-            # A whole decimal this short was written with a fraction; a longer one is an integer.
-            F.when(plain.contains(".") | (F.length(plain) >= 19), plain).otherwise(
+            # Whole numbers within 64 bits are integers already, so these had a fraction of zero.
+            F.when(plain.contains(".") | plain.try_cast("bigint").isNull(), plain).otherwise(
                 F.concat(plain, F.lit(".0"))
             ),
         )
@@ -116,10 +116,6 @@ def normalize_answer(value: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def is_empty_answer(value: Column) -> Column:
-    return normalize_answer(value) == ""
-
-
 def list_answer(value: Column) -> Column:
     """Multi-select answer as a list of texts: a list, or a comma separated string."""
     from fieldloom.functions.text import split_multi

@@ -110,10 +110,14 @@ def difference_message(left: Column, right: Column, left_text: Column, right_tex
 
 def _judge(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     parts = [F.col(c) for c in ("left_value", "right_value", "left_text", "right_text")]
+    kind, message = difference(*parts), difference_message(*parts, F.col("kind"))
+    if "_problem" in rows.columns:
+        kind = F.when(F.col("_problem").isNotNull(), "problem").otherwise(kind)
+        message = F.coalesce("_problem", message)
     return (
-        rows.withColumn("kind", difference(*parts))
+        rows.withColumn("kind", kind)
         .filter("kind is not null")
-        .withColumn("message", difference_message(*parts, F.col("kind")))
+        .withColumn("message", message)
         .select(
             *keys, "field", "left_value", "right_value", "left_text", "right_text", "kind", "message"
         )
@@ -167,12 +171,17 @@ def compare_rows(
     return _judge(rows, keys)
 
 
+def _problem(column: str | None) -> Column:
+    return (F.col(column) if column else F.lit(None).cast("string")).alias("_problem")
+
+
 def compare_pairs(
-    pairs: DataFrame, left: str, right: str, keep: Sequence[str] = ()
+    pairs: DataFrame, left: str, right: str, keep: Sequence[str] = (), problem: str | None = None
 ) -> DataFrame:
     """Differences of records that come with both sides in one row (arrays of ``record_fields``).
 
-    The two sides are matched by hash inside the row; nothing is shuffled.
+    The two sides are matched by hash inside the row; nothing is shuffled. A pair with a text in
+    the column ``problem`` comes out as one row of kind ``problem`` with that message.
     """
     as_map = lambda c: F.map_from_entries(
         F.transform(c, lambda f: F.struct(f["field"], F.struct(f["value"], f["text"])))
@@ -186,29 +195,37 @@ def compare_pairs(
         ),
     )
     rows = (
-        pairs.select(*keep, F.explode_outer(both).alias("field", "_b"))
-        .filter("_b.left_value is not null")
-        .select(*keep, "field", "_b.*")
+        pairs.select(*keep, _problem(problem), F.explode_outer(both).alias("field", "_b"))
+        .filter("_b.left_value is not null or _problem is not null")
+        .select(*keep, "_problem", "field", "_b.*")
     )
     return _judge(rows, keep)
 
 
 def latest_records(records: DataFrame, key: str = "record_key", order: str = "file") -> DataFrame:
-    """One row per record key: the file that sorts last wins.
+    """Exactly one row per record key: the file that sorts last wins, then, of rows of one file,
+    the one with the greatest hash (rows that are equal in all columns are one).
 
     Only the keys that occur more than once are looked up again, so the records themselves are
     not shuffled for the sake of a few repeated ones.
     """
     repeated = (
         records.groupBy(key)
-        .agg(F.count("*").alias("_uses"), F.max(order).alias("_last"))
+        .agg(F.count("*").alias("_uses"), F.max(F.struct(F.col(order), _row_hash(records).alias("_hash"))).alias("_last"))
         .filter("_uses > 1")
         .select(key, "_last")
     )
     joined = lookup_join(records, repeated, [key])
-    return joined.filter(F.col("_last").isNull() | (F.col(order) == F.col("_last"))).select(
-        *records.columns
-    )
+    this = F.struct(F.col(order), _row_hash(records).alias("_hash"))
+    last = joined.filter(F.col("_last").isNotNull() & (this == F.col("_last"))).select(*records.columns)
+    once = last.groupBy(key).agg(F.first(F.struct(*records.columns)).alias("_r")).select("_r.*")
+    return joined.filter("_last is null").select(*records.columns).unionByName(once.select(*records.columns))
+
+
+def _row_hash(records: DataFrame) -> Column:
+    """A hash of the parts of a row that can be hashed."""
+    plain = [c for c, kind in records.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*plain)
 
 
 def difference_counts(differences: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -220,12 +237,11 @@ def difference_counts(differences: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def run_summary(records: DataFrame, differences: DataFrame, skipped: DataFrame) -> DataFrame:
     """One row: records compared, records skipped, differences found."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return (
-        count(records, "processed")
-        .crossJoin(count(skipped, "skipped"))
-        .crossJoin(count(differences, "differences"))
-    )
+    names = ("processed", "skipped", "differences")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+              for df, name in zip((records, skipped, differences), names, strict=True)]
+    every = counts[0].union(counts[1]).union(counts[2])
+    return every.agg(*(F.sum(F.when(F.col("what") == n, F.col("n"))).alias(n) for n in names))
 
 
 def wide_report(

@@ -73,6 +73,9 @@ def db_responses(fields: DataFrame) -> DataFrame:
 def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Nested records: ``doc_id, template_id, sections``, built within the row of a document.
 
+    A document in trouble (unknown template, unreadable text) has null sections, and the reason in
+    ``trouble``.
+
     Sections come in document order, groups ordered by their number, a group without any
     question that has a place in this layout is left out.
     """
@@ -99,8 +102,8 @@ def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     ordered = F.array_sort(F.transform(known, row))
-    prepared = lined.filter("trouble is null").select(
-        "doc_id", "template_id", "table_title", *keep, ordered.alias("_rows")
+    prepared = lined.select(
+        "doc_id", "template_id", "table_title", "trouble", *keep, ordered.alias("_rows")
     )
     sections = F.array_distinct(F.transform("_rows", lambda r: r["section"]))
 
@@ -122,7 +125,7 @@ def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     return prepared.select(
-        "doc_id", "template_id", "table_title", *keep,
+        "doc_id", "template_id", "table_title", "trouble", *keep,
         F.transform(sections, section).alias("sections"),
     )
 
@@ -151,8 +154,3 @@ def with_metadata(
         F.struct(F.create_map(record_id.cast("string"), item).alias("items")).alias("assessments")
     )
     return records.withColumn("record", wrapped).drop("sections")
-
-
-def first_response(responses: Column) -> Column:
-    """Only the first response of a question counts."""
-    return F.get(responses, F.lit(0))

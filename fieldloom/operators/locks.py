@@ -31,7 +31,7 @@ def value_type(value: Column) -> Column:
     """Type keyword of a lock value. Unlike the type rule, 5.0 is a number here."""
     name = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
-    whole = ~text.contains(".") & (F.length(text) >= 19)
+    whole = ~text.contains(".") & text.try_cast("bigint").isNull()
     return (
         F.when(name == "STRING", "string")
         .when(name == "BIGINT", "integer")

@@ -361,7 +361,8 @@ def reverse_map(
     state: str | None = "draft",
     sets: Mapping[str, Mapping[str, Formatter]] | None = None,
 ) -> DataFrame:
-    """Documents in the layout of the source system: ``doc_id, template_id, result`` (JSON text).
+    """Documents in the layout of the source system: ``doc_id, template_id, result`` (JSON text) and
+    ``trouble``: why a document has no result (unknown template, unreadable text), else null.
 
     Takes :func:`line_up` and stays within its rows. With ``group_as`` the entries are grouped
     by their top container (entries without one are left out), else they form one list under
@@ -388,12 +389,12 @@ def reverse_map(
     # The explode of one item is a border for the optimizer: flattening a column is much cheaper
     # than flattening the large expression it comes from, whose type is derived again every time.
     prepared = (
-        lined.filter("trouble is null")
-        .select("doc_id", "template_id", "table_title",
+        lined
+        .select("doc_id", "template_id", "table_title", "trouble",
                 F.explode_outer(F.array(F.transform(known, made))).alias("_nested"))
-        .select("doc_id", "template_id", "table_title",
+        .select("doc_id", "template_id", "table_title", "trouble",
                 F.array_sort(F.flatten("_nested")).alias("_raw"))
-        .select("doc_id", "template_id", "table_title", _last_stored(F.col("_raw")).alias("_all"))
+        .select("doc_id", "template_id", "table_title", "trouble", _last_stored(F.col("_raw")).alias("_all"))
     )
     properties = lambda found: _pairs(F.transform(found, lambda x: x["e"]), as_object)
     prop_name = json_text(F.lit(properties_key))
@@ -433,7 +434,8 @@ def reverse_map(
     body = F.concat(json_text(F.lit(data_name)), F.lit(":"), data)
     return prepared.select(
         "doc_id", "template_id",
-        F.concat(F.lit("{"), F.concat_ws(",", *head, body), F.lit("}")).alias("result"),
+        F.when(F.col("trouble").isNull(), F.concat(F.lit("{"), F.concat_ws(",", *head, body), F.lit("}"))).alias("result"),
+        "trouble",
     )
 
 

@@ -43,11 +43,24 @@ def _field(item: Column, name: str | None) -> Column:
     return item.getField(name) if name else F.lit(None).cast("string")
 
 
+def _raw_items(text: Column) -> Column:
+    """JSON text of an array -> the texts of its items; null if it is no readable array."""
+    return F.from_json(F.when(_is_list(text), text), "array<string>")
+
+
+def _is_object(text: Column) -> Column:
+    return F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
+
+
 def _items(text: Column, names: list[str | None]) -> Column:
-    """JSON text of an array of objects -> array of structs of raw texts; null if no array."""
+    """JSON text of an array -> its objects as structs of raw texts; null if no array.
+
+    Items are read one by one, so that one that is no object leaves the others alone
+    (:func:`template_faults` lists it).
+    """
     unique = list(dict.fromkeys(n for n in names if n))
-    schema = "array<struct<" + ",".join(f"{_quoted(n)}:string" for n in unique) + ">>"
-    return F.from_json(F.when(_is_list(text), text), schema)
+    schema = "struct<" + ",".join(f"{_quoted(n)}:string" for n in unique) + ">"
+    return F.transform(F.filter(_raw_items(text), _is_object), lambda item: F.from_json(item, schema))
 
 
 def _walk(layout: TemplateLayout, depth: int, text: Column, path: Column, top: Column,
@@ -64,11 +77,20 @@ def _walk(layout: TemplateLayout, depth: int, text: Column, path: Column, top: C
     if depth == len(layout.levels):
         p = layout.prop
         names = [p.key, p.id, p.name, p.title, p.type, p.options, p.length]
-        props = _items(text, names)
+        other = {n: k.options_field for n, k in layout.types.items() if k.options_field}
+        props = _items(text, [*names, *other.values()])
         labels = [part.split(" ")[0] for part in _PROP.split(", ")]
 
+        def options(item: Column) -> Column:
+            # Of types that keep their options elsewhere, from there.
+            found = _field(item, p.options)
+            for kind, name in other.items():
+                found = F.when(_field(item, p.type) == kind, _field(item, name)).otherwise(found)
+            return found
+
         def leaf(item: Column) -> Column:
-            prop = F.struct(*(_field(item, n).alias(a) for n, a in zip(names, labels)))
+            parts = (options(item) if a == "options" else _field(item, n) for n, a in zip(names, labels))
+            prop = F.struct(*(c.alias(a) for c, a in zip(parts, labels)))
             return node("field", path, prop, holder, title)
 
         return F.transform(props, leaf)
@@ -115,6 +137,7 @@ def _node_type() -> str:
 
 def read_templates_frame(frame: DataFrame, layout: TemplateLayout, doc: str = "doc") -> DataFrame:
     """Parse the head of each template: id, title, version and the text of the outer array.
+    ``is_readable`` tells whether the text is a JSON object.
 
     ``template_id`` is kept when the frame has one, else it is taken from the template.
     """
@@ -135,6 +158,7 @@ def read_templates_frame(frame: DataFrame, layout: TemplateLayout, doc: str = "d
         out.withColumn("raw_title", at(layout.schema_name))
         .withColumn("version", at(layout.schema_version))
         .withColumn("body", at(layout.root_array))
+        .withColumn("is_readable", F.json_object_keys(doc).isNotNull())
         .drop("_head")
     )
 
@@ -143,8 +167,8 @@ def container_counts(templates: DataFrame, layout: TemplateLayout) -> DataFrame:
     """Items of the top container: all of them, and those with a key that are really used."""
     first = layout.levels[0] if layout.levels else None
     key = first.key if first else layout.prop.key
-    items = _items(F.col("body"), [key])
-    used = F.filter(items, lambda item: ~blank(item.getField(key)))
+    items = _raw_items(F.col("body"))
+    used = F.filter(_items(F.col("body"), [key]), lambda item: ~blank(item.getField(key)))
     count = lambda arr: F.coalesce(F.size(arr).cast("bigint"), F.lit(0).cast("bigint"))
     return templates.select(
         "template_id",
@@ -186,6 +210,56 @@ def flatten_template(templates: DataFrame, layout: TemplateLayout) -> DataFrame:
     )
 
 
+_FAULT = "array<struct<at:array<string>,item:int,reason:string>>"
+
+
+def _faults(layout: TemplateLayout, depth: int, text: Column, path: Column) -> Column:
+    """What cannot be read in one array and below it."""
+    fault = lambda item, reason: F.struct(
+        path.alias("at"), item.cast("int").alias("item"), F.lit(reason).alias("reason"))
+    raw = _raw_items(text)
+    whole = F.when(text.isNotNull() & raw.isNull(), F.array(fault(F.lit(None), "no readable list")))
+    odd = F.filter(
+        F.transform(raw, lambda item, i: F.when(~_is_object(item), fault(i, "item is no object"))),
+        lambda f: f.isNotNull())
+    own = F.concat(F.coalesce(whole, F.array().cast(_FAULT)), F.coalesce(odd, F.array().cast(_FAULT)))
+    if depth == len(layout.levels):
+        return own
+    level = layout.levels[depth]
+    child = layout.levels[depth + 1].array if depth + 1 < len(layout.levels) else layout.prop.array
+
+    def inside(item: Column) -> Column:
+        name = clean_text(_field(item, level.name)) if level.name else F.lit(None).cast("string")
+        below = F.concat(path, F.array(container_label(_field(item, level.key), name), F.lit(child)))
+        return _faults(layout, depth + 1, _field(item, child), below)
+
+    keyed = F.filter(_items(text, [level.key, level.name, child]), lambda item: ~blank(_field(item, level.key)))
+    return F.concat(own, F.coalesce(F.flatten(F.transform(keyed, inside)), F.array().cast(_FAULT)))
+
+
+def template_faults(templates: DataFrame, layout: TemplateLayout) -> DataFrame:
+    """Parts of templates that cannot be read: ``template_id, path, item, reason``.
+
+    Takes :func:`read_templates_frame`. ``item`` counts from 0 in the array at ``path``; null means
+    the array, or the whole template. What is around such a part is used all the same.
+    """
+    head = F.when(~F.col("is_readable"), F.lit("template is no JSON object")).when(
+        F.col("body").isNull(), F.lit("template has no fields"))
+    none = F.array().cast("array<string>")
+    found = F.when(head.isNotNull(), F.array(F.struct(
+        none.alias("at"), F.lit(None).cast("int").alias("item"), head.alias("reason")))).otherwise(
+        _faults(layout, 0, F.col("body"), F.array(F.lit(layout.root_array))))
+    return templates.select("template_id", F.explode(found).alias("_f")).select(
+        "template_id", F.array_join("_f.at", ".").alias("path"), "_f.item", "_f.reason")
+
+
+def _odd_options(options: Column) -> Column:
+    """Whether a list of options holds something else than texts and objects."""
+    kinds = F.from_json(F.when(_is_list(options), options), "array<variant>")
+    return F.exists(kinds, lambda o: F.coalesce(
+        ~(F.schema_of_variant(o) == "STRING") & ~F.schema_of_variant(o).startswith("OBJECT"), F.lit(True)))
+
+
 def _choices(options: Column) -> Column:
     """Option list -> array<struct<text,value>>: plain strings, or objects with text and value."""
     pair = "array<struct<responseText:string,responseValue:string>>"
@@ -305,10 +379,16 @@ def _judged(flat: DataFrame, layout: TemplateLayout) -> DataFrame:
         .when(F.col("target_type").isNull(), "no mapping for type")
         .when(F.col("needs_options") & options.isNull(), "options required")
         .when(F.col("needs_options") & texts.isNull(), "options unreadable")
+        .when(F.col("needs_options") & _no_extractor(layout, source) & _odd_options(options), "option is no text")
     )
     return mapped.withColumn("reason", reason).withColumn("key", F.col("prop.key"))
 
 
+def _no_extractor(layout: TemplateLayout, source: Column) -> Column:
+    own = [n for n, k in layout.types.items() if k.extract is not None]
+    return ~source.isin(*own) if own else F.lit(True)
+
+
 def drop_untyped(flat: DataFrame) -> DataFrame:
     """Leave out placeholder questions without a type."""
     return flat.filter((F.col("kind") != "field") | ~blank(F.col("prop.type")))

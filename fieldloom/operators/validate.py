@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +22,36 @@ Rule = Callable[[Column, Column], Column]
 
 #: Label of the errors of the second phase.
 LATE = "custom"
-_ENTRY_KEYS = ("entry", "description")
+
+
+def text_rule(check: Callable[[str], str | None]) -> Rule:
+    """A rule from a Python function of one text, run in batches; null when it finds nothing.
+
+    What it raises becomes the error of that value, and the others are checked all the same.
+    """
+    def safe(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return check(text)
+        except Exception as error:  # noqa: BLE001  whatever a caller's function raises
+            return f"rule failed: {type(error).__name__}: {error}"
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([safe(t) for t in texts], dtype=object)
+
+    return lambda value, rule: run(F.try_variant_get(value, "$", "string"))
 
 
 def _date_error(value: Column, rule: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return F.when(~is_iso_date(text), F.concat(F.lit("Invalid ISO date format: "), text))
+    return F.when(~is_iso_date(text), F.concat(F.lit("no ISO date: "), text))
 
 
 def _datetime_error(value: Column, rule: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
-    return F.when(~is_iso_datetime(text), F.concat(F.lit("Invalid ISO datetime format: "), text))
+    return F.when(~is_iso_datetime(text), F.concat(F.lit("no ISO date and time: "), text))
 
 
 #: Rules that run only on documents whose structure is sound, by target type.
@@ -39,31 +59,31 @@ DEFAULT_RULES: dict[str, Rule] = {"date": _date_error, "datetime": _datetime_err
 
 
 def grid_errors(rows: Column, enum: Column, max_items: Column) -> Column:
-    """Errors of a grid answer: too many rows, rows of another shape, unknown entries."""
-    def row_error(item: Column) -> Column:
+    """Every error of a grid answer, with the number of the row (from 0): too many rows, rows of
+    another shape, parts of another type, unknown entries."""
+    def row_errors(item: Column, at: Column) -> Column:
         shape = F.try_variant_get(item, "$", "map<string,variant>")
         entry = F.try_variant_get(item, "$.entry", "variant")
         text = F.try_variant_get(item, "$.description", "variant")
-        return (
-            F.when(shape.isNull(), "grid row is no object")
-            .when(entry.isNull() | text.isNull(), "grid row lacks entry or description")
-            .when(F.size(shape) > len(_ENTRY_KEYS), "grid row has other keys")
-            .when(F.schema_of_variant(entry) != "STRING", "grid entry is no text")
-            .when(F.schema_of_variant(text) != "STRING", "grid description is no text")
-            .when(
-                ~F.array_contains(F.coalesce(enum, _none()),
-                                  F.try_variant_get(entry, "$", "string")),
-                F.concat(F.lit("grid entry not among the options: "),
-                         F.try_variant_get(entry, "$", "string")),
-            )
+        entry_text = F.when(F.schema_of_variant(entry) == "STRING", F.try_variant_get(entry, "$", "string"))
+        extra = F.size(shape) > F.when(entry.isNotNull(), 1).otherwise(0) + F.when(text.isNotNull(), 1).otherwise(0)
+        unknown = ~F.array_contains(F.coalesce(enum, _none()), F.coalesce(entry_text, F.lit("")))
+        errors = F.array(
+            F.when(shape.isNull(), "is no object"),
+            F.when(shape.isNotNull() & entry.isNull(), "lacks entry"),
+            F.when(shape.isNotNull() & text.isNull(), "lacks description"),
+            F.when(extra, "has other keys"),
+            F.when(entry.isNotNull() & entry_text.isNull(), "entry is no text"),
+            F.when(F.schema_of_variant(text) != "STRING", "description is no text"),
+            F.when(entry.isNotNull() & unknown,
+                   F.concat(F.lit("entry not among the options: "), F.coalesce(entry_text, F.to_json(entry)))),
         )
+        return F.transform(F.array_compact(errors), lambda e: F.concat(F.lit("row "), at.cast("string"), F.lit(" "), e))
 
     too_many = F.when(
         F.size(rows) > max_items, F.concat(F.lit("more rows than "), max_items.cast("string"))
     )
-    return F.array_compact(
-        F.concat(F.array(too_many), F.array_distinct(F.transform(rows, row_error)))
-    )
+    return F.concat(F.array_compact(F.array(too_many)), F.flatten(F.transform(rows, row_errors)))
 
 
 def with_value_parts(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -97,8 +117,9 @@ def scalar_errors(value: Column, rule: Column) -> list[Column]:
     low = F.when(numeric & (number < rule["minimum"]), F.concat(F.lit("minimum: "), shown))
     high = F.when(numeric & (number > rule["maximum"]), F.concat(F.lit("maximum: "), shown))
     member = F.when(
-        (rule["enum_on"] == "value") & ~F.array_contains(rule["enum"], text),
-        F.concat(F.lit("enum: "), text),
+        (rule["enum_on"] == "value") & (kind != "null")
+        & ~F.array_contains(rule["enum"], F.coalesce(text, F.lit(""))),
+        F.concat(F.lit("enum: "), shown),
     )
     const = F.when(
         rule["const"].isNotNull() & ~F.coalesce(text == rule["const"], F.lit(False)),
@@ -110,14 +131,17 @@ def scalar_errors(value: Column, rule: Column) -> list[Column]:
 def item_errors(rule: Column) -> Column:
     """Errors of list items and grid rows, for rows from :func:`with_value_parts`."""
     parts, enum = F.col("_items"), rule["enum"]
-    odd = F.filter(
-        parts,
-        lambda i: ~F.is_variant_null(i)
-        & ((F.schema_of_variant(i) != "STRING")
-           | (enum.isNotNull() & ~F.array_contains(enum, F.try_variant_get(i, "$", "string")))),
-    )
-    wrong_items = F.transform(odd, lambda i: F.concat(F.lit("item: "), F.coalesce(
-        F.try_variant_get(i, "$", "string"), F.to_json(i))))
+    def wrong(item: Column, at: Column) -> Column:
+        text = F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string"))
+        unknown = enum.isNotNull() & ~F.array_contains(enum, F.coalesce(text, F.lit("")))
+        shown = F.coalesce(text, F.to_json(item))
+        place = F.concat(F.lit("item: "), at.cast("string"), F.lit(" "))
+        return F.array(
+            F.when(~F.is_variant_null(item) & text.isNull(), F.concat(place, F.lit("is no text: "), shown)),
+            F.when(~F.is_variant_null(item) & unknown, F.concat(place, F.lit("is no option: "), shown)),
+        )
+
+    wrong_items = F.array_compact(F.flatten(F.transform(parts, wrong)))
     wrong_rows = F.transform(
         grid_errors(parts, enum, rule["max_items"]), lambda e: F.concat(F.lit("grid: "), e)
     )

@@ -14,11 +14,6 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def estimated_bytes(frame: DataFrame) -> int:
-    """Catalyst's size estimate of a frame. Cheap, but no bound: explodes are not counted."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def fits_broadcast(frame: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure the rows themselves: true only if the whole table stays below the limit."""
     row_bytes = F.octet_length(F.to_json(F.struct(*frame.columns))) + 64

@@ -36,7 +36,8 @@ def reconcile(
     """Differences between filled documents and stored records, one row per field.
 
     Both sides of a pair come in one row and stay there: the document is brought into the
-    layout of the record, both are flattened, and the fields are matched within the row.
+    layout of the record, both are flattened, and the fields are matched within the row. A document
+    with an unknown template, or one that cannot be read, is a row of kind ``problem``.
     """
     docs = keyed_pairs(pairs, states).select(
         F.col("record_key").alias("doc_id"),
@@ -46,8 +47,8 @@ def reconcile(
     )
     lined = line_up(docs, contracts, layout, keep=("stored",))
     both = db_records(lined, keep=("stored",)).select(
-        F.col("doc_id").alias("record_key"),
+        F.col("doc_id").alias("record_key"), "trouble",
         record_fields(F.struct("sections"), typed_text=True).alias("_left"),
         record_fields(F.col("stored")).alias("_right"),
     )
-    return compare_pairs(both, "_left", "_right", ["record_key"])
+    return compare_pairs(both, "_left", "_right", ["record_key"], problem="trouble")

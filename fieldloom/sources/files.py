@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,10 @@ def find_column(columns: list[str], name: str, case_insensitive: bool = False) -
     raise KeyError(f"column {name!r} not found, there are {columns}")
 
 
+#: Row numbers leave this many places to each file.
+_FILE_ROWS = 1 << 40
+
+
 def read_key_values(
     spark: SparkSession,
     path: str,
@@ -63,23 +69,51 @@ def read_key_values(
     case_insensitive: bool = False,
     multi_line: bool = True,
 ) -> DataFrame:
-    """Rows of guideline CSVs: ``file, row_no, key, value``, in file order.
+    """Rows of guideline CSVs: ``file, row_no, key, value``.
 
-    Quoted texts may hold line breaks and doubled quotes, a byte order mark is skipped. Use
+    Every file has a header of its own, in which the two columns are looked up. ``row_no`` orders
+    the rows by the path of their file, then by their place in it. Quoted texts may hold line breaks
+    and doubled quotes, a byte order mark is skipped, files without any text are left out. Use
     ``multi_line=False`` for bulk files without line breaks: only those are split among tasks.
+    Headers are read before the rows, one line for each file.
     """
-    frame = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
-    if not frame.columns:
+    headers = _csv_headers(spark, path)
+    if not headers:
         raise ValueError(f"no header row in {path}")
-    key = find_column(frame.columns, key_col, case_insensitive)
-    value = find_column(frame.columns, value_col, case_insensitive)
-    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
-    return frame.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("row_no"),
-        quoted(key).alias("key"),
-        quoted(value).alias("value"),
-    )
+    columns = {
+        tuple(names): (find_column(names, key_col, case_insensitive), find_column(names, value_col, case_insensitive))
+        for _, names in headers
+    }
+    number = {file: i for i, (file, _) in enumerate(headers)}
+    numbers = spark.createDataFrame(list(number.items()), "file string, _file_no long")
+    out = None
+    for names, (key, value) in columns.items():
+        own = [file for file, found in headers if tuple(found) == names]
+        # Names are given by place, as a header may repeat one or leave it empty.
+        schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+        frame = spark.read.schema(schema).csv(own, header=True, multiLine=multi_line, escape='"', enforceSchema=True)
+        rows = frame.select(
+            F.col("_metadata.file_path").alias("file"),
+            (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_place"),
+            F.col(f"_c{names.index(key)}").alias("key"),
+            F.col(f"_c{names.index(value)}").alias("value"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(F.broadcast(numbers), "file").select(
+        "file", (F.col("_file_no") * _FILE_ROWS + F.col("_place")).alias("row_no"), "key", "value")
+
+
+def _csv_headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Path and header of every file with text in it, by path."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    first = lines.filter("at = 0").groupBy("file").agg(F.first("value").alias("line")).collect()
+    found = []
+    for file, line in sorted((r["file"], r["line"]) for r in first):
+        names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+        if names:
+            found.append((file, names))
+    return found
 
 
 def parse_pairs(texts: DataFrame, left: str = "chart", right: str = "stored") -> DataFrame:

@@ -292,3 +292,23 @@ _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 def reconcile_flow(spark, sf):
     found = reconcile(_usable(spark, sf), order_contracts(spark, sf), QUESTIONNAIRE)
     return found.select("record_key", "field", "kind", "message")
+
+
+@query(
+    "reconcile_problems",
+    """select cast(o_orderkey as varchar) as record_key, case o_orderkey % 4 when 0 then 'unknown template'
+      when 1 then 'unreadable' else 'unknown template' end as message
+    from orders where o_orderkey % 4 < 3""",
+)
+def reconcile_problems(spark, sf):
+    """Pairs whose documents have a template that nobody knows, or no template number, or no object as text."""
+    kind = F.col("o_orderkey") % 4
+    pairs = table(spark, sf, "orders").filter(kind < 3).select(
+        F.col("o_orderkey").cast("string").alias("file"), F.lit("draft").alias("state"),
+        F.lit("f").alias("facility_id"), F.lit("p").alias("patient_id"), F.col("o_orderkey").cast("string").alias("record_id"),
+        F.when(kind == 0, "99").when(kind == 2, "abc").otherwise(F.substring("o_orderpriority", 1, 1)).alias("template_id"),
+        F.when(kind == 1, '["a list"]').otherwise('{"table_name":"x"}').alias("internal"),
+        F.lit(None).cast(f"struct<{C.STORED_RECORD}>").alias("stored"),
+    )
+    found = reconcile(pairs, order_contracts(spark, sf), QUESTIONNAIRE).filter("kind = 'problem'")
+    return found.select(F.get(F.split("record_key", ":"), F.lit(2)).alias("record_key"), "message")

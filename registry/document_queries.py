@@ -18,7 +18,7 @@ from fieldloom.operators.templates import (
     flatten_template,
     read_templates_frame,
 )
-from fieldloom.operators.validate import validate, verdicts
+from fieldloom.operators.validate import text_rule, validate, verdicts
 from fieldloom.plans.layout import QUESTIONNAIRE, FieldType, PropertyNames, TemplateLayout
 from registry import query
 from registry.inputs import order_contracts, order_docs, spread, stored_once, table
@@ -93,7 +93,7 @@ def event_docs(spark, sf):
                                       F.lit(","), row(F.lit("view"), '"c"'), F.lit("]")))
         .when(key % 10 == 2, '[{"entry":"view"}]')
         .when(key % 10 == 3, '[{"entry":"view","description":"x","more":1}]')
-        .when(key % 10 == 4, '[{"entry":"view","description":5},3]')
+        .when(key % 10 == 4, '[{"entry":"view","description":5,"more":2},3,{"entry":9}]')
         .otherwise(F.concat(F.lit("["), row(kind, '"d"'), F.lit("]")))
     )
     doc = F.concat(
@@ -209,7 +209,7 @@ ORDER_VIOLATIONS = f"""
       concat('-', regexp_replace(cast(o_totalprice as varchar), '\\.0$', ''))
     from orders where o_orderkey % 13 = 0 and o_orderkey % 5 <> 0
   union all select *, 2, '{_HEAD}3. Order date', 'custom',
-      concat('Invalid ISO date format: ', replace({_DAY}, '-', '/'))
+      concat('no ISO date: ', replace({_DAY}, '-', '/'))
     from orders where o_orderkey % 17 = 0 and o_orderkey % 23 <> 0
   union all select *, 1, '{_HEAD}Instructions', 'const', 'Note. Read the order!' from orders
     where o_orderkey % 29 = 0
@@ -217,12 +217,12 @@ ORDER_VIOLATIONS = f"""
     where o_orderkey % 31 = 0
   union all select *, 1, '{_BODY}6. Clerk notes', 'required', 'is missing' from orders
     where o_orderkey % 11 = 0
-  union all select *, 1, '{_BODY}7. Flags', 'item', concat('Flag ', o_orderkey % 7) from orders
+  union all select *, 1, '{_BODY}7. Flags', 'item', concat('1 is no option: Flag ', o_orderkey % 7) from orders
     where o_orderkey % 7 >= 5
   union all select *, 1, '{_BODY}8. Checks', 'grid', 'more rows than 3' from orders
     where o_orderkey % 5 = 4
   union all select *, 2, '{_TAIL}2. Placed at', 'custom',
-      concat('Invalid ISO datetime format: ', {_DAY}, ' 25:00')
+      concat('no ISO date and time: ', {_DAY}, ' 25:00')
     from orders where o_orderkey % 41 = 0
   union all select *, 1, '{_TAIL}surplus', 'additional', 'was unexpected' from orders
     where o_orderkey % 37 = 0)"""
@@ -317,9 +317,10 @@ def validate_choice(spark, sf):
 
 @query(
     "validate_multi",
-    """select event_id as doc_id, 'fields.tags' as path, '7' as message from events
-      where event_id % 4 = 0 and event_id % 6 <> 0
-    union all select event_id, 'fields.tags', event_type from events
+    """select event_id as doc_id, 'fields.tags' as path, unnest(['2 is no text: 7', '2 is no option: 7']) as message
+      from events where event_id % 4 = 0 and event_id % 6 <> 0
+    union all select event_id, 'fields.tags',
+      concat(case when event_id % 4 = 0 then '3' else '1' end, ' is no option: ', event_type) from events
       where event_id % 6 <> 0 and event_type = 'error'""",
 )
 def validate_multi(spark, sf):
@@ -330,22 +331,27 @@ def validate_multi(spark, sf):
 @query(
     "validate_grid",
     """select event_id as doc_id, 'more rows than 2' as message from events where event_id % 10 = 1
-    union all select event_id, concat('grid entry not among the options: ', event_type) from events
+    union all select event_id, concat('row 0 entry not among the options: ', event_type) from events
       where event_id % 10 not in (0, 2, 3, 4) and event_type = 'error'
-    union all select event_id, 'grid row lacks entry or description' from events
-      where event_id % 10 = 2
-    union all select event_id, 'grid row has other keys' from events where event_id % 10 = 3
-    union all select event_id, unnest(['grid description is no text', 'grid row is no object'])
-      from events where event_id % 10 = 4""",
+    union all select event_id, concat('row 1 entry not among the options: ', event_type) from events
+      where event_id % 10 = 1 and event_type = 'error'
+    union all select event_id, 'row 0 lacks description' from events where event_id % 10 = 2
+    union all select event_id, 'row 0 has other keys' from events where event_id % 10 = 3
+    union all select event_id, unnest(['row 0 description is no text', 'row 0 has other keys', 'row 1 is no object',
+      'row 2 entry is no text', 'row 2 entry not among the options: 9', 'row 2 lacks description'])
+      from events where event_id % 10 = 4
+    union all select event_id, 'more rows than 2' from events where event_id % 10 = 4""",
 )
 def validate_grid(spark, sf):
     errors = event_errors(spark, sf).filter("rule = 'grid'")
     return errors.select("doc_id", "message")
 
 
-_ODD_DAY = """case o_orderkey % 8 when 0 then concat(day, 'T10:20:30Z') when 1 then day
+_ODD_DAY = """case o_orderkey % 12 when 0 then concat(day, 'T10:20:30Z') when 1 then day
   when 2 then replace(day, '-', '') when 3 then concat(day, 'T10:20') when 4 then concat(day, 'T')
   when 5 then concat(substr(day, 1, 5), '13-01') when 6 then concat(day, ' 23:59:59.5+02:00')
+  when 8 then concat(substr(day, 1, 4), '-W', substr(day, 6, 2), '-7') when 9 then concat(substr(day, 1, 4), 'W09')
+  when 10 then concat(replace(day, '-', ''), 'T102030Z') when 11 then concat(substr(day, 1, 4), '-W54')
   else concat(day, 'T24:61') end"""
 
 
@@ -353,9 +359,8 @@ _ODD_DAY = """case o_orderkey % 8 when 0 then concat(day, 'T10:20:30Z') when 1 t
     "validate_dates",
     """with d as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders),
     t as (select o_orderkey, """ + _ODD_DAY + """ as text from d)
-    select o_orderkey, text, o_orderkey % 8 in (0, 1, 3, 6) as is_date,
-      regexp_matches(text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') and o_orderkey % 8 in (0, 1, 3, 6)
-        as is_datetime from t""",
+    select o_orderkey, text, o_orderkey % 12 in (0, 1, 2, 3, 6, 8, 9, 10) as is_date,
+      o_orderkey % 12 in (0, 1, 2, 3, 6, 8, 9, 10) as is_datetime from t""",
 )
 def validate_dates(spark, sf):
     days = spread(table(spark, sf, "orders")).select(
@@ -384,20 +389,20 @@ TEXT_FORM = TemplateLayout(
 )
 def custom_rule(spark, sf):
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars", "source"))
-    # The form is named after the first source there is.
-    first = docs.agg(F.min("source").alias("s"))
-    template = one_template(
-        first,
+    # A form of its own for each source.
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("bigint")
+    templates = docs.select(number.alias("template_id"), "source").distinct().select(
+        "template_id",
         F.concat(
-            F.lit('{"table_name":"'), "s",
+            F.lit('{"table_name":"'), "source",
             F.lit('","fields":[{"field_id":"t","field_name":"text","field_type":"note"},'
                   '{"field_id":"s","field_name":"size","field_type":"count"}]}'),
-        ),
+        ).alias("doc"),
     )
-    filled = docs.crossJoin(F.broadcast(first)).select(
-        "doc_id", F.lit(1).cast("bigint").alias("template_id"),
+    filled = docs.select(
+        "doc_id", number.alias("template_id"),
         F.concat(
-            F.lit('{"table_name":"'), "s", F.lit('","fields":{"text":'), json_text(F.col("text")),
+            F.lit('{"table_name":"'), "source", F.lit('","fields":{"text":'), json_text(F.col("text")),
             F.lit(',"size":'), "n_chars", F.lit("}}"),
         ).alias("doc"),
     )
@@ -412,6 +417,29 @@ def custom_rule(spark, sf):
         number = F.try_variant_get(value, "$", "bigint")
         return F.when(number % 2 == 1, F.concat(F.lit("odd size "), number.cast("string")))
 
-    aligned = align_documents(filled, contracts_of(template, TEXT_FORM), TEXT_FORM)
+    aligned = align_documents(filled, contracts_of(templates, TEXT_FORM), TEXT_FORM)
     errors = validate(aligned, {"string": long_text, "integer": odd})
     return errors.select("doc_id", "phase", "path", "message")
+
+
+@query(
+    "raising_rule",
+    """select doc_id, 'fields.text' as path, concat('rule failed: ValueError: ', lang) as message from documents
+      where lang in ('de', 'fr')
+    union all select doc_id, 'fields.text', 'Spanish' from documents where lang = 'es'""",
+)
+def raising_rule(spark, sf):
+    """A caller's function that fails for some values: those are errors, the rest is checked."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+
+    def judge(text: str) -> str | None:
+        if text in ("de", "fr"):
+            raise ValueError(text)
+        return "Spanish" if text == "es" else None
+
+    forms = docs.groupBy(F.lit(1).cast("bigint").alias("template_id")).agg(F.lit(
+        '{"table_name":"form","fields":[{"field_id":"t","field_name":"text","field_type":"note"}]}').alias("doc"))
+    filled = docs.select("doc_id", F.lit(1).cast("bigint").alias("template_id"), F.concat(
+        F.lit('{"table_name":"form","fields":{"text":"'), "lang", F.lit('"}}')).alias("doc"))
+    aligned = align_documents(filled, contracts_of(forms, TEXT_FORM), TEXT_FORM)
+    return validate(aligned, {"string": text_rule(judge)}).select("doc_id", "path", "message")

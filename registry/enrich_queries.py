@@ -171,7 +171,7 @@ def override_descriptions(spark, sf):
 _LOCK_ERROR = """case when p_size % 9 = 7 then
     case when p_type in ('LARGE', 'PROMO', 'SMALL') then 'type: integer is not string/null' end
   when p_type in ('MEDIUM', 'ECONOMY') then 'type: string is not number/null'
-  when p_type = 'SMALL' then concat('custom: Invalid ISO date format: ', p_brand) end"""
+  when p_type = 'SMALL' then concat('custom: no ISO date: ', p_brand) end"""
 
 
 @query(

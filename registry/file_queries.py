@@ -165,3 +165,27 @@ def export_contracts_query(spark, sf):
     )
     back = spark.read.text(path)
     return back.select("file", F.get_json_object("value", "$.title").alias("title"))
+
+
+@query(
+    "mixed_csv",
+    """with c as (select role, string_agg(concat(conv_id, '/', turn), '. ' order by conv_id % 3, conv_id, turn) as every
+      from conversations group by role),
+    o as (select role, conv_id, turn, row_number() over (partition by role order by conv_id % 3, conv_id, turn) as n,
+      count(*) over (partition by role) as uses from conversations)
+    select c.role as key, concat(a.conv_id, '/', a.turn) as first, concat(z.conv_id, '/', z.turn) as last, c.every as concat
+    from c join o a on a.role = c.role and a.n = 1 join o z on z.role = c.role and z.n = z.uses""",
+)
+def mixed_csv(spark, sf):
+    """Three files of different sizes, each with its columns in an order of its own, merged in file order."""
+    path = shared_folder(spark, "guidelines")
+    rows = table(spark, sf, "conversations").withColumn("part", F.col("conv_id") % 3)
+    text = F.concat_ws("/", "conv_id", "turn").alias("Guidelines")
+    orders = (["Key", "Guidelines"], ["Guidelines", "Other", "Key"], ["Other", "Key", "More", "Guidelines"])
+    for i, names in enumerate(orders):
+        own = rows.filter(F.col("part") == i).orderBy("conv_id", "turn").select(
+            F.col("role").alias("Key"), text, F.lit("x\ny").alias("Other"), F.lit("").alias("More"))
+        own.select(*names).coalesce(1).write.csv(f"{path}/part={i}", header=True, quoteAll=True, escape='"')
+    pairs = prepare_pairs(read_key_values(spark, f"{path}/*", "Key", "Guidelines"))
+    merged = [merge_duplicates(pairs, p).withColumnRenamed("value", p) for p in ("first", "last", "concat")]
+    return merged[0].join(merged[1], "key").join(merged[2], "key")

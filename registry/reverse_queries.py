@@ -37,9 +37,6 @@ def fields(spark, sf):
     return field_rows(aligned_orders(spark, sf))
 
 
-_KEPT = ["doc_id", "section_code", "field_key", "item", "storage_key", "key", "type", "html_type", "value"]
-
-
 def _entries(spark, sf, name, *keys):
     made = R.format_fields(fields(spark, sf), name).filter(F.col("field_key").isin(*keys))
     return made.select("doc_id", "storage_key", "key", "type", "html_type", "value")
@@ -181,7 +178,7 @@ _CELLS = """(select string_agg(concat('{"key":"', side, i, '_Cust_A_8","type":"g
         '","assessment_std_id":', {_ID}, ',"sections":{{"A":{{"fields":[', concat_ws(',',
         {", ".join(_item(*row) for row in _UI[:6])}, {_FLAGS}, {_CELLS}),
         '],"state":"draft"}},"B":{{"fields":[', concat_ws(',', {", ".join(_item(*r) for r in _UI[6:])}),
-        '],"state":"draft"}}}}}}') as result
+        '],"state":"draft"}}}}}}') as result, cast(null as varchar) as trouble
     from orders""",
 )
 def reverse_map(spark, sf):
@@ -218,7 +215,7 @@ _PAIRS_B = ", ".join(
     f"""select o_orderkey as doc_id, {_ID} as template_id,
       concat('{{"assessmentDescription":"Order ', o_orderpriority, '","templateId":', {_ID},
         ',"groups":[{{"sectionCode":"A","properties":{{', concat_ws(',', {_PAIRS_A}),
-        '}}}},{{"sectionCode":"B","properties":{{', concat_ws(',', {_PAIRS_B}), '}}}}]}}') as result
+        '}}}},{{"sectionCode":"B","properties":{{', concat_ws(',', {_PAIRS_B}), '}}}}]}}') as result, cast(null as varchar) as trouble
     from orders""",
 )
 def group_sections(spark, sf):
@@ -233,7 +230,7 @@ def group_sections(spark, sf):
     "flat_result",
     f"""select o_orderkey as doc_id, {_ID} as template_id,
       concat('{{"title":"Order ', o_orderpriority, '","data":[{{"properties":{{',
-        concat_ws(',', {_PAIRS_A}, {_PAIRS_B}), '}}}}]}}') as result
+        concat_ws(',', {_PAIRS_A}, {_PAIRS_B}), '}}}}]}}') as result, cast(null as varchar) as trouble
     from orders""",
 )
 def flat_result(spark, sf):

@@ -344,3 +344,69 @@ def field_metadata(spark, sf):
     return C.field_metadata(order_index(spark, sf), 2).select(
         "template_id", "pos", "key", "target_type"
     )
+
+
+# Faults of a template, by its number: what stands in the text, what is read all the same.
+_FAULTY = TemplateLayout(
+    schema_name="table_name",
+    schema_id="table_id",
+    prop=PropertyNames("fields", "field_id", "field_name", "field_type", options="field_options"),
+    types={
+        "text": FieldType("string"),
+        "pick": FieldType("single_select", True),
+        "listed": FieldType("single_select", True, options_field="choices"),
+        "split": FieldType("single_select", True, extract=lambda o: F.split(o, "/")),
+    },
+)
+
+
+def faulty_templates(spark, sf):
+    """Every part is a template with a fault of its own between two sound fields."""
+    sound = lambda key: f'{{"field_id":"{key}","field_name":"{key}","field_type":"text"}}'
+    kind = F.col("p_partkey") % 8
+    middle = (
+        F.when(kind == 1, F.lit("7"))
+        .when(kind == 2, F.lit("null"))
+        .when(kind == 3, F.lit('{"field_id":"m","field_name":"m","field_type":"pick","field_options":["x",5]}'))
+        .when(kind == 4, F.lit('{"field_id":"m","field_name":"m","field_type":"listed","field_options":[1],"choices":["l","r"]}'))
+        .when(kind == 5, F.lit('{"field_id":"m","field_name":"m","field_type":"split","field_options":"u/v/w"}'))
+        .otherwise(F.lit(sound("m")))
+    )
+    body = F.concat(F.lit("[" + sound("a") + ","), middle, F.lit("," + sound("z") + "]"))
+    head = F.concat(F.lit('{"table_name":"'), "p_brand", F.lit('","table_id":'), "p_partkey", F.lit(',"fields":'))
+    doc = F.when(kind == 6, F.concat(head, F.lit('{"a":1}}'))).when(kind == 7, F.concat(F.lit("{broken "), "p_brand")).otherwise(
+        F.concat(head, body, F.lit("}")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("template_id"), doc.alias("doc"))
+
+
+@query(
+    "template_faults",
+    """select p_partkey as template_id, case when p_partkey % 8 = 7 then '' else 'fields' end as path,
+      case when p_partkey % 8 in (1, 2) then '1' end as item,
+      case when p_partkey % 8 in (1, 2) then 'item is no object' when p_partkey % 8 = 6 then 'no readable list'
+        else 'template is no JSON object' end as reason
+    from part where p_partkey % 8 in (1, 2, 6, 7)
+    union all select p_partkey, 'fields', '1', 'option is no text' from part where p_partkey % 8 = 3""",
+)
+def template_faults(spark, sf):
+    """What cannot be read, of whole templates, of their arrays and of single questions."""
+    loaded = T.read_templates_frame(faulty_templates(spark, sf), _FAULTY)
+    lint = T.template_lint(T.flatten_template(loaded, _FAULTY), _FAULTY)
+    # The first node is the outer container.
+    questions = lint.select("template_id", "path", (F.col("pos") - 1).alias("item"), "reason")
+    found = T.template_faults(loaded, _FAULTY).union(questions)
+    return found.withColumn("item", F.col("item").cast("string"))
+
+
+@query(
+    "sound_neighbours",
+    """select p_partkey as template_id, key, case when key = 'm' and p_partkey % 8 = 4 then 'l|r'
+        when key = 'm' and p_partkey % 8 = 5 then 'u|v|w' end as choices
+    from part, unnest(['a', 'm', 'z']) as u(key)
+    where p_partkey % 8 < 6 and not (key = 'm' and p_partkey % 8 in (1, 2, 3))""",
+)
+def sound_neighbours(spark, sf):
+    """The fields around the faults, with options from the places and by the extractor of their types."""
+    loaded = T.read_templates_frame(faulty_templates(spark, sf), _FAULTY)
+    index = T.build_field_index(T.flatten_template(loaded, _FAULTY), _FAULTY)
+    return index.select("template_id", "key", F.when(F.col("enum").isNotNull(), F.array_join("enum", "|")).alias("choices"))

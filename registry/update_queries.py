@@ -9,10 +9,6 @@ from fieldloom.operators import updates as U
 from registry import query
 from registry.inputs import spread, table
 
-_ENDS = """(select user_id, arg_min({c}, event_id) as first, arg_max({c}, event_id) as last,
-  count(*) as n from events group by 1)"""
-
-
 @query(
     "merge_sections",
     """with e as (select user_id, event_type, min(event_id) as a, max(event_id) as b from events
@@ -121,6 +117,17 @@ def latest_template(spark, sf):
     return C.latest_registration(_registrations(spark, sf))
 
 
+@query(
+    "latest_of_ties",
+    """select cast(regexp_extract(source, '([0-9]+)', 1) as bigint) as template_id, max(concat(lang, ' ', doc_id % 7)) as title
+    from documents group by 1""",
+)
+def latest_of_ties(spark, sf):
+    """All registered at one moment: the title decides, not the order of rows."""
+    together = _registrations(spark, sf).withColumn("loaded_at", F.lit(1))
+    return C.latest_registration(together).select("template_id", "title")
+
+
 @query("list_templates", f"select template_id, title from {_REGISTERED}")
 def list_templates(spark, sf):
     return C.list_templates(C.latest_registration(_registrations(spark, sf)))
@@ -165,10 +172,10 @@ def unknown_templates(spark, sf):
 @query(
     "unregister",
     f"""select * from {_REGISTERED} where template_id not in (select cast(regexp_extract(source,
-      '([0-9]+)', 1) as bigint) from documents where length(text) > 5000)""",
+      '([0-9]+)', 1) as bigint) from documents where doc_id % 3 = 0 and doc_id % 20 < 7)""",
 )
 def unregister(spark, sf):
-    removed = table(spark, sf, "documents").filter(F.length("text") > 5000).select(
+    removed = table(spark, sf, "documents").filter("doc_id % 3 = 0 and doc_id % 20 < 7").select(
         F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("template_id")
     )
     return C.unregister(C.latest_registration(_registrations(spark, sf)), removed)

@@ -154,15 +154,18 @@ def test_value_errors(spark, contracts):
         changed((*HEAD, "2. Total"), "7"),
         changed((*HEAD, "7. Grid"), grid),
         changed((*HEAD, "Instructions"), None),
+        changed((*HEAD, "1. Pick"), 7),
     )
     assert found == {
+        (5, 1, "1. Pick", "type", "integer is not string/null"),
+        (5, 1, "1. Pick", "enum", "7"),
         (0, 1, "1. Pick", "enum", "nope"),
         (1, 1, "2. Total", "minimum", "-5.5"),
         (2, 1, "2. Total", "type", "string is not number/null"),
         (3, 1, "7. Grid", "grid", "more rows than 3"),
-        (3, 1, "7. Grid", "grid", "grid entry not among the options: r"),
-        (3, 1, "7. Grid", "grid", "grid row lacks entry or description"),
-        (3, 1, "7. Grid", "grid", "grid row is no object"),
+        (3, 1, "7. Grid", "grid", "row 1 entry not among the options: r"),
+        (3, 1, "7. Grid", "grid", "row 2 lacks description"),
+        (3, 1, "7. Grid", "grid", "row 3 is no object"),
         (4, 1, "Instructions", "type", "null is not string"),
         (4, 1, "Instructions", "const", "null"),
     }
