@@ -221,9 +221,21 @@ RULE_COLUMNS = [
     "pos", "child_index", "key", "id", "name", "raw_name", "property_key", "section_code",
     "group_key", "group_title", "key_field", "source_type", "target_type", "json_types", "minimum",
     "maximum", "format", "enum_on", "max_items", "length", "const", "enum", "option_texts",
-    "option_clean", "option_values", "is_virtual", "is_virtual_child", "level_keys",
+    "option_clean", "option_values", "is_virtual", "is_virtual_child", "level_keys", "lock_type",
+    "lock_json", "lock_size", "item_enum",
 ]
 
+#: Columns that only an index with locks has.
+LOCK_COLUMNS = {"lock_type": "string", "lock_json": "string", "lock_size": "int", "item_enum": "array<string>"}
+
+
+def with_lock_columns(index: DataFrame) -> DataFrame:
+    """Locks as texts that can travel with the rules; nulls for an index without locks."""
+    if "lock" in index.columns:
+        index = index.withColumn("lock_json", F.to_json("lock")).drop("lock")
+    missing = {c: F.lit(None).cast(t) for c, t in LOCK_COLUMNS.items() if c not in index.columns}
+    return index.withColumns(missing) if missing else index
+
 
 def contract_rows(index: DataFrame, flat: DataFrame) -> DataFrame:
     """One row per template with all its rules. This is the lookup table for documents.
@@ -232,7 +244,7 @@ def contract_rows(index: DataFrame, flat: DataFrame) -> DataFrame:
     containers. A template is one JSON file, so the size of a row is bounded by it.
     """
     fields = (
-        last_per_path(index)
+        last_per_path(with_lock_columns(index))
         .groupBy("template_id")
         .agg(
             F.map_from_entries(

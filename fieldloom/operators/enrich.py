@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldloom.plans.joins import lookup_join
 from fieldloom.functions.text import blank, clean_text, strip_space, with_prefix
 
 POLICIES = ("last", "first", "error", "concat")
@@ -37,7 +38,7 @@ def duplicate_keys(rows: DataFrame, by: tuple[str, ...] = ("key",)) -> DataFrame
     first = rows.groupBy(*by).agg(F.count("*").alias("uses"), F.min("row_no").alias("_first"))
     repeated = first.filter("uses > 1")
     return (
-        rows.join(repeated, list(by))
+        lookup_join(rows, repeated, list(by), "inner")
         .filter("row_no > _first")
         .groupBy(*by)
         .agg(F.max("uses").alias("uses"), F.min("row_no").alias("repeated_at"))
@@ -125,7 +126,7 @@ def enrich_fields(index: DataFrame, pairs: DataFrame) -> DataFrame:
         F.concat("description", F.lit("\n\n"), text)
     )
     return (
-        index.join(pairs.select(*on, F.col("value").alias("_text")), on, "left")
+        lookup_join(index, pairs.select(*on, F.col("value").alias("_text")), on)
         .withColumn(
             "description",
             F.when(text.isNotNull() & _first_of_key(index), added).otherwise(F.col("description")),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import blank
 from fieldloom.functions.values import answer_text, items
-from fieldloom.operators.documents import RULE_COLUMNS
+from fieldloom.operators.documents import LOCK_COLUMNS, RULE_COLUMNS
 from fieldloom.operators.enrich import _first_of_key, _join_keys
 from fieldloom.operators.validate import (
     Rule,
@@ -22,6 +22,7 @@ from fieldloom.operators.validate import (
     second_phase,
     with_value_parts,
 )
+from fieldloom.plans.joins import lookup_join
 
 OPERATIONS = ("override", "append", "prepend")
 _PLAIN = ("string", "integer", "number", "boolean", "null")
@@ -79,7 +80,9 @@ def override_lint(
     """
     on = _join_keys(index, overrides)
     judged = _located(index, overrides, on, "left")
-    rule, lock = F.struct(*RULE_COLUMNS), F.col("lock")
+    lock = F.col("lock")
+    # The field's own rules, without a lock.
+    rule = F.struct(*(F.lit(None).cast(LOCK_COLUMNS[c]).alias(c) if c in LOCK_COLUMNS else F.col(c) for c in RULE_COLUMNS))
     judged = with_value_parts(judged, "lock")
     first_error = F.coalesce(
         *scalar_errors(lock, rule), F.get(item_errors(rule), F.lit(0)),
@@ -122,7 +125,7 @@ def override_descriptions(index: DataFrame, overrides: DataFrame) -> DataFrame:
     )
     hit = F.col("_hit").isNotNull() & _first_of_key(index)
     return (
-        index.join(usable, on, "left")
+        lookup_join(index, usable, on)
         .withColumn("description", F.when(hit, changed).otherwise(old))
         .select(*index.columns)
     )
@@ -165,7 +168,7 @@ def lock_fields(
     )
     hit = F.col("lock").isNotNull() & _first_of_key(index)
     return (
-        index.join(usable, on, "left")
+        lookup_join(index, usable, on)
         .withColumn("lock", F.when(hit, lock))
         .withColumns(
             {

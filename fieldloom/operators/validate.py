@@ -125,7 +125,26 @@ def scalar_errors(value: Column, rule: Column) -> list[Column]:
         rule["const"].isNotNull() & ~F.coalesce(text == rule["const"], F.lit(False)),
         F.concat(F.lit("const: "), shown),
     )
-    return [type_error, low, high, member, const]
+    return [type_error, low, high, member, const, _lock_error(value, rule, shown)]
+
+
+def _lock_error(value: Column, rule: Column, shown: Column) -> Column:
+    """A value that is not what its field is locked to.
+
+    Plain values and objects, with all that is in them, must be equal; numbers count by value. A list
+    must have the lock's size and hold only items of it, in any order and number; a list whose lock
+    holds lists or objects must be equal.
+    """
+    text = F.to_json(value)
+    item_json = lambda i: F.when(F.schema_of_variant(i) == "STRING", F.to_json(i)).otherwise(
+        F.coalesce(F.when(F.schema_of_variant(i) == "BOOLEAN", F.to_json(i)), answer_text(i), F.lit("null")))
+    listed = F.coalesce(
+        (F.size("_items") == rule["lock_size"])
+        & F.forall("_items", lambda i: F.array_contains(rule["item_enum"], item_json(i))), F.lit(False))
+    same = F.when((rule["lock_type"] == "array") & rule["item_enum"].isNotNull(), listed).otherwise(
+        F.coalesce(text == rule["lock_json"], F.lit(False)))
+    return F.when(rule["lock_json"].isNotNull() & ~same,
+                  F.concat(F.lit("lock: "), shown, F.lit(" is not "), rule["lock_json"]))
 
 
 def item_errors(rule: Column) -> Column:

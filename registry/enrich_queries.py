@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from fieldloom.operators import enrich as E
 from fieldloom.operators import locks as L
 from fieldloom.operators.contract import field_fragment, json_text
+from fieldloom.operators.documents import align_documents, contract_rows
+from fieldloom.operators.validate import validate
+from fieldloom.plans.layout import QUESTIONNAIRE
 from registry import query
-from registry.inputs import order_index, spread, table
+from registry.inputs import order_docs, order_flat, order_index, spread, table
 from registry.template_queries import part_index
 from registry.text_queries import clean_sql, strip_sql
 
@@ -261,3 +264,20 @@ def lock_objects(spark, sf):
             json_text(F.concat(F.lit("order "), "k")), F.lit("}]}"))),
     )
     return L.lock_children(L.lock_fields(order_index(spark, sf), locks))
+
+
+@query(
+    "validate_locked",
+    """select o_orderkey as doc_id, '1. Status' as field, concat('Status ', o_orderstatus, ' is not "Status O"') as message
+      from orders where o_orderstatus <> 'O'
+    union all select o_orderkey, '1. Remark', concat('remark ', o_orderkey % 10, ' is not "remark 3"') from orders
+      where o_orderkey % 10 <> 3""",
+)
+def validate_locked(spark, sf):
+    """Orders against contracts whose status and remark are locked: every other value is an error."""
+    locks = _order_locks(
+        spark, sf, ("Cust_A_1", F.lit('{"value":"Status O"}')), ("Cust_B_1", F.lit('{"value":"remark 3"}')))
+    index = L.lock_fields(order_index(spark, sf), locks)
+    contracts = contract_rows(index, order_flat(spark, sf))
+    found = validate(align_documents(order_docs(spark, sf), contracts, QUESTIONNAIRE)).filter("rule = 'lock'")
+    return found.select("doc_id", F.regexp_extract("path", r"questions\.(.*)$", 1).alias("field"), "message")
