@@ -57,7 +57,8 @@ def test_list_answer(spark, text, want):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("2024-02-29", True), ("2023-02-29", False), ("2024-1-5", False), ("2024-01-05T", False),
+        ("20240105", True), ("20240132", False), ("2024-W53-1", False), ("2020-W53-7", True), ("2024W01", True),
+        ("20240105T102030Z", True), ("2024-W00", False), ("2024-02-29", True), ("2023-02-29", False), ("2024-1-5", False), ("2024-01-05T", False),
         ("2024-01-05T10:00:00Z", True), ("2024-01-05 10:00", True), ("2024-01-05T10:00+02:00", True),
         ("2024-01-05Z", False), ("0000-01-01", False), ("x", False),
     ],
