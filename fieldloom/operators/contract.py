@@ -35,6 +35,32 @@ def _object(parts: list[Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+#: Objects in an object lock are written out to this depth; what lies deeper is one constant.
+LOCK_DEPTH = 3
+
+
+def locked_object(value: Column, depth: int = LOCK_DEPTH) -> list[Column]:
+    """Constraints that only the given object (a VARIANT) meets: each of its keys, and no other."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def child(entry: Column) -> Column:
+        inner, name = entry["value"], F.schema_of_variant(entry["value"])
+        kind = (
+            F.when(name == "STRING", "string").when(name == "BIGINT", "integer").when(name == "BOOLEAN", "boolean")
+            .when(name == "VOID", "null").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object")
+            .otherwise("number")
+        )
+        fragment = _object([_named("type", json_text(kind)), _named("const", F.to_json(inner))])
+        if depth > 1:
+            nested = _object([_named("type", F.lit('"object"')), *locked_object(inner, depth - 1)])
+            fragment = F.when(kind == "object", nested).otherwise(fragment)
+        return F.concat(json_text(entry["key"]), F.lit(":"), fragment)
+
+    inside = F.concat(F.lit("{"), F.array_join(F.transform(entries, child), ","), F.lit("}"))
+    keys = _list(F.transform(entries, lambda e: e["key"]), False)
+    return [_named("properties", inside), _named("required", keys), F.when(entries.isNotNull(), F.lit(_CLOSED))]
+
+
 def field_fragment(index: DataFrame) -> Column:
     """JSON Schema of one field."""
     types = F.col("json_types")
@@ -82,6 +108,11 @@ def field_fragment(index: DataFrame) -> Column:
             _named("enum", F.concat(F.lit("["), F.array_join("item_enum", ","), F.lit("]"))),
         ]
     )
+    held = F.try_variant_get("lock", "$[0]", "variant")
+    one_object = F.col("lock_type").eqNullSafe("array") & (F.col("lock_size") == 1) & F.col("item_types").isNull()
+    whole_lock = F.when(F.col("lock_type") == "object", F.col("lock"))
+    locked_items = F.when(F.size("item_types") > 0, locked_items).when(
+        one_object, _object([_named("type", F.lit('"object"')), *locked_object(held)]))
     locked = _object(
         [
             _named("type", json_text(F.col("lock_type"))),
@@ -90,7 +121,8 @@ def field_fragment(index: DataFrame) -> Column:
             _named("enum", F.concat(F.lit("["), const, F.lit("]"))),
             _named("minItems", size),
             _named("maxItems", size),
-            _named("items", F.when(F.size("item_types") > 0, locked_items)),
+            _named("items", locked_items),
+            *locked_object(whole_lock),
         ]
     )
     return F.when(F.col("lock_type").isNotNull(), locked).otherwise(_object(parts))

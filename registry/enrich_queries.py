@@ -281,3 +281,25 @@ def validate_locked(spark, sf):
     contracts = contract_rows(index, order_flat(spark, sf))
     found = validate(align_documents(order_docs(spark, sf), contracts, QUESTIONNAIRE)).filter("rule = 'lock'")
     return found.select("doc_id", F.regexp_extract("path", r"questions\.(.*)$", 1).alias("field"), "message")
+
+
+@query(
+    "lock_contract",
+    """with t as (select cast(substr(o_orderpriority, 1, 1) as bigint) as template_id, max(o_orderkey) as k from orders group by 1),
+    f as (select template_id, concat('"properties":{"a":{"type":"integer","const":', k, '},"b":{"type":"object",',
+      '"properties":{"c":{"type":"string","const":"x"}},"required":["c"],"additionalProperties":false}},"required":["a","b"],"additionalProperties":false}') as inside from t)
+    select template_id, 'Cust_A_8' as key, concat('{"type":"array","minItems":1,"maxItems":1,"items":{"type":"object",', inside, '}') as fragment from f
+    union all select template_id, 'Cust_B_1', concat('{"type":"object",', inside) from f""",
+)
+def lock_contract(spark, sf):
+    """Contract texts of fields that are locked to an object, and to a list of one."""
+    held = F.concat(F.lit('{"b":{"c":"x"},"a":'), "k", F.lit("}"))
+    locks = _order_locks(
+        spark, sf, ("Cust_A_8", F.concat(F.lit('{"value":['), held, F.lit("]}"))),
+        ("Cust_B_1", F.concat(F.lit('{"value":'), held, F.lit("}"))))
+    # The fields take any object here, so that only the lock speaks.
+    free = order_index(spark, sf).filter("key in ('Cust_A_8', 'Cust_B_1')").withColumns({
+        "json_types": F.array(F.lit("object"), F.lit("array")), "enum_on": F.lit(None).cast("string"),
+        "description": F.lit(None).cast("string")})
+    locked = L.lock_fields(free, locks)
+    return locked.select("template_id", "key", field_fragment(locked).alias("fragment"))
