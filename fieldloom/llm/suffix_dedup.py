@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bytewise import _BYTE, _powers_to, in_blocks, text_bytes
-from fieldloom.llm.common import bitmap, in_bitmap, likely_in, mixed, partitions
+from fieldloom.llm.common import bit_table, bitmap, in_bitmap, mixed, partitions, with_hit
 from fieldloom.session import stored
 
 #: Bytes of the pieces whose least hash stands for a string.
-PIECE = 16
-_BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 20, 2_000_000, 24 << 20
+PIECE = 24
+_BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 19, 1_000_000, 8 << 20
+
+
+def _piece(length: int) -> int:
+    return min(PIECE, max(1, length // 2))
 
 
 class Runs:
@@ -36,8 +40,9 @@ class Runs:
         power, inverse = _powers_to(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-        least = mixed((total[PIECE:] - total[:-PIECE]) * inverse[: n - PIECE + 1])
-        reach, width = 1, length - PIECE + 1
+        piece = _piece(length)
+        least = mixed((total[piece:] - total[:-piece]) * inverse[: n - piece + 1])
+        reach, width = 1, length - piece + 1
         while reach < width:
             step = min(reach, width - reach)
             least = np.minimum(least[:-step], least[step:])
@@ -276,9 +281,9 @@ def repeated_spans(
     named = numbered.select("id", digest.alias("digest"))
     first = named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = stored(named.join(first, "digest").filter("id > first").select("id").distinct(), "copies")
-    copied = bitmap(copies)
-    maybe = likely_in(spark, copied, F.col("id"))
-    singles = numbered.filter(~maybe).union(numbered.filter(maybe).join(copies, "id", "left_anti").select("id", "_text"))
+    marked = with_hit(numbered, bit_table(copies.select(F.xxhash64("id").alias("id"))), F.xxhash64("id"))
+    singles = marked.filter("not _hit").drop("_hit").union(
+        marked.filter("_hit").join(copies, "id", "left_anti").select("id", "_text"))
     shared = bitmap(_shared_keys(singles, length, bins))
     pieces = stored(_pieces(singles, shared, length, bins), "pieces")
     packs = pieces.filter("bin is not null").select("bin", "keys", "names", "ids", "sizes", "bytes")
@@ -288,12 +293,12 @@ def repeated_spans(
     spans = stored(
         places.join(owners, ["key", "name"]).filter("owner < id")
         .select("id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length).alias("hi")), "spans")
-    touched = bitmap(spans.select("id").union(copies))
-    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    hit = likely_in(spark, touched, F.col("id").cast("long"))
+    touched = bit_table(spans.select("id").union(copies).select(F.xxhash64("id").alias("id")))
+    every = with_hit(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), touched, F.xxhash64(F.col("id").cast("long")))
     info = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(
         copies.withColumn("copy", F.lit(True)), "id", "full").withColumnRenamed("id", "_id")
-    losing = every.filter(hit)
+    losing = every.filter("_hit")
     losing = losing.join(info, F.col("id").cast("long") == F.col("_id"), "left").select("id", "_text", "spans", "copy")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -309,7 +314,7 @@ def repeated_spans(
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary"
     raw: Column = F.coalesce(F.encode(F.col("_text"), "UTF-8"), F.lit(b""))
-    whole = every.filter(~hit).select(
+    whole = every.filter("not _hit").select(
         "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"), raw.alias("kept"))
     return losing.mapInPandas(cut, schema).union(whole)
