@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import table, without
 from fieldloom.llm.decontaminate import drop_contaminated
 from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import drop_near_duplicates
@@ -37,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The key tells rows of one id apart; labels belong to ids.
     scores = quality_scores(docs, labels, keep=[F.xxhash64("doc_id", "text").alias("_key")])
     rejected = stored(scores.filter("predicted = 0").select("_key").distinct(), "rejected")
-    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
+    return without(keyed, rejected, ["_key"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

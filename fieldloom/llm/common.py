@@ -155,3 +155,15 @@ def with_hit(frame: DataFrame, bits: DataFrame, hash_: Column) -> DataFrame:
     marked = frame.withColumn("_h", hash_).withColumn("_word", F.pmod("_h", F.lit(_WORDS)).cast("int"))
     return marked.join(F.broadcast(bits), "_word", "left").select(
         *columns, (F.coalesce("_bits", F.lit(0)).bitwiseAND(_bit(F.col("_h"))) != 0).alias("_hit"))
+
+
+def without(frame: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``frame`` whose keys are not in ``gone`` (a stored table of these columns).
+
+    Only rows that the table of bits doesn't clear are shuffled, so wide rows mostly stay where
+    they are. Rows with a null key stay.
+    """
+    columns = frame.columns
+    marked = with_hit(frame, bit_table(gone.select(F.xxhash64(*keys).alias("id"))), F.xxhash64(*keys))
+    clear = marked.filter("not _hit").select(*columns)
+    return clear.union(marked.filter("_hit").select(*columns).join(gone, keys, "left_anti").select(*columns))
