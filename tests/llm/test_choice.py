@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import duckdb
@@ -139,6 +140,39 @@ def test_benchmark_passages(spark, block):
     assert benchmark_matches(docs, bench.limit(0)).count() == 0
 
 
+def paraphrased(rng: random.Random, item: list[str], n: int, others: list[str]) -> list[str]:
+    out = list(item)
+    for j in rng.sample(range(len(item)), n):
+        out[j] = rng.choice(others)
+    return out
+
+
+def brute_matches(rows, items):
+    """By the longest common subsequence with the whole text, which may only find more."""
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    return {(i, k) for i, t in rows for k, item in enumerate(items) if brute_subsequence(split(item), split(t)) >= 0.7 * len(split(item))}
+
+
+@pytest.mark.parametrize("kind", ["copies", "passage", "few"])
+def test_hot_paraphrases(spark, kind):
+    """A paraphrase in a third of all rows, as copies of one text or in texts of their own; and in few rows."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "re", "tun", "sh", "ve", "do"]) for _ in range(3)) for _ in range(900)]
+    items = [" ".join(rng.sample(words, 40)) for _ in range(6)]
+    some = paraphrased(rng, items[0].split(), 11, words)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(6 if kind == "few" else 240)]
+    host = rows[0][1].split()
+    for i in range(2 if kind == "few" else 120):
+        other = host if kind == "copies" else [rng.choice(words) for _ in range(120)]
+        at = 60 if kind == "copies" else rng.randrange(120)
+        rows.append((1000 + i, " ".join(other[:at] + some + other[at:])))
+    docs = docs_of(spark, rows)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.id, r.item_id) for r in benchmark_matches(docs, bench).collect()}
+    assert got == brute_matches(rows[:1] + rows[-2:], items) | {(i, 0) for i, _ in rows if i >= 1000}
+    assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows if i < 1000}
+
+
 def test_raking_meets_its_targets():
     rng = np.random.default_rng(3)
     mass = rng.random((4, 3, 2)) * 100
