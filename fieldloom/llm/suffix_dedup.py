@@ -120,11 +120,11 @@ def _shared_keys(docs: DataFrame, length: int, bins: int) -> DataFrame:
     return packed.groupBy("bin").applyInPandas(twice, "id long")
 
 
-_PIECES = "id long, at long, key long, name long, bin long, keys binary, names binary, ids binary, sizes binary, bytes binary"
+_PIECES = "id long, row long, at long, key long, name long, bin long, keys binary, names binary, ids binary, sizes binary, bytes binary"
 
 
 def _pieces(docs: DataFrame, shared: np.ndarray, length: int, bins: int) -> DataFrame:
-    """Of each run with a shared key, a row (id, at, key, name); and in packs by bin, the bytes of
+    """Of each run with a shared key, a row (id, row, at, key, name); and in packs by bin, the bytes of
     each task's different runs, with the smallest id that has them."""
     keys_of = docs.sparkSession.sparkContext.broadcast(shared)
 
@@ -149,7 +149,7 @@ def _pieces(docs: DataFrame, shared: np.ndarray, length: int, bins: int) -> Data
                 out.append((int(at[a]), key[c].tobytes(), name[c].tobytes(), ids[c].tobytes(), sizes[c].astype(np.int32).tobytes(),
                             np.concatenate([data[offset[i] : offset[i] + sizes[i]] for i in c]).tobytes()))
             frame = pd.DataFrame(out, columns=["bin", "keys", "names", "ids", "sizes", "bytes"])
-            return frame.assign(id=None, at=None, key=None, name=None)
+            return frame.assign(id=None, row=None, at=None, key=None, name=None)
 
         for batch in batches:
             for rows in in_blocks(batch, "_text", _BLOCK):
@@ -165,7 +165,7 @@ def _pieces(docs: DataFrame, shared: np.ndarray, length: int, bins: int) -> Data
                 name = mixed((runs.total[stop] - runs.total[first]) * runs.inverse[first] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 ids = rows["id"].to_numpy(np.int64)[text]
                 starts = np.concatenate([[0], ends[:-1]])
-                yield pd.DataFrame({"id": ids, "at": first - starts[text], "key": key.view(np.int64), "name": name.view(np.int64)}).assign(
+                yield pd.DataFrame({"id": ids, "row": rows["row"].to_numpy(np.int64)[text], "at": first - starts[text], "key": key.view(np.int64), "name": name.view(np.int64)}).assign(
                     bin=None, keys=None, names=None, ids=None, sizes=None, bytes=None)
                 run = np.repeat(np.arange(len(sizes)), sizes)
                 inner = np.arange(len(run)) - (np.cumsum(sizes) - sizes)[run]
@@ -278,28 +278,38 @@ def repeated_spans(
     bins = partitions(spark)
     numbered = _numbered(docs, id_col, text_col)
     digest = F.sha2(F.encode(F.coalesce(F.col("_text"), F.lit("")), "UTF-8"), 256)
-    named = numbered.select("id", digest.alias("digest"))
+    # Copies and spans belong to texts, not to ids: texts of a repeated id are told apart by a hash.
+    ids = stored(numbered.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "ids")
+    often = bit_table(ids.select(F.xxhash64("id").alias("id")))
+
+    def with_row(frame: DataFrame, id_: Column) -> DataFrame:
+        columns = frame.columns
+        row = F.when(F.col("_hit"), F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))).otherwise(F.lit(0).cast("long"))
+        return with_hit(frame, often, F.xxhash64(id_)).select(*columns, row.alias("row"))
+
+    numbered = with_row(numbered, F.col("id"))
+    named = numbered.select("id", "row", digest.alias("digest"))
     first = named.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = stored(named.join(first, "digest").filter("id > first").select("id").distinct(), "copies")
-    marked = with_hit(numbered, bit_table(copies.select(F.xxhash64("id").alias("id"))), F.xxhash64("id"))
+    copies = stored(named.join(first, "digest").filter("id > first").select("id", "row").distinct(), "copies")
+    marked = with_hit(numbered, bit_table(copies.select(F.xxhash64("id", "row").alias("id"))), F.xxhash64("id", "row"))
     singles = marked.filter("not _hit").drop("_hit").union(
-        marked.filter("_hit").join(copies, "id", "left_anti").select("id", "_text"))
+        marked.filter("_hit").join(copies, ["id", "row"], "left_anti").select("id", "_text", "row"))
     shared = bitmap(_shared_keys(singles, length, bins))
     pieces = stored(_pieces(singles, shared, length, bins), "pieces")
     packs = pieces.filter("bin is not null").select("bin", "keys", "names", "ids", "sizes", "bytes")
     owners = packs.groupBy("bin").applyInPandas(
         lambda rows: _expanded(rows, length), "key long, name long, lo long, hi long, owner long")
-    places = pieces.filter("bin is null").select("id", "at", "key", "name")
+    places = pieces.filter("bin is null").select("id", "row", "at", "key", "name")
     spans = stored(
         places.join(owners, ["key", "name"]).filter("owner < id")
-        .select("id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length).alias("hi")), "spans")
-    touched = bit_table(spans.select("id").union(copies).select(F.xxhash64("id").alias("id")))
-    every = with_hit(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), touched, F.xxhash64(F.col("id").cast("long")))
-    info = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(
-        copies.withColumn("copy", F.lit(True)), "id", "full").withColumnRenamed("id", "_id")
+        .select("id", "row", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length).alias("hi")), "spans")
+    touched = bit_table(spans.select("id", "row").union(copies).select(F.xxhash64("id", "row").alias("id")))
+    every = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), F.col("id").cast("long"))
+    every = with_hit(every, touched, F.xxhash64(F.col("id").cast("long"), "row"))
+    info = spans.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(
+        copies.withColumn("copy", F.lit(True)), ["id", "row"], "full").withColumnsRenamed({"id": "_id", "row": "_row"})
     losing = every.filter("_hit")
-    losing = losing.join(info, F.col("id").cast("long") == F.col("_id"), "left").select("id", "_text", "spans", "copy")
+    losing = losing.join(info, (F.col("id").cast("long") == F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "_text", "spans", "copy")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -173,6 +173,17 @@ def test_hot_paraphrases(spark, kind):
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows if i < 1000}
 
 
+def test_contamination_is_judged_by_text(spark):
+    """One bad and several clean texts without id, and with one id."""
+    rng = random.Random(3)
+    item = prose(rng, 30)
+    clean = [prose(rng, 60) for _ in range(8)]
+    rows = [(i, t) for i in (None, 7) for t in (*clean[:3], clean[3] + " " + item, None)] + [(8, clean[5]), (None, clean[5])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = drop_contaminated(docs_of(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_raking_meets_its_targets():
     rng = np.random.default_rng(3)
     mass = rng.random((4, 3, 2)) * 100

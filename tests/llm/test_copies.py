@@ -122,6 +122,32 @@ def test_one_of_each_group_stays(docs, rows):
     assert left.count(None) >= 1
 
 
+def test_near_copies_are_judged_by_text(spark):
+    """Of texts without id, or with one id, only the near copies go."""
+    rng = random.Random(9)
+    base = [words(rng, 60) for _ in range(7)]
+    near = [t + " more" for t in base]
+    rows = [(1, base[0]), (5, near[0]), (5, base[1]), (5, base[2]), (None, base[3]), (None, near[3]), (None, base[4]), (None, near[1]),
+            (None, None), (None, None), (9, base[5]), (9, near[5]), (9, base[6]), (9, base[6])]
+    docs = spark.createDataFrame([(i, t, "en", 7, "x") for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert [r for r in kept if r[1] not in (base[3], near[3])] == sorted([
+        (1, base[0]), (5, base[1]), (5, base[2]), (None, base[4]), (None, None), (None, None), (9, near[5]), (9, base[6])], key=str)
+    assert sum(r in ((None, base[3]), (None, near[3])) for r in kept) == 1
+
+
+def test_strings_are_removed_by_text(spark):
+    """A text whose id is repeated by a copy, or by a text with a repeated passage, loses nothing."""
+    rng = random.Random(10)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(1, a), (4, a), (4, b), (4, c + " " + a), (4, d), (6, d), (6, words(rng, 40)), (None, a), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", 7, "x") for i, t in rows], SCHEMA)
+    found: dict = {}
+    for r in repeated_spans(docs, 50).collect():
+        found.setdefault(r.id, set()).add((r.n_bytes, r.n_removed, tuple((s.lo, s.hi) for s in r.spans), bytes(r.kept)))
+    assert found == brute_spans(rows, 50)
+
+
 def test_near_copies_of_an_empty_table(docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
