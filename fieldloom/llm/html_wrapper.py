@@ -49,6 +49,8 @@ MARKS = frozenset(
     "menubar breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo widget related recommended share "
     "sharing social cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login comment comments "
     "commentlist disqus respond reply replies pagination pager skip toolbar".split())
+#: Words before a mark in a class that says what an element has ("with-sidebar"), not what it is.
+_HAS = frozenset("with without has have no not hide show".split())
 MAIN_MARKS = frozenset("main content article post entry story articlebody".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*$", re.S)
@@ -65,41 +67,104 @@ class Node:
     apart: bool = False
     main: bool = False
     parts: list = field(default_factory=list)
+    mark: int = 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Name suffix, whether the attributes mark something apart, whether main text. What a class of
-    the whole page says ("with-sidebar") marks nothing, nor does one of ``main``; an ``article`` is
-    set apart only by what a class or role begins with ("comment", not "has-comments")."""
+#: Kinds of marks: by a later word of a class, by its first word, hidden.
+_SOFT, _FIRM, _HIDDEN = 1, 2, 3
+
+
+def _marks(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """Name suffix, what kind of mark sets the element apart (0: none), whether it is main text.
+    What a class of the whole page says marks nothing, nor does one of ``main``, nor a class like
+    "with-sidebar"; an ``article`` is set apart only by what a class or role begins with."""
     if not attributes or attributes.isspace():
-        return "", False, False
-    suffix, apart, main = [], False, False
+        return "", 0, False
+    suffix, apart, main = [], 0, False
     for match in _ATTRIBUTE.finditer(attributes):
         key = match[1].lower()
         value = match[2] or match[3] or match[4] or ""
         if key in ("hidden", "aria-hidden"):
-            apart |= (key == "hidden" and match[0].lower() == "hidden") or value.lower() == "true"
+            if (key == "hidden" and match[0].lower() == "hidden") or value.lower() == "true":
+                apart = _HIDDEN
             continue
-        if tag in ("html", "body", "main"):
-            words = set()
-        elif tag == "article":
-            words = {w[0].lower() for w in map(_WORD.findall, value.split()) if w}
-        else:
-            words = {w.lower() for w in _WORD.findall(value)}
-        apart |= bool(words & MARKS)
-        main |= bool(words & MAIN_MARKS)
+        if tag not in ("html", "body", "main"):
+            for first, *later in filter(None, ([w.lower() for w in _WORD.findall(x)] for x in value.split())):
+                if first in MARKS:
+                    apart = max(apart, _FIRM)
+                elif tag != "article" and first not in _HAS and not MARKS.isdisjoint(later):
+                    apart = max(apart, _SOFT)
+                main |= first in MAIN_MARKS or (tag != "article" and not MAIN_MARKS.isdisjoint(later))
         if key in ("class", "role"):
             suffix.append("." + " ".join(sorted(value.split())))
     return "".join(suffix), apart, main and not apart
 
 
+def _released(root: Node) -> None:
+    """Take marks off layout containers that merely name what they have beside the text.
+
+    A mark by a class, id or role goes when the element holds a ``main``; when it holds an
+    ``article`` and no ``main`` or ``article`` lies outside marked elements; when it holds what is
+    marked as main text, nothing such lies outside, and it has more than half of the page's text;
+    and when it is a mark by a later word, and elements of its name have more than half.
+    """
+    below: dict[int, tuple[int, set[str]]] = {}
+
+    def measure(node: Node, inside: bool) -> tuple[int, set[str]]:
+        """Characters below, and which kinds of main elements (and "out:" those outside of marks)."""
+        size, kinds = 0, set()
+        for part in node.parts:
+            if isinstance(part, str):
+                size += len(part.strip())
+            elif part.mark == _HIDDEN or (part.apart and not part.mark) or part.tag in RAW or part.tag in APART:
+                continue
+            else:
+                n, found = measure(part, inside or part.mark > 0)
+                size, kinds = size + n, kinds | found
+                if not part.mark and (part.main or part.tag in ("main", "article")):
+                    kind = part.tag if part.tag in ("main", "article") else "marked"
+                    kinds |= {kind} if inside else {kind, "out:" + kind}
+        below[id(node)] = size, kinds
+        return size, kinds
+
+    total, kinds = measure(root, False)
+    outside = {k[4:] for k in kinds if k.startswith("out:")}
+    soft: dict[str, int] = {}
+
+    def outermost(node: Node) -> list[Node]:
+        out = []
+        for part in node.parts:
+            if isinstance(part, Node) and id(part) in below:
+                out += [part] if part.mark else outermost(part)
+        return out
+
+    todo = outermost(root)
+    while todo:
+        soft.clear()
+        for node in todo:
+            soft[node.name] = soft.get(node.name, 0) + below[id(node)][0]
+        free = []
+        for node in todo:
+            size, held = below[id(node)]
+            if (
+                "main" in held
+                or ("article" in held and not outside & {"main", "article"})
+                or ("marked" in held and not outside and 2 * size > total)
+                or (node.mark == _SOFT and 2 * soft[node.name] > total)
+            ):
+                node.apart, node.mark = False, 0
+                free.append(node)
+        todo = [x for node in free for x in outermost(node)]
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Ends that are left out are put in by the usual rules, ends without a
     beginning are ignored, and what is open at the end of the page is closed."""
     root = Node("#page", "#page")
     stack = [root]
     at, n = 0, len(page)
-    known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+    known: dict[tuple[str, str], tuple[str, int, bool]] = {}
+    marked = False
 
     def text(upto: int) -> None:
         if upto > at:
@@ -140,7 +205,8 @@ def parse(page: str) -> Node:
         marks = known.get(key)
         if marks is None:
             marks = known[key] = _marks(*key)
-        node = Node(tag + marks[0], tag, tag in APART or marks[1], tag in ("article", "main") or marks[2])
+        node = Node(tag + marks[0], tag, tag in APART or marks[1] > 0, tag in ("article", "main") or marks[2], mark=marks[1])
+        marked |= marks[1] in (_SOFT, _FIRM)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -149,6 +215,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not (match[3] or "").endswith("/"):
             stack.append(node)
     text(n)
+    if marked:
+        _released(root)
     return root
 
 
@@ -213,7 +281,7 @@ def _merged(x: dict, y: dict) -> dict:
         same = x["t"] is not None and x["t"] == y["t"]
         out = {"t": x["t"] if same else None, "c": x["c"] + y["c"]}
     else:
-        out = {"n": x["n"], "k": _aligned(x["k"], y["k"]), "a": x["a"] or y["a"], "m": x["m"] or y["m"]}
+        out = {"n": x["n"], "k": _aligned(x["k"], y["k"]), "a": x["a"] and y["a"], "m": x["m"] or y["m"]}
     for flag in ("o", "r"):
         if x.get(flag) or y.get(flag):
             out[flag] = True

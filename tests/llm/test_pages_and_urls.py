@@ -95,3 +95,23 @@ def test_pages_of_hosts(spark):
     assert [(g[0], g[2]) for g in got] == sorted(want, key=str) or {(g[0], g[2]) for g in got} == set(want)
     assert all(g[3] == len(g[2]) for g in got) and len(got) == len(rows)
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+TEXT = "<p>The story begins here and goes on for a while.</p>"
+
+
+@pytest.mark.parametrize("body", [
+    f'<div class="content-sidebar-wrap"><main>{TEXT}</main><div class="sidebar">Side</div></div>',
+    f'<div class="container with-sidebar"><article>{TEXT}</article><div class="sidebar">Side</div></div>',
+    f'<div id="page" class="site has-comments">{TEXT}<div id="comments">nice</div></div>',
+    f'<div class="layout-sidebar">{TEXT}<div class="left-sidebar">Side</div></div>',
+    f'<div class="sidebar-right"><div class="entry">{TEXT}</div><div class="site-header">Site</div></div>',
+    f'<article>{TEXT}</article><div class="related-posts"><article>Another story</article></div>',
+])
+def test_containers_that_name_what_they_have(spark, body):
+    want = "The story begins here and goes on for a while."
+    assert page_text(f"<body><nav>Home</nav>{body}</body>", None, None) == want
+    # The same on a host of many pages.
+    pages = [(i, "http://h.org/", f"<body><nav>Home</nav>{body.replace('while', f'while {i}')}</body>") for i in range(6)]
+    got = extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {(r.id, r.text) for r in got} == {(i, want.replace("while", f"while {i}")) for i in range(6)}
