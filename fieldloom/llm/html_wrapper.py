@@ -320,11 +320,10 @@ def _mass(part: dict) -> int:
 def content_paths(wrapper: dict) -> tuple[list[str], list[str]]:
     """What the wrapper says about main text: paths of elements that hold it, and constant texts.
 
-    Elements marked as main text hold it; of several, those whose slots have a tenth or more of the
-    characters of the best. Without any, the whole page holds it, less the texts that are the same
+    Elements marked as main text hold it, all of them (nested ones once). Without any, the whole page holds it, less the texts that are the same
     on every page, and these are named.
     """
-    found: list[tuple[str, int]] = []
+    found: list[str] = []
     fixed: list[str] = []
 
     def walk(part: dict, path: str) -> None:
@@ -336,23 +335,18 @@ def content_paths(wrapper: dict) -> tuple[list[str], list[str]]:
             return
         path = f"{path}/{part['n']}"
         if part["m"]:
-            found.append((path, _all_mass(part)))
+            found.append(path)
             return
         for p in part["k"]:
             walk(p, path)
 
     walk(wrapper, "")
     if found:
-        best = max(m for _, m in found)
-        return [p for p, m in found if m * 10 >= best], []
+        return found, []
     varies = _mass(wrapper) > 0
     return [""], sorted(set(fixed)) if varies else []
 
 
-def _all_mass(part: dict) -> int:
-    return part["c"] if "n" not in part else 0 if part["a"] else sum(map(_all_mass, part["k"]))
-
-
 def extract(page: Node, paths: list[str], fixed: list[str]) -> str:
     """Texts of the page in the elements the wrapper names, in order; blocks joined by one space."""
     wanted, constant, out = set(paths), set(fixed), []

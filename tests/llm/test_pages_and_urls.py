@@ -115,3 +115,12 @@ def test_containers_that_name_what_they_have(spark, body):
     pages = [(i, "http://h.org/", f"<body><nav>Home</nav>{body.replace('while', f'while {i}')}</body>") for i in range(6)]
     got = extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {(r.id, r.text) for r in got} == {(i, want.replace("while", f"while {i}")) for i in range(6)}
+
+
+def test_all_main_elements_are_taken(spark):
+    """A short lead beside a long article, and a rarer layout on a host of many other pages."""
+    long = "word " * 300
+    pages = [(i, "http://h.org/", f'<body><section class="entry">Lead {i}</section><article>Body {i} {long}</article></body>') for i in range(20)]
+    pages += [(100, "http://h.org/", '<body><article>Summary</article><div class="post">The text itself</div></body>')]
+    got = {r.id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Lead {i} Body {i} {long}".strip() for i in range(20)} | {100: "Summary The text itself"}
