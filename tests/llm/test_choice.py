@@ -173,6 +173,21 @@ def test_hot_paraphrases(spark, kind):
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows if i < 1000}
 
 
+def test_long_items(spark):
+    """Items of 300 and 1,000 words, verbatim and with 0.25 of the words replaced."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "re", "tun", "sh", "ve", "do"]) for _ in range(5)) for _ in range(9000)]
+    items = [rng.sample(words, n) for n in (300, 1000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400))) for i in range(100)]
+    for k, item in enumerate(items):
+        for j in range(2):
+            body = paraphrased(rng, item, j * len(item) // 4, words)
+            rows.append((1000 + 2 * k + j, " ".join(rows[k][1].split()[:90] + body + rows[j][1].split()[:70])))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.id, r.item_id) for r in benchmark_matches(docs_of(spark, rows), bench).collect()}
+    assert got == {(1000 + 2 * k + j, k) for k in range(2) for j in range(2)}
+
+
 def test_contamination_is_judged_by_text(spark):
     """One bad and several clean texts without id, and with one id."""
     rng = random.Random(3)
