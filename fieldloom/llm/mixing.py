@@ -74,8 +74,8 @@ def mix_to_targets(
 
     ``targets`` gives, for each of the columns (say ``source``, ``lang``, ``topic``), the wanted
     share of tokens of each category. Categories that are not named, and null, count together as
-    one; its share is what the named ones leave of 1, or, when they leave nothing, nothing is wanted
-    of it. ``topic`` is computed by :func:`topic_of` unless ``docs`` has such a column.
+    one; its share is what the named ones leave of 1, or, when they leave nothing, the share of the
+    tokens that it has (the named ones then divide the rest). ``topic`` is computed by :func:`topic_of` unless ``docs`` has such a column.
 
     Tokens are summed over all documents by the cells of these categories. The table of cells is
     bounded by the size of the targets, so it is raked on the driver and sent to the executors. A
@@ -103,9 +103,14 @@ def mix_to_targets(
     for row in out.groupBy("_cell").agg(F.sum("n_tokens").alias("n")).collect():
         mass[row["_cell"]] = row["n"] or 0
     wanted = []
-    for name, key in zip(names, keys, strict=True):
+    for axis, (name, key) in enumerate(zip(names, keys, strict=True)):
         shares = np.array([max(0.0, float(targets[name][k])) for k in key[:-1]])
-        full = np.append(shares, max(0.0, 1 - shares.sum()))
+        left = 1 - shares.sum()
+        if left < 1e-9 and mass.sum() > 0:
+            other = np.take(mass.reshape(shape), -1, axis).sum() / mass.sum()
+            full = np.append(shares / shares.sum() * (1 - other), other)
+        else:
+            full = np.append(shares, max(0.0, left))
         wanted.append(full / full.sum() if full.sum() > 0 else np.full(len(key), 1 / len(key)))
     kept = rake(mass.reshape(shape), wanted, fraction * mass.sum()).ravel()
     chance = np.where(mass > 0, kept / np.where(mass > 0, mass, 1), fraction)

@@ -232,6 +232,19 @@ def test_mixing(spark):
     assert mix_to_targets(docs.limit(0), targets, 0.2).count() == 0
 
 
+def test_mixing_keeps_what_targets_do_not_name(spark):
+    """Null and unlisted sources and languages, under the registered targets and those of the stage."""
+    rng = random.Random(5)
+    kinds = [("src1", "en"), ("src20", "en"), (None, "de"), ("src2", None), ("src3", "pl"), (None, None), ("src4", "fr")]
+    docs = spark.createDataFrame(
+        [(i, prose(rng, 30), *kinds[i % 7]) for i in range(1400)], "doc_id long, text string, source string, lang string")
+    for targets in (queries.MIX_TARGETS, corpus_pipeline.MIX_TARGETS):
+        got = mix_to_targets(docs, targets, 0.5).collect()
+        for kind in kinds:
+            assert any(r.sampled for r in got if (r.source, r.lang) == kind), kind
+        assert min(r.probability for r in got) > 0
+
+
 def test_curve_steps_to_neighbours(spark):
     grid = spark.range(1 << 9).selectExpr("id % 8 as x", "id div 8 % 8 as y", "id div 64 as z")
     from pyspark.sql import functions as F
