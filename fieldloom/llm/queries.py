@@ -11,7 +11,9 @@ import corpus_pipeline
 from fieldloom.llm.common import table
 from fieldloom.llm.decontaminate import benchmark_matches
 from fieldloom.llm.exact_dedup import exact_dedup
+from fieldloom.llm.hard_negatives import hard_negatives
 from fieldloom.llm.html_wrapper import extract_pages
+from fieldloom.llm.license_scan import NOTICES, PHRASES, license_scan, wanted
 from fieldloom.llm.line_dedup import line_dedup
 from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import near_duplicates
@@ -19,6 +21,10 @@ from fieldloom.llm.quality import quality_scores
 from fieldloom.llm.sharding import hilbert_shards
 from fieldloom.llm.suffix_dedup import repeated_spans
 from fieldloom.llm.url_filter import filter_urls
+from fieldloom.llm.vector_codes import codebook_digest, encode, train_codebooks
+from fieldloom.llm.vectors import scaled, usable
+from fieldloom.plans.joins import lookup_join
+from fieldloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -221,6 +227,136 @@ def op10_mix_targets(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
+# --- 11: licenses ----------------------------------------------------------------------------
+
+
+def _license_sql() -> str:
+    """Every window against every template, without an index."""
+    templates = [(k, t, [w for w in t.words() if w]) for k, t in enumerate([*PHRASES, *NOTICES])]
+    core = max(len(w) for _, _, w in templates)
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ",\n    ".join(
+        f"({k}, '{t.label}', {quoted(w)}, {len(set(w))}, {wanted(len(set(w)), 1.0) if t.phrase else wanted(len(set(w)))}, "
+        f"{str(t.phrase).lower()}, {str(k < len(PHRASES)).lower()})"
+        for k, t, w in templates
+    )
+    return rf"""
+with templates(k, label, phrase, size, share, is_phrase, is_base) as (values
+    {rows}),
+texts as materialized (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents),
+windows as materialized (
+  select doc_id, u.p0, list_slice(words, u.p0 + 1, u.p0 + {2 * core}) as w
+  from texts, unnest(range(0, greatest(len(words), 1), {core})) as u(p0) where len(words) > 0),
+pairs as materialized (
+  select doc_id, p0, w, k, label, phrase, size, is_phrase, is_base, len(list_intersect(list_distinct(w), list_distinct(phrase))) as overlap
+  from windows, templates where len(list_intersect(list_distinct(w), list_distinct(phrase))) >= share),
+found as (
+  select *, case when is_phrase then list_filter(range(p0, p0 + least({core}, len(w))),
+              lambda p: list_slice(w, p - p0 + 1, p - p0 + len(phrase)) = phrase) end as places
+  from pairs),
+hits as (select * from found where not is_phrase or len(places) > 0),
+marks as (
+  select doc_id, sum(len(places)) filter (where is_base)::bigint as n_base, min(list_min(places)) filter (where is_base)::bigint as first_word,
+         max(list_max(places)) filter (where is_base)::bigint as last_word,
+         array_to_string(list_sort(list(distinct label) filter (where is_base)), ',') as base_labels,
+         array_to_string(list_sort(list(distinct label)), ',') as labels, max(overlap::double / size) as score
+  from hits group by doc_id)
+select t.doc_id, len(t.words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from texts t left join marks m on t.doc_id = m.doc_id
+"""
+
+
+@query("op11_license_scan", _license_sql())
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and notices in every text."""
+    found = license_scan(table(spark, folder, "documents"), PHRASES, NOTICES)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+# --- 12: hard negatives ----------------------------------------------------------------------
+
+_FINITE_SQL = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+@query("op12_hard_negatives", f"""
+with kept as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and {_FINITE_SQL}),
+scores as materialized (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as alike, list_dot_product(a.v, r.v)::bigint as score
+  from kept a join kept r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, id) as place from scores where alike) where place <= 5),
+negatives as (
+  select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank,
+         id as negative_id, positive_score, score as negative_score
+  from positives p join scores s on p.anchor_id = s.anchor_id and not alike
+   and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from negatives where rank <= 10
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of another label that score between 30 and 90 % of an anchor's positives."""
+    rows = table(spark, folder, "embeddings").filter(usable(F.col("embedding")) & F.col("label").isNotNull()).select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        scaled(F.col("embedding"), 256).alias("vector"))
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+# --- 13: vector codes ------------------------------------------------------------------------
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds one after another, every part against every entry."""
+    near = """
+near{k} as materialized (
+  select r, p, e, d from (
+    select r, p, e, d, row_number() over (partition by r, p order by d, e) as place from (
+      select t.r, t.p, b.e, coalesce(list_sum(list_transform(list_zip(t.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)::bigint as d
+      from points t join books{k} b on t.p = b.p)) where place = 1),"""
+    update = """
+sums{k} as (
+  select p, e, i, sum(t.x[i])::bigint as s, count(*) as n from near{k} join points t using (r, p), unnest(range(1, len(t.x) + 1)) as u(i) group by p, e, i),
+books{next} as materialized (
+  select b.p, b.e, coalesce(m.c, b.c) as c from books{k} b left join (
+    select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from sums{k} group by p, e) m on b.p = m.p and b.e = m.e),"""
+    steps = "".join(near.format(k=k) + update.format(k=k, next=k + 1) for k in range(rounds)) + near.format(k=rounds)
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v
+  from embeddings where {_FINITE_SQL}),
+points as materialized (
+  select r, u.p, list_slice(v, u.p * (len(v) // 8) + 1, (u.p + 1) * (len(v) // 8)) as x from kept, unnest(range(0, 8)) as u(p)),
+books0 as materialized (select p, r - 1 as e, x as c from points where r <= 16),
+{steps}
+codes as (
+  select r, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near{rounds} group by r),
+digest as (
+  select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from books{rounds})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from kept join codes using (r), digest
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors with codebooks learned from all of them."""
+    rows = table(spark, folder, "embeddings").filter(usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), "label", scaled(F.col("embedding"), 4096).alias("vector"))
+    books = train_codebooks(rows)
+    coded = stored(encode(rows, books), "codes")
+    # Nulls in a struct are equal to each other.
+    keyed = coded.withColumn("group", F.struct("label"))
+    sums = keyed.groupBy("group").agg(F.sum("error").alias("label_error"))
+    return lookup_join(keyed, sums, ["group"]).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256"))
+
+
 # --- the pipeline ----------------------------------------------------------------------------
 
 
