@@ -14,6 +14,7 @@ from fieldloom.functions.values import (
     json_type,
     map_items,
 )
+from fieldloom.operators import batches
 
 RESPONSE = "struct<response_value:string,response_text:string>"
 _SINGLE = ("rad", "radh", "cmb", "hck")
@@ -71,7 +72,8 @@ def db_responses(fields: DataFrame) -> DataFrame:
 
 
 def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Nested records: ``doc_id, template_id, sections``, built within the row of a document.
+    """Nested records: ``doc_id, template_id, sections``, built within the row of a document, in
+    Arrow batches with tables that are made once per template.
 
     A document in trouble (unknown template, unreadable text) has null sections, and the reason in
     ``trouble``.
@@ -79,55 +81,12 @@ def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Sections come in document order, groups ordered by their number, a group without any
     question that has a place in this layout is left out.
     """
-    known = F.filter(
-        F.map_values("aligned"),
-        lambda n: n["rule"].isNotNull() & ~n["rule"]["is_virtual_child"]
-        & (F.size(n["rule"]["level_keys"]) > 3),
-    )
-
-    def row(n: Column) -> Column:
-        rule = n["rule"]
-        return F.struct(
-            rule["pos"].alias("pos"),
-            section_code(rule["level_keys"]).alias("section"),
-            F.get(rule["level_keys"], F.lit(3)).alias("group"),
-            rule["group_title"].alias("title"),
-            rule["source_type"].isin(*GRIDS).alias("grid"),
-            F.struct(
-                rule["key"].alias("question_key"),
-                rule["id"].alias("question_number"),
-                F.coalesce(rule["raw_name"], F.lit("")).alias("question_text"),
-                F.array(response(n["value"], rule)).alias("responses"),
-            ).alias("answer"),
-        )
-
-    ordered = F.array_sort(F.transform(known, row))
-    prepared = lined.select(
-        "doc_id", "template_id", "table_title", "trouble", *keep, ordered.alias("_rows")
-    )
-    sections = F.array_distinct(F.transform("_rows", lambda r: r["section"]))
-
-    def section(code: Column) -> Column:
-        own = F.filter("_rows", lambda r: (r["section"] == code) & ~r["grid"])
-        groups = F.array_sort(F.array_distinct(F.transform(own, lambda r: r["group"])))
-
-        def group(number: Column) -> Column:
-            inside = F.filter(own, lambda r: r["group"] == number)
-            return F.struct(
-                number.alias("group_number"),
-                F.get(inside, F.lit(0))["title"].alias("group_title"),
-                F.transform(inside, lambda r: r["answer"]).alias("assessment_responses"),
-            )
-
-        return F.struct(
-            code.alias("section_code"),
-            F.transform(groups, group).alias("assessment_question_groups"),
-        )
-
-    return prepared.select(
-        "doc_id", "template_id", "table_title", "trouble", *keep,
-        F.transform(sections, section).alias("sections"),
-    )
+    make = batches.records(batches.Kinds(frozenset(_SINGLE), frozenset(_MULTI), frozenset(_CHECK), frozenset(GRIDS)))
+    usable = F.when(F.col("trouble").isNull(), batches.answers(F.col("leaves")))
+    shown = ["doc_id", "template_id", "table_title", "trouble", *keep]
+    # The explode of one item keeps the optimizer from moving lambdas into the arguments.
+    return lined.select(*shown, "rules_text", F.explode_outer(F.array(usable)).alias("_fields")).select(
+        *shown, make(F.col("rules_text"), F.col("_fields")).alias("sections"))
 
 
 def with_metadata(

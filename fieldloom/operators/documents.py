@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.batches import rules_text
 from fieldloom.operators.templates import PATH_SEP, last_per_path
 from fieldloom.plans.joins import lookup_join
 from fieldloom.plans.layout import TemplateLayout
@@ -283,15 +284,18 @@ def line_up(
     * ``absent``: below a missing, unexpected or closed container, which is reported itself
     * ``closed``: a container that holds no object
     * ``misnamed``: the ``table_name`` is not that of the template
+
+    ``leaves`` (path and value) and ``rules_text`` are for operators that work on whole batches.
     """
     kept = ["doc_id", "template_id", *keep]
     parsed = parse_documents(docs.select(*kept, doc), layout, doc).drop(doc)
+    contracts = contracts.withColumn("rules_text", rules_text(F.col("rules")))
     joined = lookup_join(parsed, contracts, ["template_id"], "left", **join)
     trouble = F.when(F.col("rules").isNull(), "unknown template").when(
         F.col("leaves").isNull(), "unreadable"
     )
     usable = joined.select(
-        *kept, "table_title", "rules", "holders", "named", "containers", "closed", "other_keys",
+        *kept, "table_title", "rules", "rules_text", "holders", "named", "containers", "closed", "other_keys",
         "virtual_paths", trouble.alias("trouble"),
         F.when(
             F.size("virtual_paths") > 0,
@@ -333,12 +337,12 @@ def line_up(
         )
 
     staged = usable.select(
-        *kept, "table_title", "trouble", "rules", "leaves", "holders", "virtual_paths",
+        *kept, "table_title", "trouble", "rules", "rules_text", "leaves", "holders", "virtual_paths",
         simple.alias("_simple"), F.when(~simple, is_open).alias("_open"),
         _problems(layout).alias("_problems"),
     )
     both = staged.select(
-        *kept, "table_title", "trouble", "_problems",
+        *kept, "table_title", "trouble", "rules_text", "leaves", "_problems",
         F.when(F.col("_simple"), zipped(simple_state)).otherwise(zipped(full_state)).alias("aligned"),
     )
     rule_type = contracts.schema["rules"].dataType.valueType
@@ -351,7 +355,7 @@ def line_up(
         ),
     )
     return both.select(
-        *kept, "table_title", "trouble",
+        *kept, "table_title", "trouble", "rules_text", "leaves",
         F.when(
             F.size("_problems") > 0, F.map_concat("aligned", F.map_from_entries(as_entries))
         ).otherwise(F.col("aligned")).alias("aligned"),

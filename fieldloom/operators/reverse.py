@@ -1,8 +1,8 @@
 """Answers back to the codes and layouts of the source system.
 
 Formatters turn one answer into a list of entries ``storage_key, key, type, html_type, value``
-(``value`` is JSON text). They are columns, so they run on exploded rows as well as inside the
-row of a document, which is how whole results are packed without a shuffle.
+(``value`` is JSON text). They are columns and run on exploded rows, where Spark compiles them.
+Whole results are packed without a shuffle, in Arrow batches, by the twins of these formatters.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from fieldloom.functions.values import (
     json_type,
     option_code,
 )
+from fieldloom.operators import batches
 from fieldloom.operators.contract import json_text
 
 #: ``(value, rule) -> array of entries``; null or an empty array leaves the field out.
@@ -28,8 +29,7 @@ Formatter = Callable[[Column, Column], Column]
 _ENTRY = "struct<storage_key:string,key:string,type:string,html_type:string,value:string>"
 _ENTRIES = f"array<{_ENTRY}>"
 NULL_JSON = "null"
-# Fixed value: what an unset checkbox or an unused grid cell is stored as.
-OFF = '"null"'
+OFF = batches.OFF
 
 
 def entry(
@@ -67,16 +67,25 @@ def _code(value: Column, rule: Column) -> Column:
 
 # ------------------------------------------------------------------------------- default set
 
+#: What formats whole batches the way a column formatter does.
+TWINS: dict[Formatter, batches.BatchFormatter] = {}
+
+
+def _twin(formatter: Formatter, batch: batches.BatchFormatter) -> Formatter:
+    TWINS[formatter] = batch
+    return formatter
+
 
 def passed(label: str) -> Formatter:
     """The answer as it is."""
-    return lambda value, rule: F.array(entry(rule["key"], F.lit(label), F.to_json(value)))
+    return _twin(lambda value, rule: F.array(entry(rule["key"], F.lit(label), F.to_json(value))), batches.passed(label))
 
 
 def coded(label: str) -> Formatter:
     """The code of the chosen option, or the answer if no option matches."""
-    return lambda value, rule: F.array(
-        entry(rule["key"], F.lit(label), F.when(_filled(value), _code(value, rule)))
+    return _twin(
+        lambda value, rule: F.array(entry(rule["key"], F.lit(label), F.when(_filled(value), _code(value, rule)))),
+        batches.coded(label),
     )
 
 
@@ -228,6 +237,21 @@ def ui_checkbox(value: Column, rule: Column) -> Column:
     return _ui(rule, F.when(shown == "true", '"1"').when(shown == "false", OFF).otherwise(shown))
 
 
+def widget_name(source_type: str | None, length: int | None) -> str:
+    """:func:`widget` for one type."""
+    if source_type in ("txt", "diag"):
+        return "textarea_singleline" if length is not None and length <= LONG_TEXT else "textarea_multiline"
+    return WIDGETS.get(source_type, "text")
+
+
+_UI = batches.ui_formatters(widget_name)
+for _column, _batch in (
+    (code_list, batches.code_list), (checked, batches.checked), (table_rows, batches.table_rows), (omitted, batches.omitted),
+    (ui_basic, _UI["basic"]), (ui_number, _UI["number"]), (ui_single, _UI["single"]), (ui_multi, _UI["multi"]),
+    (ui_grid, _UI["grid"]), (ui_checkbox, _UI["checkbox"]),
+):
+    _twin(_column, _batch)
+
 FORMATTERS: dict[str, dict[str, Formatter]] = {
     "default": {
         "chk": checked,
@@ -325,28 +349,6 @@ def unformatted(
     ).select("doc_id", "template_id", "key", "source_type")
 
 
-def _pairs(entries: Column, as_object: bool) -> Column:
-    """Entries of one container as JSON: an object by storage key, or a list."""
-    def body(e: Column) -> list[Column]:
-        return [
-            F.concat(F.lit('"type":'), json_text(e["type"])),
-            F.concat(F.lit('"html_type":'), json_text(e["html_type"])),
-            F.concat(F.lit('"value":'), e["value"]),
-        ]
-
-    def item(e: Column) -> Column:
-        parts = body(e)
-        if as_object:
-            return F.concat(
-                json_text(e["storage_key"]), F.lit(":{"), F.concat_ws(",", *parts), F.lit("}")
-            )
-        key = F.concat(F.lit('"key":'), json_text(e["key"]))
-        return F.concat(F.lit("{"), F.concat_ws(",", key, *parts), F.lit("}"))
-
-    left, right = ("{", "}") if as_object else ("[", "]")
-    return F.concat(F.lit(left), F.array_join(F.transform(entries, item), ","), F.lit(right))
-
-
 def reverse_map(
     lined: DataFrame,
     name: str = "ui",
@@ -367,86 +369,29 @@ def reverse_map(
     Takes :func:`line_up` and stays within its rows. With ``group_as`` the entries are grouped
     by their top container (entries without one are left out), else they form one list under
     ``data``. Containers become an object by code, or a list of objects that hold their code.
+
+    Built-in formatters work on Arrow batches, with tables that are made once per template. A
+    formatter of the caller's own stays a column expression: its entries are made within the row and
+    put in their place.
     """
     for given in (pack_properties_as, pack_containers_as):
         if given not in ("object", "array"):
             raise ValueError(f"pack as 'object' or 'array', not {given!r}")
     formatters = formatter_set(name, sets)
-    as_object = pack_properties_as == "object"
-
-    def made(node: Column) -> Column:
-        rule = node["rule"]
-        about = lambda e, i: F.struct(
-            rule["pos"].alias("pos"), i.alias("item"), rule["section_code"].alias("section"),
-            rule["key_field"].alias("key_field"), e.alias("e"),
-        )
-        return F.transform(entries_of(node["value"], rule, formatters), about)
-
-    known = F.filter(
-        F.map_values("aligned"),
-        lambda n: n["rule"].isNotNull() & ~n["rule"]["is_virtual_child"],
-    )
-    # The explode of one item is a border for the optimizer: flattening a column is much cheaper
-    # than flattening the large expression it comes from, whose type is derived again every time.
-    prepared = (
-        lined
-        .select("doc_id", "template_id", "table_title", "trouble",
-                F.explode_outer(F.array(F.transform(known, made))).alias("_nested"))
-        .select("doc_id", "template_id", "table_title", "trouble",
-                F.array_sort(F.flatten("_nested")).alias("_raw"))
-        .select("doc_id", "template_id", "table_title", "trouble", _last_stored(F.col("_raw")).alias("_all"))
-    )
-    properties = lambda found: _pairs(F.transform(found, lambda x: x["e"]), as_object)
-    prop_name = json_text(F.lit(properties_key))
-    if group_as is None:
-        data_name = "data"
-        data = F.concat(F.lit("[{"), prop_name, F.lit(":"), properties(F.col("_all")), F.lit("}]"))
-    else:
-        data_name = group_as
-        codes = F.array_distinct(
-            F.transform(F.filter("_all", lambda x: x["section"].isNotNull()),
-                        lambda x: F.struct(x["section"].alias("section"),
-                                           x["key_field"].alias("key_field")))
-        )
-
-        def group(c: Column) -> Column:
-            inner = [F.concat(prop_name, F.lit(":"),
-                              properties(F.filter("_all", lambda x: x["section"] == c["section"])))]
-            if pack_containers_as == "array":
-                code = F.concat(json_text(c["key_field"]), F.lit(":"), json_text(c["section"]))
-                return F.concat(F.lit("{"), F.concat_ws(",", code, *inner), F.lit("}"))
-            if state is not None:
-                inner.append(F.concat(F.lit('"state":'), json_text(F.lit(state))))
-            return F.concat(
-                json_text(c["section"]), F.lit(":{"), F.concat_ws(",", *inner), F.lit("}")
-            )
-
-        left, right = ("[", "]") if pack_containers_as == "array" else ("{", "}")
-        data = F.concat(F.lit(left), F.array_join(F.transform(codes, group), ","), F.lit(right))
-    head = []
-    if type_field and all(type_field):
-        head.append(F.concat(json_text(F.lit(type_field[0])), F.lit(":"),
-                             json_text(F.lit(type_field[1]))))
-    head.append(F.concat(json_text(F.lit(title_field)), F.lit(":"), json_text(F.col("table_title"))))
-    if id_field:
-        head.append(F.concat(json_text(F.lit(id_field)), F.lit(":"),
-                             F.col("template_id").cast("string")))
-    body = F.concat(json_text(F.lit(data_name)), F.lit(":"), data)
-    return prepared.select(
+    in_batches = {k: TWINS[f] for k, f in formatters.items() if f in TWINS}
+    others = {k: f for k, f in formatters.items() if f not in TWINS}
+    no_entries = F.lit(None).cast(f"array<struct<pos:int,made:{_ENTRIES}>>")
+    made = batches.made_in_row(F.col("aligned"), lambda v, r: entries_of(v, r, others)) if others else no_entries
+    head = f"{batches.quoted(type_field[0])}:{batches.quoted(type_field[1])}" if type_field and all(type_field) else ""
+    how = batches.Packing(group_as, properties_key, pack_properties_as == "object", pack_containers_as == "array", head,
+                          title_field, id_field, state)
+    pack = batches.packed(in_batches, how)
+    usable = F.when(F.col("trouble").isNull(), batches.answers(F.col("leaves")))
+    shown = ["doc_id", "template_id", "table_title", "trouble", "rules_text"]
+    # The explode of one item keeps the optimizer from moving lambdas into the arguments.
+    both = F.struct(usable.alias("fields"), made.alias("made"))
+    return lined.select(*shown, F.explode_outer(F.array(both)).alias("_a")).select(
         "doc_id", "template_id",
-        F.when(F.col("trouble").isNull(), F.concat(F.lit("{"), F.concat_ws(",", *head, body), F.lit("}"))).alias("result"),
+        pack(F.col("template_id").cast("string"), "table_title", "rules_text", "_a.fields", "_a.made").alias("result"),
         "trouble",
     )
-
-
-def _last_stored(entries: Column) -> Column:
-    """Two fields with the same key share one place: the later one counts."""
-    keys = F.transform(entries, lambda x: x["e"]["storage_key"])
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(
-        F.filter(
-            entries,
-            lambda x, i: ~F.array_contains(
-                F.slice(keys, i + 2, F.size(keys)), x["e"]["storage_key"]
-            ),
-        )
-    )
