@@ -11,7 +11,7 @@ WEEK_PATTERN = r"\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?"
 _HOUR, _PART = r"(?:[01]\d|2[0-3])", r"[0-5]\d"
 _CLOCK = rf"{_HOUR}(?::{_PART}(?::{_PART}(?:[.,]\d+)?)?|{_PART}(?:{_PART}(?:[.,]\d+)?)?)?"
 _OFFSET = rf"(?:Z|[+-]{_HOUR}(?::?{_PART}(?::?{_PART})?)?)?"
-STAMP_PATTERN = rf"^(?:{DAY_PATTERN}|{WEEK_PATTERN})(?:[T ]{_CLOCK}{_OFFSET})?$"
+STAMP_PATTERN = rf"^(?:{DAY_PATTERN}|{WEEK_PATTERN})(?:[T ]{_CLOCK}{_OFFSET})?\z"
 
 
 def _real_day(text: Column) -> Column:

@@ -119,29 +119,31 @@ class _Number(str):
     """A number as it is written."""
 
 
-def _parsed(text: str) -> Any:
+def parsed(text: str) -> Any:
+    """JSON with its numbers as they are written."""
     return json.loads(text, parse_int=_Number, parse_float=_Number)
 
 
-def _rendered(value: Any) -> str:
+def rendered(value: Any) -> str:
+    """The JSON text of what :func:`parsed` gave."""
     if isinstance(value, _Number):
         return value
     if isinstance(value, str):
         return quoted(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{quoted(k)}:{_rendered(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{quoted(k)}:{rendered(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(map(_rendered, value)) + "]"
-    return {None: "null", True: "true", False: "false"}[value]
+        return "[" + ",".join(map(rendered, value)) + "]"
+    return {None: _NULL, True: "true", False: "false"}[value]
 
 
 def _grid_row(item: Value, rule: Rule) -> tuple[str | None, Any]:
     """Code of the entry of a grid row, and its description as JSON text; nulls where they are missing."""
-    row = _parsed(item.json) if item.kind is not None and item.kind.startswith("OBJECT") else {}
+    row = parsed(item.json) if item.kind is not None and item.kind.startswith("OBJECT") else {}
     chosen = row.get("entry")
     if chosen is not None and not isinstance(chosen, str):
-        chosen = _rendered(chosen)
-    return rule.code(chosen), _rendered(row["description"]) if "description" in row else None
+        chosen = rendered(chosen)
+    return rule.code(chosen), rendered(row["description"]) if "description" in row else None
 
 
 # --- templates -------------------------------------------------------------------------------

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldloom.operators.batches import parsed, quoted, rendered
 from fieldloom.operators.documents import TABLE_NAME
 from fieldloom.operators.templates import PATH_SEP
 from fieldloom.plans.layout import TemplateLayout
@@ -35,30 +38,31 @@ def _object(parts: list[Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-#: Objects in an object lock are written out to this depth; what lies deeper is one constant.
-LOCK_DEPTH = 3
+def locked_object(value: Column) -> list[Column]:
+    """Constraints that only the given object (a VARIANT) meets: each of its keys, and no other, down to
+    the deepest object in it; null for what is no object."""
+    @F.arrow_udf("string")
+    def closed(locks: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for lock, text in zip(locks.to_pylist(), texts.to_pylist()):
+            held = None if lock is None else T.VariantVal(lock["value"], lock["metadata"]).toPython()
+            out.append(_closed_lock(held, parsed(text)) if isinstance(held, dict) else None)
+        return pa.array(out, pa.string())
 
+    return [closed(value, F.to_json(value))]
 
-def locked_object(value: Column, depth: int = LOCK_DEPTH) -> list[Column]:
-    """Constraints that only the given object (a VARIANT) meets: each of its keys, and no other."""
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
-    def child(entry: Column) -> Column:
-        inner, name = entry["value"], F.schema_of_variant(entry["value"])
-        kind = (
-            F.when(name == "STRING", "string").when(name == "BIGINT", "integer").when(name == "BOOLEAN", "boolean")
-            .when(name == "VOID", "null").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object")
-            .otherwise("number")
-        )
-        fragment = _object([_named("type", json_text(kind)), _named("const", F.to_json(inner))])
-        if depth > 1:
-            nested = _object([_named("type", F.lit('"object"')), *locked_object(inner, depth - 1)])
-            fragment = F.when(kind == "object", nested).otherwise(fragment)
-        return F.concat(json_text(entry["key"]), F.lit(":"), fragment)
+_LOCK_TYPES = ((bool, "boolean"), (int, "integer"), (str, "string"), (list, "array"), (dict, "object"), (type(None), "null"))
+
 
-    inside = F.concat(F.lit("{"), F.array_join(F.transform(entries, child), ","), F.lit("}"))
-    keys = _list(F.transform(entries, lambda e: e["key"]), False)
-    return [_named("properties", inside), _named("required", keys), F.when(entries.isNotNull(), F.lit(_CLOSED))]
+def _closed_lock(held: dict, written: dict) -> str:
+    """``held`` has the types, ``written`` the JSON as it is rendered."""
+    children = []
+    for key, value in held.items():
+        kind = next((name for t, name in _LOCK_TYPES if isinstance(value, t)), "number")
+        inner = _closed_lock(value, written[key]) if kind == "object" else f'"const":{rendered(written[key])}'
+        children.append(f'{quoted(key)}:{{"type":"{kind}",{inner}}}')
+    return f'"properties":{{{",".join(children)}}},"required":[{",".join(map(quoted, held))}],{_CLOSED}'
 
 
 def field_fragment(index: DataFrame) -> Column:
@@ -128,38 +132,6 @@ def field_fragment(index: DataFrame) -> Column:
     return F.when(F.col("lock_type").isNotNull(), locked).otherwise(_object(parts))
 
 
-def _holder(rows: DataFrame) -> DataFrame:
-    """Children of each container -> JSON Schema of the container.
-
-    A name used twice stands at its first place with its last meaning, and twice in
-    ``required``.
-    """
-    by = ["template_id", "parent"]
-    single = rows.groupBy(*by, "name").agg(
-        F.min("place").alias("place"),
-        F.max_by("fragment", "place").alias("fragment"),
-        F.collect_list("place").alias("places"),
-    )
-    members = F.array_sort(F.collect_list(F.struct("place", "name", "fragment")))
-    uses = F.array_sort(
-        F.flatten(
-            F.collect_list(
-                F.transform("places", lambda p: F.struct(p.alias("place"), F.col("name").alias("name")))
-            )
-        )
-    )
-    grouped = single.groupBy(*by).agg(members.alias("m"), uses.alias("u"))
-    properties = F.array_join(
-        F.transform("m", lambda m: F.concat(json_text(m["name"]), F.lit(":"), m["fragment"])), ","
-    )
-    return grouped.select(
-        "template_id",
-        F.col("parent").alias("path"),
-        closed_object(properties, F.array_join(
-            F.transform("u", lambda u: json_text(u["name"])), ",")).alias("fragment"),
-    )
-
-
 def closed_object(properties: Column, required: Column) -> Column:
     return F.concat(
         F.lit('{"type":"object",' + _CLOSED + ',"properties":{'), properties,
@@ -168,49 +140,80 @@ def closed_object(properties: Column, required: Column) -> Column:
 
 
 def build_contracts(index: DataFrame, flat: DataFrame, layout: TemplateLayout) -> DataFrame:
-    """``template_id, title, contract``: built from the deepest containers upwards."""
-    above = lambda c: F.array_join(F.slice(c, 1, F.size(c) - 1), PATH_SEP)
+    """``template_id, title, contract``, one row per template id; rows without an id are left out.
+
+    The fragments of fields are compiled columns. The nodes of a template, which is one JSON file,
+    are brought together once and folded from the deepest containers upwards.
+    """
+    parent = F.array_join(F.slice("level_keys", 1, F.size("level_keys") - 1), PATH_SEP)
+    none = F.lit(None).cast("string")
     containers = flat.filter("kind = 'container'").select(
-        "template_id", "title", F.col("pos").alias("place"),
-        F.size("level_keys").alias("depth"),
-        F.array_join("level_keys", PATH_SEP).alias("path"),
-        above("level_keys").alias("parent"),
-        F.element_at("level_keys", -1).alias("name"),
+        "template_id", F.when(F.col("pos") == 0, F.col("title")).alias("title"),
+        F.struct(
+            F.col("pos").alias("place"), F.size("level_keys").alias("depth"), F.array_join("level_keys", PATH_SEP).alias("path"),
+            parent.alias("parent"), F.element_at("level_keys", -1).alias("name"), none.alias("fragment"),
+        ).alias("node"),
     )
-    rows = index.filter("not is_virtual_child").select(
-        "template_id", F.array_join("level_keys", PATH_SEP).alias("parent"),
-        F.col("property_key").alias("name"), F.col("pos").alias("place"),
-        _virtual_or_plain(index).alias("fragment"),
+    fields = index.filter("not is_virtual_child").select(
+        "template_id", none.alias("title"),
+        F.struct(
+            F.col("pos").alias("place"), F.lit(None).cast("int").alias("depth"), none.alias("path"),
+            F.array_join("level_keys", PATH_SEP).alias("parent"), F.col("property_key").alias("name"),
+            _virtual_or_plain(index).alias("fragment"),
+        ).alias("node"),
     )
-    empty = closed_object(F.lit(""), F.lit(""))
-    for depth in range(2 * len(layout.levels) + 1, 0, -1):
-        inner = _holder(rows)
-        rows = (
-            containers.filter(F.col("depth") == depth)
-            .join(inner, ["template_id", "path"], "left")
-            .select(
-                "template_id", "parent", "name", "place",
-                F.coalesce("fragment", empty).alias("fragment"),
-            )
-        )
-    titles = flat.filter("pos = 0").select("template_id", "title")
     root = layout.root_array
-    name_rule = F.concat(
-        F.lit('{"type":"string","const":'), json_text(F.col("title")),
-        F.lit(',"description":"The name of the table"}'),
-    )
-    return titles.join(rows, "template_id").select(
-        "template_id",
-        "title",
-        F.concat(
-            F.lit('{"type":"object",' + _CLOSED + ',"title":'), json_text(F.col("title")),
-            F.lit(f',"properties":{{"{TABLE_NAME}":'), name_rule,
-            F.lit(f',"{root}":'), F.col("fragment"),
-            F.lit(f'}},"required":["{TABLE_NAME}","{root}"]}}'),
-        ).alias("contract"),
+    title = json_text(F.col("title"))
+    name_rule = F.concat(F.lit('{"type":"string","const":'), title, F.lit(',"description":"The name of the table"}'))
+    return (
+        containers.unionByName(fields).filter("template_id is not null")
+        .groupBy("template_id").agg(F.max("title").alias("title"), F.collect_list("node").alias("nodes"))
+        .filter("title is not null")
+        .select("template_id", "title", _folded(F.col("nodes")).alias("fragment"))
+        .select(
+            "template_id", "title",
+            F.concat(
+                F.lit('{"type":"object",' + _CLOSED + ',"title":'), title,
+                F.lit(f',"properties":{{"{TABLE_NAME}":'), name_rule,
+                F.lit(f',"{root}":'), F.col("fragment"),
+                F.lit(f'}},"required":["{TABLE_NAME}","{root}"]}}'),
+            ).alias("contract"),
+        )
     )
 
 
+def _folded(nodes: Column) -> Column:
+    """JSON Schema of the top container of a template.
+
+    A name used twice in a container stands at its first place with its last meaning, and twice in
+    ``required``.
+    """
+    @F.arrow_udf("string")
+    def fold(templates: pa.Array) -> pa.Array:
+        return pa.array([_fold(t) for t in templates.to_pylist()], pa.string())
+
+    return fold.asNondeterministic()(nodes)
+
+
+def _fold(nodes: list[dict]) -> str | None:
+    inside: dict[str, list[tuple[int, str, str]]] = {}
+    containers = []
+    for n in nodes:
+        if n["depth"] is None:
+            inside.setdefault(n["parent"], []).append((n["place"], n["name"], n["fragment"]))
+        else:
+            containers.append((-n["depth"], n["place"], n["path"], n["parent"], n["name"]))
+    text = None
+    for _, place, path, parent, name in sorted(containers):
+        members = sorted(inside.get(path, ()))
+        last = {n: f for _, n, f in members}  # in order of first place
+        properties = ",".join(f"{quoted(n)}:{f}" for n, f in last.items())
+        required = ",".join(quoted(n) for _, n, _ in members)
+        text = f'{{"type":"object",{_CLOSED},"properties":{{{properties}}},"required":[{required}]}}'
+        inside.setdefault(parent, []).append((place, name, text))
+    return text
+
+
 def _virtual_or_plain(index: DataFrame) -> Column:
     """A virtual container is a closed object with one nullable text per option."""
     children = F.array_distinct("option_clean")

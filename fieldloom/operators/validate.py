@@ -1,16 +1,18 @@
 """Checking documents against their contracts.
 
-One pass over the aligned rows yields every violation, without a shuffle. Only the verdict
-per document is grouped, and by then a document has at most one small row per partition.
+One pass over the aligned rows yields every violation, without a shuffle. The verdict puts the errors
+of a document together where its rows lie, one after another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.dates import is_iso_date, is_iso_datetime
 from fieldloom.functions.values import answer_text, is_type, items, number_of, type_from_name
@@ -260,24 +262,47 @@ def _violations(
 def verdicts(aligned: DataFrame, rules: Mapping[str, Rule] | None = None) -> DataFrame:
     """One row per document: ``doc_id, template_id, is_valid, error_count, errors``.
 
-    Phase 2 counts only for documents without an error in phase 1. Takes the long form. Before
-    the shuffle each document has shrunk to its id and its errors, and those are put together
-    per partition first.
+    Phase 2 counts only for documents without an error in phase 1. Takes the long form as
+    ``align_documents`` gives it, with the rows of a document one after another and the first one
+    marked. Nothing is shuffled: the errors of a document are put together where they are found, so
+    documents that repeat an id, or have none, each get a verdict of their own.
     """
-    # Each document passes on one row even when nothing is wrong with it.
-    marker = F.col("is_first")
-    errors = _violations(aligned, ["doc_id", "template_id"], rules, marker)
+    # Each document passes on one row even when nothing is wrong with it: where the next one begins.
+    errors = _violations(aligned, ["doc_id", "template_id"], rules, F.col("is_first"))
     line = F.concat_ws(": ", F.nullif("path", F.lit("")), "rule", "message")
-    grouped = errors.groupBy("doc_id", "template_id").agg(
-        F.collect_list(F.when(F.col("phase") == 1, line)).alias("_one"),
-        F.collect_list(F.when(F.col("phase") == 2, line)).alias("_two"),
-    )
-    return grouped.select(
-        "doc_id", "template_id",
-        F.when(F.size("_one") > 0, F.col("_one")).otherwise(F.col("_two")).alias("_shown"),
-    ).select(
-        "doc_id", "template_id",
-        (F.size("_shown") == 0).alias("is_valid"),
-        F.size("_shown").cast("bigint").alias("error_count"),
-        F.array_sort("_shown").alias("errors"),
-    )
+    rows = errors.select("doc_id", "template_id", "phase", line.alias("line"))
+    kinds = T.StructType([
+        *rows.schema.fields[:2], T.StructField("is_valid", T.BooleanType()), T.StructField("error_count", T.LongType()),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+    ])
+    return rows.mapInArrow(_put_together, kinds)
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One verdict for each run of rows that starts with a row without a phase."""
+    names = ["doc_id", "template_id", "is_valid", "error_count", "errors"]
+    ids: tuple | None = None
+    found: dict[int, list[str]] = {1: [], 2: []}
+    kinds: list[pa.DataType] = []
+
+    def shown(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def verdict() -> tuple:
+        errors = sorted(found[1] or found[2])
+        return (*ids, not errors, len(errors), errors)
+
+    for batch in batches:
+        kinds = [batch.schema.field(0).type, batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.list_(pa.string())]
+        done = []
+        for doc, template, phase, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if phase is None or ids != (doc, template):
+                if ids is not None:
+                    done.append(verdict())
+                ids, found = (doc, template), {1: [], 2: []}
+            if phase is not None:
+                found[phase].append(text)
+        yield shown(done)
+    if ids is not None:
+        yield shown([verdict()])

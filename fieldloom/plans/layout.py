@@ -73,10 +73,8 @@ class TargetRule:
 
 
 # Target types, their rules and the descriptions that go into contracts.
-SELECT_HINT = (
-    "Select one {}of the valid enum options if and only if you are absolutely sure of the "
-    "answer. If you are not sure, please select null"
-)
+SELECT_ONE = "Select one of the valid enum options if and only if you are absolutely sure of the answer. If you are not sure, please select null"
+SELECT_MORE = "Select one or more of the valid enum options if and only if you are absolutely sure of the answer. If you are not sure, please select null"
 TARGET_RULES: dict[str, TargetRule] = {
     "string": TargetRule(("string", "null")),
     "integer": TargetRule(("integer", "null")),
@@ -94,10 +92,10 @@ TARGET_RULES: dict[str, TargetRule] = {
         description="ISO 8601 date-time (YYYY-MM-DDTHH:MM:SSZ)",
     ),
     "single_select": TargetRule(
-        ("string", "null"), enum_on="value", description=SELECT_HINT.format("")
+        ("string", "null"), enum_on="value", description=SELECT_ONE
     ),
     "multiple_select": TargetRule(
-        ("array", "null"), enum_on="items", description=SELECT_HINT.format("or more ")
+        ("array", "null"), enum_on="items", description=SELECT_MORE
     ),
     "currency": TargetRule(
         ("number", "null"),

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import blank, lenient_id
 from fieldloom.operators.compare import STORED_RECORD
 from fieldloom.operators.templates import read_templates_frame
+from fieldloom.plans.joins import lookup_join
 from fieldloom.plans.layout import TemplateLayout
-
-_META = ("file_name", "file_modification_time")
+from fieldloom.session import stored
 
 
 def read_json_texts(
@@ -72,11 +77,76 @@ def read_key_values(
     """Rows of guideline CSVs: ``file, row_no, key, value``.
 
     Every file has a header of its own, in which the two columns are looked up. ``row_no`` orders
-    the rows by the path of their file, then by their place in it. Quoted texts may hold line breaks
-    and doubled quotes, a byte order mark is skipped, files without any text are left out. Use
-    ``multi_line=False`` for bulk files without line breaks: only those are split among tasks.
-    Headers are read before the rows, one line for each file.
+    the rows by the path of their file, then by their place in it. Quoted texts, those of the header
+    too, may hold line breaks and doubled quotes, a byte order mark is skipped, empty cells are null,
+    files without any text are left out.
+
+    Each file is opened once, by one task, and what it holds is kept in the shared folder. Use
+    ``multi_line=False`` for bulk files without line breaks: only those are split among tasks, after
+    a pass that reads their headers, one line for each file.
     """
+    if not multi_line:
+        return _read_bulk(spark, path, key_col, value_col, case_insensitive)
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = stored(
+        texts.mapInArrow(_csv_rows(key_col, value_col, case_insensitive),
+                         "file string, place long, key string, value string, fault string"),
+        "guidelines")
+    # A header is a row at place -1; of all faults, the one of the first file is raised.
+    headers, fault = rows.filter("place = -1").agg(F.count("*"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("file")))).first()
+    if fault is not None:
+        raise KeyError(fault)
+    if not headers:
+        raise ValueError(f"no header row in {path}")
+    # The driver has listed the files to read them; they are numbered from that list.
+    files = sorted({*spark.read.text(path, wholetext=True).inputFiles()})
+    numbers = spark.createDataFrame([(_same_path(f), i) for i, f in enumerate(files)], "_path string, _file_no long")
+    numbered = rows.filter("place >= 0").withColumn("_path", _plain_path(F.col("file")))
+    return lookup_join(numbered, numbers, ["_path"], "inner").select(
+        "file", (F.col("_file_no") * _FILE_ROWS + F.col("place")).alias("row_no"), "key", "value")
+
+
+def _same_path(file: str) -> str:
+    """A path without the slashes that renderings of it differ in."""
+    return re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", file)
+
+
+def _plain_path(file: Column) -> Column:
+    return F.regexp_replace(file, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
+def _csv_rows(key_col: str, value_col: str, case_insensitive: bool):
+    names = ["file", "place", "key", "value", "fault"]
+
+    def rows_of(file: str, text: str) -> Iterator[tuple]:
+        lines = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""))
+        header = next((line for line in lines if line), None)
+        if header is None:
+            return
+        try:
+            key, value = (header.index(find_column(header, c, case_insensitive)) for c in (key_col, value_col))
+        except KeyError as error:
+            yield file, -1, None, None, error.args[0]
+            return
+        yield file, -1, None, None, None
+        for place, line in enumerate(line for line in lines if line):
+            cell = lambda at: line[at] or None if at < len(line) else None  # noqa: B023, E731
+            yield file, place, cell(key), cell(value), None
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 62)
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # Some rows at a time, so that a large file needs no second copy of itself.
+                rows = rows_of(file, text or "")
+                while part := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64() if n == "place" else pa.string()) for n, c in zip(names, zip(*part))], names=names)
+
+    return parse
+
+
+def _read_bulk(spark: SparkSession, path: str, key_col: str, value_col: str, case_insensitive: bool) -> DataFrame:
     headers = _csv_headers(spark, path)
     if not headers:
         raise ValueError(f"no header row in {path}")
@@ -91,7 +161,7 @@ def read_key_values(
         own = [file for file, found in headers if tuple(found) == names]
         # Names are given by place, as a header may repeat one or leave it empty.
         schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-        frame = spark.read.schema(schema).csv(own, header=True, multiLine=multi_line, escape='"', enforceSchema=True)
+        frame = spark.read.schema(schema).csv(own, header=True, escape='"', enforceSchema=True)
         rows = frame.select(
             F.col("_metadata.file_path").alias("file"),
             (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_place"),
@@ -99,7 +169,7 @@ def read_key_values(
             F.col(f"_c{names.index(value)}").alias("value"),
         )
         out = rows if out is None else out.unionByName(rows)
-    return out.join(F.broadcast(numbers), "file").select(
+    return lookup_join(out, numbers, ["file"], "inner").select(
         "file", (F.col("_file_no") * _FILE_ROWS + F.col("_place")).alias("row_no"), "key", "value")
 
 

@@ -9,7 +9,7 @@ from fieldloom.operators.enrich import enrich_from_rows, merge_duplicates, prepa
 from fieldloom.operators.templates import build_field_index, drop_untyped, flatten_template
 from fieldloom.plans.layout import QUESTIONNAIRE
 from fieldloom.session import shared_folder
-from fieldloom.sources.files import read_key_values, read_pairs, read_templates
+from fieldloom.sources.files import read_json_texts, read_key_values, read_pairs, read_templates
 from fieldloom.sources.sinks import (
     export_contracts,
     write_long_report,
@@ -19,6 +19,7 @@ from fieldloom.sources.sinks import (
 from registry import query
 from registry.compare_queries import DIFFERENCES, order_differences, order_pair_texts
 from registry.inputs import order_flat, order_index, order_templates, table
+from registry.reverse_queries import contract_sql
 from registry.text_queries import clean_sql, strip_sql
 
 
@@ -153,18 +154,16 @@ def wide_csv(spark, sf):
 
 @query(
     "export_contracts",
-    """select distinct concat(substr(o_orderpriority, 1, 1), '_Order_',
-      replace(replace(o_orderpriority, '-', '_'), ' ', '_'), '_schema.json') as file,
-      concat('Order ', o_orderpriority) as title from orders""",
+    f"""select concat(template_id, '_', replace(replace(title, '-', '_'), ' ', '_'), '_schema.json') as file, contract
+      from ({contract_sql()})""",
 )
 def export_contracts_query(spark, sf):
-    """Contracts written as files; their names and titles are read back."""
+    """Contracts written as single files; their names and whole texts are read back."""
     path = shared_folder(spark, "contracts")
     export_contracts(
         build_contracts(order_index(spark, sf), order_flat(spark, sf), QUESTIONNAIRE), path
     )
-    back = spark.read.text(path)
-    return back.select("file", F.get_json_object("value", "$.title").alias("title"))
+    return read_json_texts(spark, path).select("file", F.rtrim(F.col("doc"), F.lit("\n")).alias("contract"))
 
 
 @query(

@@ -9,7 +9,7 @@ from fieldloom.operators.catalog import template_names
 from fieldloom.operators.contract import build_contracts
 from fieldloom.operators.db_layout import db_records, db_responses, with_metadata
 from fieldloom.operators.documents import field_rows, line_up
-from fieldloom.plans.layout import QUESTIONNAIRE
+from fieldloom.plans.layout import QUESTIONNAIRE, SELECT_MORE, SELECT_ONE, TARGET_RULES
 from registry import query
 from registry.document_queries import aligned_orders
 from registry.inputs import lined_orders, order_contracts, order_docs, order_flat, order_index, table
@@ -341,27 +341,18 @@ def template_names_query(spark, sf):
 # ---------------------------------------------------------------------------------------- contracts
 
 _C = '"additionalProperties":false'
-_HINTS = {
-    "select": "Select one of the valid enum options if and only if you are absolutely sure of the "
-    "answer. If you are not sure, please select null",
-    "multi": "Select one or more of the valid enum options if and only if you are absolutely sure of "
-    "the answer. If you are not sure, please select null",
-}
-
-
 def _closed(properties: str, required: str) -> str:
     return f'{{"type":"object",{_C},"properties":{{{properties}}},"required":[{required}]}}'
 
 
 def contract_sql() -> str:
-    from fieldloom.plans.layout import TARGET_RULES
 
     guide = TARGET_RULES["instructions"].description
     grid = TARGET_RULES["object_array"].description.replace("\n", "\\n").replace("'", "''")
     nullable = lambda kind, more="": f'{{"type":["{kind}","null"]{more}}}'
     head = [
         ("1. Status", nullable(
-            "string", f',"description":"{_HINTS["select"]}","enum":[\', open_states, \',null]')),
+            "string", f',"description":"{SELECT_ONE}","enum":[\', open_states, \',null]')),
         ("2. Total price", nullable("number", ',"minimum":0')),
         ("3. Order date", nullable(
             "string", ',"description":"ISO 8601 date (YYYY-MM-DD)","format":"date"')),
@@ -373,7 +364,7 @@ def contract_sql() -> str:
         ("5. Customer", nullable("integer", ',"minimum":0')),
         ("6. Clerk notes", nullable("string")),
         ("7. Flags", nullable(
-            "array", f',"description":"{_HINTS["multi"]}","items":{{"type":["string","null"],'
+            "array", f',"description":"{SELECT_MORE}","items":{{"type":["string","null"],'
             f'"enum":[{flags},null]}}')),
         ("8. Checks", f'{{"type":"array","description":"{grid}","maxItems":3,"items":{{"type":"object",'
          f'{_C},"properties":{{"entry":{{"type":"string","enum":[\', states, \']}},"description":'

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.dates import is_iso_date
 from fieldloom.operators import documents as D
 from fieldloom.operators import reverse as R
 from fieldloom.operators import templates as T
@@ -209,6 +210,29 @@ def test_verdict_gate(spark, contracts):
     assert got[2] == (False, ["table_name: const: x"])
 
 
+def test_every_row_has_a_verdict_of_its_own(spark, contracts):
+    bad = changed((*HEAD, "1. Pick"), "nope")
+    worse = changed((*HEAD, "2. Total"), "x")
+    rows = [(None, 7, GOOD), (None, 7, bad), (None, 7, worse), (5, 7, GOOD), (5, 7, bad), (5, 7, bad), (None, None, GOOD), (5, 8, GOOD)]
+    rows = [(i, t, json.dumps(d)) for i, t, d in rows] + [(None, 7, None), (None, 7, "[1]"), (6, 7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, template_id long, doc string")
+    found = V.verdicts(D.align_documents(docs.repartition(3), contracts, QUESTIONNAIRE))
+    got = sorted((str(r["doc_id"]), str(r["template_id"]), r["is_valid"], r["error_count"]) for r in found.collect())
+    assert got == sorted([
+        ("None", "7", True, 0), ("None", "7", False, 1), ("None", "7", False, 1), ("5", "7", True, 0), ("5", "7", False, 1),
+        ("5", "7", False, 1), ("None", "None", False, 1), ("5", "8", False, 1), ("None", "7", False, 1), ("None", "7", False, 1),
+        ("6", "7", False, 1)])
+    plan = V.verdicts(D.align_documents(docs, contracts, QUESTIONNAIRE))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    assert V.verdicts(D.align_documents(docs.limit(0), contracts, QUESTIONNAIRE)).collect() == []
+
+
+def test_a_date_ends_where_the_text_ends(spark):
+    texts = ["2024-01-05", "2024-01-05\n", "2024-01-05T10:00\n", "2024-01-05T10:00", "2024-W01\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(is_iso_date(F.col("t")).alias("ok")).collect()
+    assert [r["ok"] for r in rows] == [True, False, False, True, False]
+
+
 def test_shuffled_lookup_gives_the_same(spark, contracts):
     docs = docs_of(spark, GOOD, changed((*HEAD, "1. Pick"), "nope"), "[1]")
     small = D.align_documents(docs, contracts, QUESTIONNAIRE)

@@ -13,8 +13,11 @@ from fieldloom.operators import reverse as R
 from fieldloom.operators import updates as U
 from fieldloom.operators.contract import build_contracts
 from fieldloom.operators.templates import build_field_index, flatten_template, read_templates_frame
-from fieldloom.plans.layout import QUESTIONNAIRE, Level, TemplateLayout
+from fieldloom.plans.layout import QUESTIONNAIRE, FieldType, Level, PropertyNames, TargetRule, TemplateLayout
+from fieldloom.operators import documents as D
+from fieldloom.operators import validate as V
 from fieldloom.sources import files as S
+from fieldloom.sources import sinks
 from tests.test_documents import TEMPLATE
 
 
@@ -100,6 +103,42 @@ def test_locks(spark, index, flat):
     assert children == {("entry", "string", '"p"'), ("description", "string", '"d"')}
 
 
+def test_object_locks_close_every_level(spark):
+    layout = TemplateLayout(
+        schema_name="t", schema_id="i", prop=PropertyNames("fields", "k", "n", "y"),
+        types={"any": FieldType("any")}, rules={"any": TargetRule(("object", "null"))})
+    template = {"t": "T", "i": 7, "fields": [{"k": "f", "n": "F", "y": "any"}]}
+    frame = spark.createDataFrame([(json.dumps(template),)], "doc string")
+    flat = flatten_template(read_templates_frame(frame, layout), layout)
+    lock: dict = {"last": [1, {"free": 2}], "number": 2.0, "big": 1e20, "whole": 7, "none": None, "yes": True, 'q"uo': ""}
+    for depth in range(8):
+        lock = {f"level {depth}": lock, "x": depth}
+    overrides = L.parse_overrides(spark.createDataFrame([("f", json.dumps({"value": lock}))], "key string, override string"))
+    locked = L.lock_fields(build_field_index(flat, layout), overrides)
+    contract = json.loads(build_contracts(locked, flat, layout).first()["contract"])
+    at = contract["properties"]["fields"]["properties"]["F"]
+    for depth in range(7, -1, -1):
+        assert at["type"] == "object" and at["additionalProperties"] is False
+        assert at["required"] == [f"level {depth}", "x"] and at["properties"]["x"] == {"type": "integer", "const": depth}
+        at = at["properties"][f"level {depth}"]
+    kinds = {k: v["type"] for k, v in at["properties"].items()}
+    assert kinds == {"last": "array", "number": "number", "big": "number", "whole": "integer", "none": "null", "yes": "boolean", 'q"uo': "string"}
+    assert at["properties"]["last"]["const"] == [1, {"free": 2}] and at["additionalProperties"] is False
+
+    contracts = D.contract_rows(locked, flat)
+    deep = json.dumps(lock)
+    texts = [deep, deep.replace('"free": 2', '"free": 3'), deep.replace('"whole": 7', '"whole": 7, "more": 1'), deep.replace('"none": null, ', "")]
+    docs = spark.createDataFrame(
+        [(i, 7, '{"table_name":"T","fields":{"F":%s}}' % t) for i, t in enumerate(texts)], "doc_id long, template_id long, doc string")
+    found = V.validate(D.align_documents(docs, contracts, layout)).collect()
+    assert {(r["doc_id"], r["rule"]) for r in found} == {(1, "lock"), (2, "lock"), (3, "lock")}
+
+
+def test_contract_is_folded_with_one_shuffle(index, flat):
+    plan = build_contracts(index, flat, QUESTIONNAIRE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(template_id") == 1 and "Join" not in plan
+
+
 def test_merge_update(spark):
     cases = [
         ('{"s":{"a":1,"b":2}}', '{"s":{"b":null,"c":[3]}}', {"s": {"a": 1, "b": None, "c": [3]}}),
@@ -162,6 +201,44 @@ def test_csv_reader(spark, tmp_path):
         S.read_key_values(spark, str(tmp_path / "g.csv"), "key", "Guidelines")
 
 
+def test_csv_headers_with_line_breaks(spark, tmp_path):
+    folder = tmp_path / "g"
+    folder.mkdir()
+    (folder / "b 1.csv").write_text('Key,"Guide\nlines","No ""te"""\r\n1,"a\n\nb",n1\r\n\r\n2\r\n3,x,"n,3",more\r\n')
+    (folder / "a.csv").write_text('\n"No ""te""",Key,Key\nfirst,k,l\n')
+    (folder / "c.csv").write_text("")
+    got = S.read_key_values(spark, str(folder), "Key", 'No "te"').orderBy("row_no").collect()
+    assert [(r["key"], r["value"]) for r in got] == [("k", "first"), ("1", "n1"), ("2", None), ("3", "n,3")]
+    assert [r["file"].rsplit("/", 1)[1] for r in got] == ["a.csv"] + ["b%201.csv"] * 3
+    got = S.read_key_values(spark, str(folder / "b 1.csv"), "key", "guide\nLINES", case_insensitive=True).orderBy("row_no").collect()
+    assert [(r["key"], r["value"]) for r in got] == [("1", "a\n\nb"), ("2", None), ("3", "x")]
+    with pytest.raises(KeyError, match="Note.*Key"):
+        S.read_key_values(spark, str(folder), "Key", "Note")
+    with pytest.raises(ValueError):
+        S.read_key_values(spark, str(folder / "c.csv"), "Key", "Note")
+    bulk = tmp_path / "bulk.csv"
+    bulk.write_text("Key,Note\n1,x\n2,y\n")
+    got = S.read_key_values(spark, str(bulk), "Key", "Note", multi_line=False).orderBy("row_no").collect()
+    assert [(r["key"], r["value"]) for r in got] == [("1", "x"), ("2", "y")]
+
+
+def test_single_files(spark, index, flat, tmp_path):
+    contracts = build_contracts(index, flat, QUESTIONNAIRE)
+    for _ in range(2):  # a second export replaces the files of the first
+        sinks.export_contracts(contracts, str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")]
+    assert [f.name for f in files] == ["7_My_form_schema.json"]
+    assert files[0].read_text().rstrip("\n") == contracts.first()["contract"]
+    rows = spark.createDataFrame(
+        [("r1", "b", "x, \"y\""), ("r1", "a", "z"), ("r2", "a", "w")], "record_key string, field string, message string")
+    sinks.write_record_report(rows.repartition(3), "r1", str(tmp_path / "one.csv"))
+    assert (tmp_path / "one.csv").read_text() == 'fields,r1\na,z\nb,"x, ""y"""\n'
+    sinks.write_record_report(rows, "none", str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_text() == "fields,none\n"
+    sinks.write_wide_report(rows, ["r2", "r1"], str(tmp_path / "wide.csv"))
+    assert (tmp_path / "wide.csv").read_text() == 'fields,r1,r2\na,z,w\nb,"x, ""y""",\n'
+
+
 def test_pair_files(spark, tmp_path):
     good = {
         "chart": {"schema_id": "007", "state": "draft", "json_internal_filled": [{"internal_json": {"a": 1}}]},
