@@ -129,11 +129,21 @@ def event_errors(spark, sf):
         when event_id % 7 = 0 then 'true' else cast(user_id as varchar) end from events
       union all select event_id, 'tags', case when event_id % 6 = 0 then 'null'
         when event_id % 4 = 0 then concat('["view",null,7,"', event_type, '"]')
-        else concat('["view","', event_type, '"]') end from events)""",
+        else concat('["view","', event_type, '"]') end from events
+      union all select event_id, 'value', case when event_id % 5 = 0 then concat('"', value, '"')
+        else regexp_replace(cast(value as varchar), '\\.0$', '') end from events
+      union all select event_id, 'share', regexp_replace(cast(value as varchar), '\\.0$', '') from events
+      union all select event_id, 'rows', case event_id % 10 when 0 then 'null'
+        when 1 then concat('[{"description":"a","entry":"', event_type, '"},{"description":"b","entry":"', event_type,
+          '"},{"description":"c","entry":"view"}]')
+        when 2 then '[{"entry":"view"}]'
+        when 3 then '[{"description":"x","entry":"view","more":1}]'
+        when 4 then '[{"description":5,"entry":"view","more":2},3,{"entry":9}]'
+        else concat('[{"description":"d","entry":"', event_type, '"}]') end from events)""",
 )
 def doc_flatten(spark, sf):
     rows = flatten_documents(event_docs(spark, sf), EVENT)
-    return rows.filter(F.col("property_key").isin("type", "k", "user", "tags")).select(
+    return rows.select(
         "doc_id", F.array_join("level_keys", "/").alias("path"),
         F.col("property_key").alias("label"), F.to_json("value").alias("text"),
     )

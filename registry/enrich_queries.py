@@ -9,7 +9,7 @@ from fieldloom.operators import locks as L
 from fieldloom.operators.contract import field_fragment, json_text
 from fieldloom.operators.documents import align_documents, contract_rows
 from fieldloom.operators.validate import validate
-from fieldloom.plans.layout import QUESTIONNAIRE
+from fieldloom.plans.layout import QUESTIONNAIRE, SELECT_ONE, TARGET_RULES
 from registry import query
 from registry.inputs import order_docs, order_flat, order_index, spread, table
 from registry.template_queries import part_index
@@ -99,29 +99,31 @@ def _brand_notes(spark, sf):
     ).select("e.*")
 
 
-_HINT = (
-    "Select one of the valid enum options if and only if you are absolutely sure of the answer. "
-    "If you are not sure, please select null"
-)
 _PART_FIELDS = f"""(select p_partkey as template_id, concat('P', p_partkey) as key, p_brand, p_size, p_type,
-    case p_type when 'PROMO' then '{_HINT}' when 'SMALL' then 'ISO 8601 date (YYYY-MM-DD)' end
+    case p_type when 'PROMO' then '{SELECT_ONE}' when 'SMALL' then 'ISO 8601 date (YYYY-MM-DD)' end
       as description
   from part where p_size % 11 <> 0 and p_size % 13 <> 0 and p_size % 17 <> 0 and p_type <> 'STANDARD'
     and not (p_type = 'PROMO' and p_size % 3 = 0))"""
+# Further fields of every part, which no note and no override is for.
+_OTHER_FIELDS = f"""select p_partkey as template_id, 'Q' as key, case when p_size % 4 = 0 then 'Main' else 'Other' end as label,
+    cast(null as varchar) as description from part
+  union all select p_partkey, 'G', 'Instructions', '{TARGET_RULES["instructions"].description}' from part
+  union all select p_partkey, 'B', unnest(['Box', 'left', p_brand]), null from part"""
 _NOTES = """(select concat('P', min(p_partkey)) as key, concat(p_brand, ' has ', count(*)) as note
   from part group by p_brand)"""
 
 
 @query(
     "enrich",
-    f"""select f.template_id, f.key, case when note is null then description
+    f"""select f.template_id, f.key, 'Main' as label, case when note is null then description
         when description is null then note else concat(description, chr(10), chr(10), note) end
         as description
-    from {_PART_FIELDS} f left join {_NOTES} n using (key)""",
+    from {_PART_FIELDS} f left join {_NOTES} n using (key)
+    union all {_OTHER_FIELDS}""",
 )
 def enrich(spark, sf):
     fields = E.enrich_fields(part_index(spark, sf), _brand_notes(spark, sf))
-    return fields.filter("key like 'P%'").select("template_id", "key", "description")
+    return fields.select("template_id", "key", F.col("property_key").alias("label"), "description")
 
 
 @query(
@@ -158,17 +160,18 @@ def _part_overrides(spark, sf):
 
 @query(
     "override_descriptions",
-    f"""select template_id, key, case when p_size % 9 = 3 then null when p_size % 9 = 2 then 'New'
+    f"""select template_id, key, 'Main' as label, case when p_size % 9 = 3 then null when p_size % 9 = 2 then 'New'
         when p_size % 9 = 8 then 'Locked'
         when p_size % 9 > 2 or description is null then
           case when p_size % 9 < 2 then 'New' else description end
         when p_size % 9 = 0 then concat(description, ' New') else concat('New ', description) end
         as description
-    from {_PART_FIELDS}""",
+    from {_PART_FIELDS}
+    union all {_OTHER_FIELDS}""",
 )
 def override_descriptions(spark, sf):
     fields = L.override_descriptions(part_index(spark, sf), _part_overrides(spark, sf))
-    return fields.filter("key like 'P%'").select("template_id", "key", "description")
+    return fields.select("template_id", "key", F.col("property_key").alias("label"), "description")
 
 
 _LOCK_ERROR = """case when p_size % 9 = 7 then

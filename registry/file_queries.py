@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators.contract import build_contracts
 from fieldloom.operators.enrich import enrich_from_rows, merge_duplicates, prepare_pairs
 from fieldloom.operators.templates import build_field_index, drop_untyped, flatten_template
-from fieldloom.plans.layout import QUESTIONNAIRE
+from fieldloom.plans.layout import QUESTIONNAIRE, TARGET_RULES
 from fieldloom.session import shared_folder
 from fieldloom.sources.files import read_json_texts, read_key_values, read_pairs, read_templates
 from fieldloom.sources.sinks import (
@@ -43,15 +43,25 @@ def guidelines_csv(spark, sf):
     )
 
 
+def _described() -> str:
+    """Keys of a questionnaire with their descriptions, as SQL rows."""
+    kinds = {"A_1": "single_select", "A_3": "date", "A_": "instructions", "A_7": "multiple_select", "A_8": "object_array", "B_2": "datetime"}
+    rows = [(f"Cust_{k}", TARGET_RULES[t].description) for k, t in kinds.items()]
+    rows += [(f"Cust_{k}", None) for k in ("A_2", "A_4", "A_5", "A_6", "B_1")]
+    quoted = lambda text: "null" if text is None else "'" + text.replace("'", "''") + "'"
+    return ", ".join(f"('{key}', {quoted(text)})" for key, text in rows)
+
+
 @query(
     "guidelines_enrich",
-    """with o as (select cast(substr(o_orderpriority, 1, 1) as bigint) as template_id, count(*) as n
-      from orders group by 1)
-    select template_id, concat('first ', (select count(*) from orders), '. second ',
-      (select count(*) from orders)) as description from o""",
+    f"""with o as (select cast(substr(o_orderpriority, 1, 1) as bigint) as template_id, count(*) as n
+      from orders group by 1),
+    k(key, description) as (values {_described()})
+    select template_id, key, case when key = 'Cust_A_6' then concat('first ', (select count(*) from orders), '. second ',
+      (select count(*) from orders)) else description end as description from o, k""",
 )
 def guidelines_enrich(spark, sf):
-    """A guideline file with a repeated key, applied to all questionnaires."""
+    """A guideline file with a repeated key, applied to all fields of all questionnaires."""
     path = shared_folder(spark, "guidelines")
     counted = table(spark, sf, "orders").agg(F.count("*").cast("string").alias("n"))
     counted.select(
@@ -62,7 +72,7 @@ def guidelines_enrich(spark, sf):
     ).coalesce(1).write.csv(path, header=True)
     rows = read_key_values(spark, path, "Key", "Guidelines")
     index, _ = enrich_from_rows(order_index(spark, sf), rows, "concat", prefix="Cust")
-    return index.filter("key = 'Cust_A_6'").select("template_id", "description")
+    return index.select("template_id", "key", "description")
 
 
 @query(
@@ -87,19 +97,34 @@ def read_templates_query(spark, sf):
 
 @query(
     "read_pairs",
-    """select 'usable' as what, count(*) as n from orders
-      where o_orderkey % 47 > 0 and o_orderkey % 43 > 0 and o_orderkey % 53 > 0
-    union all select 'left out', count(*) from orders
-      where o_orderkey % 47 = 0 or o_orderkey % 43 = 0 or o_orderkey % 53 = 0""",
+    """select case when o_orderkey % 47 = 0 then 'no JSON object' when o_orderkey % 43 = 0 then 'no filled document'
+        when o_orderkey % 53 = 0 then 'stored record has no items' end as problem,
+      cast(null as varchar) as template_id, cast(null as varchar) as record_id, cast(null as varchar) as patient_id,
+      cast(null as varchar) as facility_id, cast(null as varchar) as state, cast(null as varchar) as title,
+      cast(null as varchar) as answers
+    from orders where o_orderkey % 47 = 0 or o_orderkey % 43 = 0 or o_orderkey % 53 = 0
+    union all
+    select null, substr(o_orderpriority, 1, 1), cast(case when o_orderkey % 50 = 1 then o_orderkey - 1 else o_orderkey end as varchar),
+      cast(o_custkey as varchar), cast(case when o_orderkey % 2 = 0 then o_custkey % 7 + 1 else o_custkey % 10 end as varchar),
+      case when o_orderstatus = 'P' then 'signed' else 'draft' end,
+      concat('Order ', case when o_orderkey % 19 = 0 then '' else o_orderpriority end),
+      concat('Cust_A_1=', case o_orderkey % 3 when 0 then concat('"', o_orderstatus, '"') when 1 then '"Z"' else '' end,
+        ';Cust_A_5=', o_custkey, ';Cust_A_6="Clerk ', o_orderkey % 1000, ' ";Cust_B_1=')
+    from orders where o_orderkey % 47 > 0 and o_orderkey % 43 > 0 and o_orderkey % 53 > 0""",
 )
 def read_pairs_query(spark, sf):
-    """Record pairs written one per line and read back, good ones and others apart."""
+    """Record pairs written one per line and read back, good ones with what they hold and others with the reason."""
     path = shared_folder(spark, "pairs")
     order_pair_texts(spark, sf).select(F.col("doc").alias("value")).write.text(path)
     usable, left_out = read_pairs(spark, path, glob="*.txt", one_per_line=True)
-    count = lambda frame, name: frame.agg(
-        F.lit(name).alias("what"), F.count("*").alias("n"))
-    return count(usable, "usable").unionByName(count(left_out, "left out"))
+    responses = F.flatten(F.flatten(F.transform(
+        "stored.sections", lambda s: F.transform(s["assessment_question_groups"], lambda g: g["assessment_responses"]))))
+    answers = F.transform(responses, lambda r: F.concat(
+        r["question_key"], F.lit("="), F.coalesce(F.to_json(F.get(r["responses"], F.lit(0))["response_value"]), F.lit(""))))
+    good = usable.select(
+        F.lit(None).cast("string").alias("problem"), "template_id", "record_id", "patient_id", "facility_id", "state",
+        F.get_json_object("internal", "$.table_name").alias("title"), F.array_join(answers, ";").alias("answers"))
+    return good.unionByName(left_out.select("problem"), allowMissingColumns=True)
 
 
 @query(

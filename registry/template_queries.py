@@ -190,11 +190,14 @@ _FINE = """p_size % 11 <> 0 and p_size % 13 <> 0 and p_size % 17 <> 0 and p_type
       from part where {_FINE}
     union all
     select p_partkey, p_brand, 'Q', case when p_size % 4 = 0 then 'Main' else 'Other' end, 'fields',
-      'string', 'string/null', null, null, null, null from part""",
+      'string', 'string/null', null, null, null, null from part
+    union all select p_partkey, p_brand, 'G', 'Instructions', 'fields', 'instructions', 'string', null, null, null, null from part
+    union all select p_partkey, p_brand, 'B', 'Box', 'fields', 'option_box', 'object', null, null, null, null from part
+    union all select p_partkey, p_brand, 'B', 'left', 'fields/Box', 'string', 'string/null', null, null, null, null from part
+    union all select p_partkey, p_brand, 'B', p_brand, 'fields/Box', 'string', 'string/null', null, null, null, null from part""",
 )
 def flat_template(spark, sf):
-    index = part_index(spark, sf).filter("source_type not in ('guide', 'box')")
-    return index.select(
+    return part_index(spark, sf).select(
         "template_id", "title", "key", F.col("property_key").alias("label"),
         F.array_join("level_keys", "/").alias("path"), F.col("target_type").alias("target"),
         F.array_join("json_types", "/").alias("types"), F.col("minimum").alias("low"),
@@ -219,15 +222,15 @@ def filter_types(spark, sf):
 
 @query(
     "missing_types",
-    """select p_partkey as template_id,
+    """select p_partkey as template_id, cast(1 as int) as pos,
       case when p_size % 17 = 0 then 'missing key' else 'missing type' end as reason
     from part where p_size % 11 = 0""",
 )
 def missing_types(spark, sf):
     lint = T.template_lint(part_flat(spark, sf), PART)
-    return lint.filter(F.col("pos") == 1).join(
+    return lint.join(
         T.count_untyped(part_flat(spark, sf)).filter("dropped > 0"), "template_id", "left_semi"
-    ).select("template_id", "reason")
+    ).select("template_id", "pos", "reason")
 
 
 @query(
