@@ -79,29 +79,32 @@ def override_lint(
     field, and list locks that mix objects with plain values.
     """
     on = _join_keys(index, overrides)
-    judged = _located(index, overrides, on, "left")
+    judged = _with_fault(_located(index, overrides, on, "left"), rules)
+    problem = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("pos").isNull(), "no such field")
+        .when(F.col("has_lock"), F.col("_fault"))
+    )
+    return judged.select(*on, problem.alias("problem")).filter("problem is not null")
+
+
+def _with_fault(rows: DataFrame, rules: Mapping[str, Rule] | None) -> DataFrame:
+    """Rows of fields with a ``lock``, and ``_fault``: why the field can't be locked to it."""
     lock = F.col("lock")
     # The field's own rules, without a lock.
     rule = F.struct(*(F.lit(None).cast(LOCK_COLUMNS[c]).alias(c) if c in LOCK_COLUMNS else F.col(c) for c in RULE_COLUMNS))
-    judged = with_value_parts(judged, "lock")
     first_error = F.coalesce(
         *scalar_errors(lock, rule), F.get(item_errors(rule), F.lit(0)),
         second_phase(lock, rule, rules),
     )
-    kinds = F.transform(items(F.col("lock")), value_type)
+    kinds = F.transform(F.col("_items"), value_type)
     mixed = F.exists(kinds, lambda k: ~k.isin(*_PLAIN)) & ~(
         (F.size(kinds) == 1) & (F.get(kinds, F.lit(0)) == "object")
     )
-    problem = (
-        F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("pos").isNull(), "no such field")
-        .when(F.col("has_lock") & first_error.isNotNull(), first_error)
-        .when(
-            F.col("has_lock") & (value_type(F.col("lock")) == "array") & mixed,
-            "list lock needs plain values or one object",
-        )
-    )
-    return judged.select(*on, problem.alias("problem")).filter("problem is not null")
+    fault = F.when(first_error.isNotNull(), first_error).when(
+        (value_type(lock) == "array") & mixed, "list lock needs plain values or one object")
+    parts = with_value_parts(rows, "lock")
+    return parts.withColumn("_fault", F.when(lock.isNotNull(), fault)).drop("_kind", "_number", "_text", "_items")
 
 
 def _located(index: DataFrame, overrides: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -137,16 +140,12 @@ def lock_fields(
     """Narrow the rules of locked fields to their value.
 
     Adds ``lock_type``, ``lock_const`` (JSON text of a plain value), and for lists
-    ``lock_size``, ``item_types`` and ``item_enum`` (JSON texts). Values that break the
-    field's own rules are left out here and listed by :func:`override_lint`.
+    ``lock_size``, ``item_types`` and ``item_enum`` (JSON texts). A value that breaks the rules of its
+    field doesn't lock it; :func:`override_lint` lists it. Each field is judged by itself, so an
+    override without a template id locks the fields that take it in all templates.
     """
     on = _join_keys(index, overrides)
-    bad = override_lint(index, overrides, rules).select(*on)
-    usable = (
-        overrides.filter("problem is null and has_lock")
-        .join(bad, on, "left_anti")
-        .select(*on, "lock")
-    )
+    usable = overrides.filter("problem is null and has_lock").select(*on, "lock")
     lock = F.col("lock")
     kind = value_type(lock)
     parts = items(lock)
@@ -166,10 +165,12 @@ def lock_fields(
     shown = F.when(kind.isin("string", "boolean"), F.to_json(lock)).otherwise(
         F.coalesce(answer_text(lock), F.lit("null"))
     )
-    hit = F.col("lock").isNotNull() & _first_of_key(index)
+    # One join carries lock and field together, and the lock is judged where they meet. Adaptive
+    # execution broadcasts the overrides or splits keys that many templates share.
+    met = index.withColumn("_first", _first_of_key(index)).join(usable, on, "left")
+    judged = _with_fault(met.withColumn("lock", F.when(F.col("_first"), F.col("lock"))), rules)
     return (
-        lookup_join(index, usable, on)
-        .withColumn("lock", F.when(hit, lock))
+        judged.withColumn("lock", F.when(F.col("_fault").isNull(), lock))
         .withColumns(
             {
                 "lock_type": kind,
@@ -186,6 +187,7 @@ def lock_fields(
                 ),
             }
         )
+        .drop("_first", "_fault")
     )
 
 

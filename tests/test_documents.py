@@ -11,7 +11,7 @@ from fieldloom.operators import documents as D
 from fieldloom.operators import reverse as R
 from fieldloom.operators import templates as T
 from fieldloom.operators import validate as V
-from fieldloom.plans.joins import fits_broadcast, salted_join
+from fieldloom.plans.joins import fits_broadcast, hot_keys, salted_join
 from fieldloom.plans.layout import (
     QUESTIONNAIRE,
     FieldType,
@@ -249,6 +249,34 @@ def test_salted_join_keeps_a_hot_key_whole(spark):
     assert joined.count() == 1000 and joined.filter("v = k * 2").count() == 1000
 
 
+def test_only_hot_keys_are_copied(spark):
+    ids = F.col("id")
+    key = F.when(ids < 500_000, 7).when(ids < 700_000, F.lit(None)).otherwise(ids)
+    facts = spark.range(1_700_000).select("id", key.alias("k"))
+    lookup = spark.range(1_700_000).select(ids.cast("int").alias("k"), (ids * 2).alias("v"))  # another type of key
+    hot = hot_keys(facts, ["k"])
+    assert len(hot) == 2  # the key 7, and rows without a key
+    joined = salted_join(facts, lookup, ["k"], salts=16, hot=hot)
+    found = joined.agg(F.count("*").alias("n"), F.count_if(F.expr("v = k * 2")).alias("right"), F.count("v").alias("met")).first()
+    assert (found["n"], found["right"], found["met"]) == (1_700_000, 1_500_000, 1_500_000)
+    copies = [m["rows"] for m in joined_rows(joined)]
+    assert copies == [1_700_000 + 15]
+    assert hot_keys(spark.range(10_000).select("id"), ["id"]) == [] and hot_keys(facts.limit(0), ["k"]) == []
+
+
+def joined_rows(joined):
+    """Rows that the lookup side of a salted join has after its explode."""
+    plan = joined._jdf.queryExecution().analyzed()
+    from pyspark.sql import DataFrame
+
+    join = plan.children().apply(0)
+    while "Join" not in join.nodeName():
+        join = join.children().apply(0)
+    right = join.children().apply(1)
+    spark = joined.sparkSession
+    return [{"rows": DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, right), spark).count()}]
+
+
 def test_documents_are_not_shuffled(spark, contracts):
     frame = V.validate(D.align_documents(docs_of(spark, GOOD), contracts, QUESTIONNAIRE))
     plan = frame._jdf.queryExecution().executedPlan().toString()
