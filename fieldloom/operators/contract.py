@@ -84,16 +84,21 @@ def field_fragment(index: DataFrame) -> Column:
             F.lit('},"description":{"type":"string"}},"required":["entry","description"]}'),
         ),
     )
+    keys = F.json_object_keys("own")
+    # The caller's own keys replace those of the rule.
+    named = lambda name, value: F.when(~F.coalesce(F.array_contains(keys, name), F.lit(False)), _named(name, value))
+    inside = F.nullif(F.expr("substring(trim(own), 2, length(trim(own)) - 2)"), F.lit(""))
     parts = [
-        _named("type", shown_type),
-        _named("description", json_text(F.col("description"))),
-        _named("enum", F.when(on == "value", _list(enum, True))),
-        _named("const", F.when(F.col("const").isNotNull(), json_text(F.col("const")))),
-        _named("minimum", whole("minimum")),
-        _named("maximum", whole("maximum")),
-        _named("format", json_text(F.col("format"))),
-        _named("maxItems", F.col("max_items").cast("string")),
-        _named("items", item_list),
+        named("type", shown_type),
+        named("description", json_text(F.col("description"))),
+        named("enum", F.when(on == "value", _list(enum, True))),
+        named("const", F.when(F.col("const").isNotNull(), json_text(F.col("const")))),
+        named("minimum", whole("minimum")),
+        named("maximum", whole("maximum")),
+        named("format", json_text(F.col("format"))),
+        named("maxItems", F.col("max_items").cast("string")),
+        named("items", item_list),
+        inside,
     ]
     if "lock_type" not in index.columns:
         return _object(parts)

@@ -223,7 +223,7 @@ RULE_COLUMNS = [
     "group_key", "group_title", "key_field", "source_type", "target_type", "json_types", "minimum",
     "maximum", "format", "enum_on", "max_items", "length", "const", "enum", "option_texts",
     "option_clean", "option_values", "is_virtual", "is_virtual_child", "level_keys", "lock_type",
-    "lock_json", "lock_size", "item_enum",
+    "lock_json", "lock_size", "item_enum", "own",
 ]
 
 #: Columns that only an index with locks has.

@@ -425,6 +425,12 @@ def build_field_index(flat: DataFrame, layout: TemplateLayout) -> DataFrame:
     ).cast("string")
     override = F.when(F.col("is_constant"), instruction_label(F.col("id"))).otherwise(own_label)
     length = F.coalesce(p["length"].try_cast("int"), F.col("default_items"))
+    built = _ladder(
+        layout, p["type"],
+        lambda k: layout.rules[k.target].fragment(p) if layout.rules[k.target].fragment else None,
+    ).cast("string")
+    own = F.when(F.json_object_keys(built).isNotNull(), built)
+    of_own = lambda name, kind: F.get_json_object(own, f"$.{name}").try_cast(kind)
     texts = F.transform("choices", lambda o: o["text"])
     fields = fields.select(
         "template_id",
@@ -447,11 +453,12 @@ def build_field_index(flat: DataFrame, layout: TemplateLayout) -> DataFrame:
         p["name"].alias("raw_name"),
         "target_type",
         "json_types",
-        "minimum",
-        "maximum",
+        F.coalesce(of_own("minimum", "double"), "minimum").alias("minimum"),
+        F.coalesce(of_own("maximum", "double"), "maximum").alias("maximum"),
         "format",
         "enum_on",
-        F.when(F.col("default_items").isNotNull(), length).alias("max_items"),
+        F.coalesce(of_own("maxItems", "int"), F.when(F.col("default_items").isNotNull(), length)).alias("max_items"),
+        own.alias("own"),
         F.coalesce(p["length"].try_cast("int"), F.lit(0)).alias("length"),
         F.when(F.col("is_constant"), instruction_text(F.col("field_title"), F.col("name"))).alias(
             "const"
@@ -496,6 +503,7 @@ def virtual_children(fields: DataFrame) -> DataFrame:
             "enum": none.cast("array<string>"),
             "max_items": none.cast("int"),
             "const": none.cast("string"),
+            "own": none.cast("string"),
             "description": none.cast("string"),
             # The child keeps the code of its own option only.
             "option_texts": F.array("_o.option_clean"),

@@ -127,7 +127,27 @@ def scalar_errors(value: Column, rule: Column) -> list[Column]:
         rule["const"].isNotNull() & ~F.coalesce(text == rule["const"], F.lit(False)),
         F.concat(F.lit("const: "), shown),
     )
-    return [type_error, low, high, member, const, _lock_error(value, rule, shown)]
+    return [type_error, low, high, member, const, _lock_error(value, rule, shown), *_own_errors(rule, sound, shown)]
+
+
+def _own_errors(rule: Column, sound: Column, shown: Column) -> list[Column]:
+    """Errors of the constraints of a caller's own fragment, for values of a sound type."""
+    of_own = lambda name, kind: F.get_json_object(rule["own"], f"$.{name}").try_cast(kind)
+    number, text, parts = F.col("_number"), F.col("_text"), F.col("_items")
+    step = of_own("multipleOf", "double")
+    times = number / F.nullif(step, F.lit(0.0))
+    broken = {
+        "exclusiveMinimum": number <= of_own("exclusiveMinimum", "double"),
+        "exclusiveMaximum": number >= of_own("exclusiveMaximum", "double"),
+        "multipleOf": times != F.rint(times),
+        "minLength": F.length(text) < of_own("minLength", "int"),
+        "maxLength": F.length(text) > of_own("maxLength", "int"),
+        "pattern": ~F.regexp_like(text, of_own("pattern", "string")),
+        "minItems": F.size(parts) < of_own("minItems", "int"),
+        "maxItems": F.when(~rule["enum_on"].eqNullSafe("entry"), F.size(parts) > of_own("maxItems", "int")),
+    }
+    own = rule["own"].isNotNull() & sound
+    return [F.when(own & wrong, F.concat(F.lit(f"{name}: "), shown)) for name, wrong in broken.items()]
 
 
 def _lock_error(value: Column, rule: Column, shown: Column) -> Column:

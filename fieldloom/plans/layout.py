@@ -70,6 +70,12 @@ class TargetRule:
     skip: bool = False
     #: display label made by the caller from (id, clean name)
     label: Callable[[Column, Column], Column] | None = None
+    #: fragment of the caller's own: JSON text of an object with further constraints, made from the
+    #: properties of the question (key, id, name, title, type, options, length); null adds nothing.
+    #: It is merged into the contract, where its keys replace those of the rule. Checked when documents
+    #: are validated: minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, minLength,
+    #: maxLength, pattern, minItems, maxItems
+    fragment: Callable[[Column], Column] | None = None
 
 
 # Target types, their rules and the descriptions that go into contracts.

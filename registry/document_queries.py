@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fieldloom.functions.dates import is_iso_date, is_iso_datetime
 from fieldloom.operators.compare import flatten_records
-from fieldloom.operators.contract import json_text
+from fieldloom.operators.contract import field_fragment, json_text
 from fieldloom.operators.documents import (
     align_documents,
     contract_rows,
@@ -21,7 +23,7 @@ from fieldloom.operators.templates import (
 from fieldloom.operators.validate import text_rule, validate, verdicts
 from fieldloom.plans.layout import QUESTIONNAIRE, FieldType, PropertyNames, TemplateLayout
 from registry import query
-from registry.inputs import order_contracts, order_docs, spread, stored_once, table
+from registry.inputs import order_contracts, order_docs, order_flat, spread, stored_once, table
 
 # ------------------------------------------------------------------------------ flat event forms
 
@@ -247,6 +249,60 @@ def validate_orders(spark, sf):
     return validate(aligned_orders(spark, sf))
 
 
+# Fragments of the caller's own, made from the length of a question or fixed.
+_OWN_RULES = {
+    "string": replace(QUESTIONNAIRE.rules["string"], fragment=lambda p: F.when(
+        p["length"].try_cast("int") > 0, F.concat(F.lit('{"maxLength":'), (p["length"].try_cast("int") / 10).cast("int"), F.lit("}")))),
+    "positive_integer": replace(QUESTIONNAIRE.rules["positive_integer"], fragment=lambda p: F.lit('{"multipleOf":7,"minimum":100,"unit":"no."}')),
+    "multiple_select": replace(QUESTIONNAIRE.rules["multiple_select"], fragment=lambda p: F.lit('{ "minItems" : 3 }')),
+    "datetime": replace(QUESTIONNAIRE.rules["datetime"], fragment=lambda p: F.lit('{"pattern":"T0[0-9]:.*Z$"}')),
+}
+OWN_FRAGMENTS = replace(QUESTIONNAIRE, rules={**QUESTIONNAIRE.rules, **_OWN_RULES})
+
+
+def _own_index(spark, sf):
+    flat = order_flat(spark, sf)
+    return build_field_index(flat, OWN_FRAGMENTS), flat
+
+
+@query(
+    "own_fragments",
+    """with o as (select distinct cast(substr(o_orderpriority, 1, 1) as bigint) as template_id from orders)
+    select template_id, key, fragment from o, (values
+      ('Cust_A_5', '{"type":["integer","null"],"multipleOf":7,"minimum":100,"unit":"no."}'),
+      ('Cust_A_6', '{"type":["string","null"],"maxLength":8}'),
+      ('Cust_B_1', '{"type":["string","null"]}'),
+      ('Cust_B_2', '{"type":["string","null"],"description":"ISO 8601 date-time (YYYY-MM-DDTHH:MM:SSZ)","format":"date-time","pattern":"T0[0-9]:.*Z$"}')
+    ) f(key, fragment)""",
+)
+def own_fragments(spark, sf):
+    """Contract fragments of the fields whose type has a builder, less those with options."""
+    index, _ = _own_index(spark, sf)
+    built = index.filter(F.col("target_type").isin(*_OWN_RULES) & F.col("enum_on").isNull())
+    return built.select("template_id", "key", field_fragment(built).alias("fragment"))
+
+
+_OWN = "select o_orderkey, cast(substr(o_orderpriority, 1, 1) as bigint), cast(1 as int)"
+
+
+@query(
+    "validate_own",
+    f"""select * from ({ORDER_VIOLATIONS})
+    union all {_OWN}, '{_BODY}5. Customer', 'multipleOf', cast(o_custkey as varchar) from orders
+      where o_custkey % 7 <> 0 and o_orderkey % 31 <> 0
+    union all {_OWN}, '{_BODY}5. Customer', 'minimum', cast(o_custkey as varchar) from orders
+      where o_custkey < 100 and o_orderkey % 31 <> 0
+    union all {_OWN}, '{_BODY}6. Clerk notes', 'maxLength', concat('Clerk ', o_orderkey % 1000) from orders
+      where o_orderkey % 11 <> 0 and o_orderkey % 1000 >= 100
+    union all {_OWN}, '{_BODY}7. Flags', 'minItems', concat('["Flag ', o_orderkey % 5, '","Flag ', o_orderkey % 7, '"]') from orders
+    union all {_OWN}, '{_TAIL}2. Placed at', 'pattern', concat({_DAY}, ' 25:00') from orders where o_orderkey % 41 = 0""",
+)
+def validate_own(spark, sf):
+    """All violations of orders when types have fragments of the caller's own."""
+    contracts = contract_rows(*_own_index(spark, sf))
+    return validate(align_documents(order_docs(spark, sf), contracts, OWN_FRAGMENTS))
+
+
 @query(
     "validate_verdict",
     f"""with v as ({ORDER_VIOLATIONS}), g as (
