@@ -348,6 +348,7 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of all vectors with codebooks learned from all of them."""
     rows = table(spark, folder, "embeddings").filter(usable(F.col("embedding"))).select(
         F.col("vec_id").alias("id"), "label", scaled(F.col("embedding"), 4096).alias("vector"))
+    rows = stored(rows, "vectors")  # read by every round
     books = train_codebooks(rows)
     coded = stored(encode(rows, books), "codes")
     # Nulls in a struct are equal to each other.
