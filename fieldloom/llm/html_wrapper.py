@@ -12,6 +12,7 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -157,14 +158,46 @@ def _released(root: Node) -> None:
         todo = [x for node in free for x in outermost(node)]
 
 
+#: Levels of a tree. Deeper elements are taken for the one they are in: its text is theirs.
+MOST_LEVELS = 200
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Ends that are left out are put in by the usual rules, ends without a
-    beginning are ignored, and what is open at the end of the page is closed."""
+    beginning are ignored, and what is open at the end of the page is closed.
+
+    Below :data:`MOST_LEVELS` levels only elements that are set apart or marked as main text become
+    nodes of their own, outermost ones; other elements share the parts of the one around, with a blank
+    where a block begins or ends. So no tree is deeper than that and two more, however deep the page."""
     root = Node("#page", "#page")
     stack = [root]
     at, n = 0, len(page)
     known: dict[tuple[str, str], tuple[str, int, bool]] = {}
     marked = False
+    kept: list[tuple[int, str]] = []
+    # Where the open elements of each tag stand in the stack; where containers, those that are no cells,
+    # and elements that are not inline stand. So no tag makes the parser look through the stack.
+    standing: dict[str, list[int]] = {}
+    containers, walls, solid = [0], [0], [0]
+
+    def last(tag: str) -> int:
+        return standing[tag][-1] if standing.get(tag) else 0
+
+    def push(node: Node) -> None:
+        standing.setdefault(node.tag, []).append(len(stack))
+        for places, member in ((containers, node.tag in CONTAINERS), (walls, node.tag in CONTAINERS and node.tag not in ("td", "th")),
+                               (solid, node.tag not in INLINE)):
+            if member:
+                places.append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            standing[node.tag].pop()
+        del stack[k:]
+        for places in (containers, walls, solid):
+            while places[-1] >= k:
+                places.pop()
 
     def text(upto: int) -> None:
         if upto > at:
@@ -180,40 +213,45 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if match[1] or match[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if len(stack) > MOST_LEVELS and tag not in INLINE:
+                stack[-1].parts.append(" ")
+            k = last(tag)
+            if k and (tag not in INLINE or k > solid[-1]):
+                cut(k)
             continue
-        if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINERS:
-                    break
+        if tag in BLOCKS and last("p") > containers[-1]:
+            cut(last("p"))
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in CONTAINERS and stack[k].tag not in ("td", "th"):
-                    break
+            k = max(map(last, CLOSES[tag]))
+            if k and k >= walls[-1]:
+                cut(k)
         key = (tag, match[3] or "")
         marks = known.get(key)
         if marks is None:
             marks = known[key] = _marks(*key)
         node = Node(tag + marks[0], tag, tag in APART or marks[1] > 0, tag in ("article", "main") or marks[2], mark=marks[1])
         marked |= marks[1] in (_SOFT, _FIRM)
-        stack[-1].parts.append(node)
+        shared = len(stack) > MOST_LEVELS and tag not in RAW and tag not in VOID
+        if shared:
+            # Elements kept below the limit, by what they are kept for.
+            del kept[bisect_left(kept, len(stack), key=lambda k: k[0]) :]
+            kinds = {kind for _, kind in kept}
+            own = "apart" if node.apart else "main" if node.main else None
+            if own and own not in kinds:
+                kept.append((len(stack), own))
+                shared = False
+        if shared:
+            if tag not in INLINE:
+                stack[-1].parts.append(" ")
+            node.parts = stack[-1].parts
+        else:
+            stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if not (match[3] or "").endswith("/"):
                 at = end.end() if end else n
         elif tag not in VOID and not (match[3] or "").endswith("/"):
-            stack.append(node)
+            push(node)
     text(n)
     if marked:
         _released(root)
@@ -369,7 +407,8 @@ def extract(page: Node, paths: list[str], fixed: list[str]) -> str:
     def walk(node: Node, path: str) -> bool:
         if node.apart:
             return False
-        path = f"{path}/{node.name}"
+        if node.tag not in INLINE:  # wrappers don't name inline elements
+            path = f"{path}/{node.name}"
         if path in wanted:
             take(node)
             out.append(" ")

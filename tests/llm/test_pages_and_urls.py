@@ -124,3 +124,24 @@ def test_all_main_elements_are_taken(spark):
     pages += [(100, "http://h.org/", '<body><article>Summary</article><div class="post">The text itself</div></body>')]
     got = {r.id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Lead {i} Body {i} {long}".strip() for i in range(20)} | {100: "Summary The text itself"}
+
+
+@pytest.mark.parametrize("tag", ["div", "center", "span", "li", "article"])
+def test_very_deep_pages(spark, tag):
+    """A page of 100,000 levels keeps its text and takes no longer than its length."""
+    levels = 100_000
+    article = "<article>kept <b>bo</b>ld<div>two</div><nav>menu</nav></article>"
+    deep = "<body>" + f"<{tag}>" * levels + article + f"</{tag}>" * levels + "</body>"
+    flat = "<body><div><article>other <b>te</b>xt</article></div></body>"
+    frame = spark.createDataFrame(
+        [(1, "http://a.x/1", deep), (2, "http://a.x/2", flat), (3, "http://b.x/", deep), (4, None, None)], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in extract_pages(frame).collect()}
+    assert got == {1: "kept bold two", 2: "other text", 3: "kept bold two", 4: ""}
+
+
+def test_depth_changes_no_text():
+    for levels in (10, 150, 198, 199, 200, 201, 230, 1000):
+        page = "<body>" + "<div>" * levels + "x<i>y</i><aside>no</aside><main>kept<div>two</div><nav>n</nav></main> out" + "</div>z" * levels
+        assert page_text(page, None, None) == "kept two"
+        page = "<body>" + "<div>" * levels + "<p class='post'>a<em>b</em>c<div>d</div>" + "</div>" * levels
+        assert page_text(page, None, None).split() == ["abc"] or page_text(page, None, None).split() == ["abc", "d"]
