@@ -5,15 +5,18 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
 from fieldloom.llm import queries
 from fieldloom.llm.common import bit_table, bitmap, in_bitmap, with_hit
-from fieldloom.llm.decontaminate import benchmark_matches, common_subsequence, drop_contaminated, latent_terms
+from fieldloom.llm.decontaminate import (
+    Items, Vocabulary, benchmark_matches, common_subsequence, drop_contaminated, latent_terms, possible_passages, words_of)
 from fieldloom.llm.mixing import mix_to_targets, rake
 from fieldloom.llm.quality import STATISTICS, isotonic, quality_scores, statistics
 from fieldloom.llm.sharding import hilbert_index, hilbert_shards
@@ -100,13 +103,19 @@ def test_latent_space_is_that_of_the_full_decomposition():
     omega = rng.normal(size=(12, 12))
     got = latent_terms(counts.T @ counts @ omega, found, 300.0, omega)
     idf = np.log(301 / (1 + found)) + 1
-    # Cosines between weighted vectors: those under the inverse covariance of the TF-IDF matrix.
+    # With as many directions as terms, cosines are those of the TF-IDF vectors themselves.
     a = counts * idf
-    inverse = np.linalg.inv(a.T @ a)
-    want = (a[:20]) @ inverse @ (a[:20]).T
     x = counts[:20] @ got
     cosine = lambda g: g / np.sqrt(np.outer(np.diag(g), np.diag(g)))
-    assert np.allclose(cosine(x @ x.T), cosine(want), atol=1e-3)
+    assert np.allclose(cosine(x @ x.T), cosine(a[:20] @ a[:20].T), atol=1e-3)
+    # With fewer, they still are when the matrix has no more directions.
+    counts = rng.poisson(2, (300, 3)) @ rng.poisson(1, (3, 12)).astype(float)
+    found = (counts > 0).sum(0)
+    test = rng.normal(size=(12, 8))
+    a = counts * (np.log(301 / (1 + found)) + 1)
+    x = counts[50:70] @ latent_terms(counts.T @ counts @ test, found, 300.0, test)
+    some = a[50:70].any(1)
+    assert some.sum() > 10 and np.allclose(cosine((x @ x.T)[some][:, some]), cosine((a[50:70] @ a[50:70].T)[some][:, some]), atol=1e-3)
 
 
 @pytest.mark.parametrize("block", [4000, 4])
@@ -173,6 +182,58 @@ def test_hot_paraphrases(spark, kind):
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows if i < 1000}
 
 
+def test_latent_cosines_alone_find_the_matches(spark):
+    """Recall of the cosine against brute force in a hot group and in cold ones, with the sample that
+    a large table has; without the cosine nothing is found by another way."""
+    rng = random.Random(52)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "re", "tun", "sh", "ve", "do"]) for _ in range(3)) for _ in range(900)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randrange(15, 60))) for _ in range(40)]
+    rows = []
+    for i in range(400):
+        other = [rng.choice(words) for _ in range(rng.randrange(10, 300))]
+        k = 0 if i % 3 == 0 else i % 40 if i % 3 == 1 else None
+        if k is not None:
+            at = rng.randrange(len(other))
+            item = items[k].split()
+            other = other[:at] + paraphrased(rng, item, len(item) // 5, words) + other[at:]
+        rows.append((i, " ".join(other)))
+    docs = docs_of(spark, rows)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_matches(rows, items)
+    for options in ({}, {"fit_passages": 200}, {"fit_passages": 1}):
+        got = {(r.id, r.item_id) for r in benchmark_matches(docs, bench, **options).collect()}
+        assert got <= want
+        for hot in (True, False):
+            part = {x for x in want if (x[1] == 0) == hot}
+            assert len(part) > 100 and len(part & got) >= 0.9 * len(part)
+    assert benchmark_matches(docs, bench, similarity=1.1).count() == 0
+
+
+def test_the_bounds_leave_no_passage_out():
+    """Every passage around which enough of an item's words lie is looked at."""
+    rng = random.Random(77)
+    words = [a + b for a in "abcdefg" for b in "uvwxyz"]
+    items = pd.Series([" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(25)] + [None, ""])
+    texts = pd.Series([" ".join(rng.choices(words, k=rng.choice([0, 3, 20, 90]))) for _ in range(40)] + [None])
+    of_items, of_texts = words_of(items), words_of(texts)
+    vocabulary = Vocabulary.of(of_items.hashes)
+    n = len(vocabulary.terms)
+    known = Items.of(np.arange(27), of_items, vocabulary, np.arange(n) + 1.0, np.eye(n, dtype=np.float32), 0.5)
+    got = {(int(i), int(p)) for a, b in possible_passages(of_texts, vocabulary.index(of_texts.hashes), known, n) for i, p in zip(a, b)}
+    want, at = set(), 0
+    for t in texts.fillna(""):
+        t = t.split()
+        for i, item in enumerate(items.fillna("")):
+            item = item.split()
+            m, s = len(item), int(known.scale[i]) * 8
+            for lo in range(0, len(t), max(8, s // 2)):
+                both = Counter(t[max(0, lo - m) : lo + s + m]) & Counter(item)
+                if m and sum(both.values()) >= (m if m < 4 else -(-m // 2)):
+                    want.add((i, at + lo))
+        at += len(t)
+    assert got == want and len(want) > 50
+
+
 def test_long_items(spark):
     """Items of 300 and 1,000 words, verbatim and with 0.25 of the words replaced."""
     rng = random.Random(41)
