@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bytewise import _BYTE, _powers_to, in_blocks, text_bytes
-from fieldloom.llm.common import bit_table, bitmap, in_bitmap, mixed, partitions, with_hit
+from fieldloom.llm.common import bit_table, bitmap, in_bitmap, mixed, partitions, spans, with_hit
 from fieldloom.session import stored
 
 #: Bytes of the pieces whose least hash stands for a string.
 PIECE = 24
 _BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 19, 1_000_000, 8 << 20
+#: Bytes of runs, or of texts whose keys are counted, for each group of keys.
+_GROUP_BYTES = 32 << 20
 
 
 def _piece(length: int) -> int:
@@ -120,65 +122,77 @@ def _shared_keys(docs: DataFrame, length: int, bins: int) -> DataFrame:
     return packed.groupBy("bin").applyInPandas(twice, "id long")
 
 
-_PIECES = "id long, row long, at long, key long, name long, bin long, keys binary, names binary, ids binary, sizes binary, bytes binary"
+def _chosen(rows: pd.DataFrame, keys: np.ndarray, length: int) -> tuple | None:
+    """Of a block of rows (id, row, _text), the runs whose key may be among ``keys``: text, first byte
+    in the block and in the text, size, key, name; and the bytes of the block."""
+    data, ends = text_bytes(rows["_text"])
+    runs = Runs(data, ends, length)
+    take = in_bitmap(runs.key.view(np.int64), keys) if len(runs.key) else np.zeros(0, bool)
+    if not take.any():
+        return None
+    first, stop, text = runs.first[take], runs.last[take] + length, runs.text[take]
+    sizes = stop - first
+    name = mixed((runs.total[stop] - runs.total[first]) * runs.inverse[first] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return text, first, first - np.concatenate([[0], ends[:-1]])[text], sizes, runs.key[take], name, data
 
 
-def _pieces(docs: DataFrame, shared: np.ndarray, length: int, bins: int) -> DataFrame:
-    """Of each run with a shared key, a row (id, row, at, key, name); and in packs by bin, the bytes of
-    each task's different runs, with the smallest id that has them."""
+def _places(docs: DataFrame, shared: np.ndarray, length: int) -> DataFrame:
+    """Where runs with a shared key are: rows (id, row, at, size, key, name)."""
     keys_of = docs.sparkSession.sparkContext.broadcast(shared)
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in in_blocks(batch, "_text", _BLOCK):
+                found = _chosen(rows, keys_of.value, length)
+                if found is not None:
+                    text, _, at, sizes, key, name, _ = found
+                    yield pd.DataFrame({
+                        "id": rows["id"].to_numpy(np.int64)[text], "row": rows["row"].to_numpy(np.int64)[text], "at": at,
+                        "size": sizes, "key": key.view(np.int64), "name": name.view(np.int64)})
+
+    return docs.mapInPandas(work, "id long, row long, at long, size long, key long, name long")
+
+
+def _packs(docs: DataFrame, several: np.ndarray, length: int, bins: int) -> DataFrame:
+    """In packs by bin of keys, the bytes of each task's different runs with the smallest id that has them."""
+    keys_of = docs.sparkSession.sparkContext.broadcast(several)
+
+    def packed(held: list[tuple]) -> pd.DataFrame:
+        key, name, ids, sizes, data = (np.concatenate([h[k] for h in held]) for k in range(5))
+        offset = np.cumsum(sizes) - sizes
+        order = np.lexsort((ids, name, key))
+        k, m = key[order], name[order]
+        chosen = order[np.append(True, (k[1:] != k[:-1]) | (m[1:] != m[:-1]))]
+        at = ((key[chosen] >> np.uint64(5)) % np.uint64(bins)).astype(np.int64)
+        chosen, at = chosen[np.argsort(at, kind="stable")], np.sort(at)
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+            c = chosen[a:b]
+            run, inner = spans(sizes[c])
+            out.append((int(at[a]), key[c].tobytes(), name[c].tobytes(), ids[c].tobytes(), sizes[c].astype(np.int32).tobytes(),
+                        data[offset[c][run] + inner].tobytes()))
+        return pd.DataFrame(out, columns=["bin", "keys", "names", "ids", "sizes", "bytes"])
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
-
-        def flush() -> pd.DataFrame:
-            key, name, ids, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
-            data = np.concatenate([h[4] for h in held])
-            held.clear()
-            offset = np.cumsum(sizes) - sizes
-            order = np.lexsort((ids, name, key))
-            k, m = key[order], name[order]
-            chosen = order[np.append(True, (k[1:] != k[:-1]) | (m[1:] != m[:-1]))]
-            at = ((key[chosen] >> np.uint64(5)) % np.uint64(bins)).astype(np.int64)
-            chosen, at = chosen[np.argsort(at, kind="stable")], np.sort(at)
-            cuts = np.flatnonzero(np.diff(at, prepend=-1))
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
-                c = chosen[a:b]
-                out.append((int(at[a]), key[c].tobytes(), name[c].tobytes(), ids[c].tobytes(), sizes[c].astype(np.int32).tobytes(),
-                            np.concatenate([data[offset[i] : offset[i] + sizes[i]] for i in c]).tobytes()))
-            frame = pd.DataFrame(out, columns=["bin", "keys", "names", "ids", "sizes", "bytes"])
-            return frame.assign(id=None, row=None, at=None, key=None, name=None)
-
         for batch in batches:
             for rows in in_blocks(batch, "_text", _BLOCK):
-                data, ends = text_bytes(rows["_text"])
-                runs = Runs(data, ends, length)
-                if not len(runs.key):
+                found = _chosen(rows, keys_of.value, length)
+                if found is None:
                     continue
-                take = in_bitmap(runs.key.view(np.int64), keys_of.value)
-                first, stop, text, key = runs.first[take], runs.last[take] + length, runs.text[take], runs.key[take]
-                if not len(first):
-                    continue
-                sizes = stop - first
-                name = mixed((runs.total[stop] - runs.total[first]) * runs.inverse[first] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                ids = rows["id"].to_numpy(np.int64)[text]
-                starts = np.concatenate([[0], ends[:-1]])
-                yield pd.DataFrame({"id": ids, "row": rows["row"].to_numpy(np.int64)[text], "at": first - starts[text], "key": key.view(np.int64), "name": name.view(np.int64)}).assign(
-                    bin=None, keys=None, names=None, ids=None, sizes=None, bytes=None)
-                run = np.repeat(np.arange(len(sizes)), sizes)
-                inner = np.arange(len(run)) - (np.cumsum(sizes) - sizes)[run]
-                held.append((key, name, ids, sizes, data[first[run] + inner]))
+                text, first, _, sizes, key, name, data = found
+                run, inner = spans(sizes)
+                held.append((key, name, rows["id"].to_numpy(np.int64)[text], sizes, data[first[run] + inner]))
                 size += len(run)
                 if size >= _FLUSH_BYTES:
-                    yield flush()
-                    size = 0
+                    yield packed(held)
+                    held, size = [], 0
         if held:
-            yield flush()
+            yield packed(held)
 
-    columns = [c.split()[0] for c in _PIECES.split(", ")]
-    return docs.mapInPandas(lambda batches: (f[columns] for f in work(batches)), _PIECES)
+    return docs.mapInPandas(work, "bin long, keys binary, names binary, ids binary, sizes binary, bytes binary")
 
 
 def least_owner(data: np.ndarray, offset: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -268,10 +282,13 @@ def repeated_spans(
     1. Copies of whole texts lose everything (from ``length`` bytes on) and are left aside.
     2. Strings are told apart by the least hash among their pieces. Keys that two documents share
        become a bitmap of fixed size; a key that passes it unshared costs work only.
-    3. Runs of strings with such a key are sent by key. A task sends equal runs once, with the
-       smallest id, so a passage of a third of all documents stays small. Each bin of keys is
-       indexed and expanded (:func:`least_owner`).
-    4. The least owners are joined to where the runs occur, and what is owned by a smaller id is
+    3. Where runs of strings with such a key are is written once, without bytes. A key whose runs all
+       have one name (a hash of the whole run) belongs to the smallest id; most runs of near copies
+       and of repeated passages are of this kind.
+    4. Bytes are sent only of runs whose key has several names, by key. A task sends equal runs once,
+       with the smallest id, so a passage of a third of all documents stays small. Each group of keys
+       (their number grows with the bytes) is indexed and expanded (:func:`least_owner`).
+    5. The least owners are joined to where the runs occur, and what is owned by a smaller id is
        merged to spans. Only texts that lose something are shuffled.
     """
     spark = docs.sparkSession
@@ -294,19 +311,29 @@ def repeated_spans(
     marked = with_hit(numbered, bit_table(copies.select(F.xxhash64("id", "row").alias("id"))), F.xxhash64("id", "row"))
     singles = marked.filter("not _hit").drop("_hit").union(
         marked.filter("_hit").join(copies, ["id", "row"], "left_anti").select("id", "_text", "row"))
-    shared = bitmap(_shared_keys(singles, length, bins))
-    pieces = stored(_pieces(singles, shared, length, bins), "pieces")
-    packs = pieces.filter("bin is not null").select("bin", "keys", "names", "ids", "sizes", "bytes")
-    owners = packs.groupBy("bin").applyInPandas(
+    bytes_in = singles.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shared = bitmap(_shared_keys(singles, length, max(bins, bytes_in // _GROUP_BYTES)))
+    places = stored(_places(singles, shared, length), "places")
+    by_key = stored(
+        places.groupBy("key").agg(
+            F.min("name").alias("name"), (F.min("name") != F.max("name")).alias("several"), F.min("id").alias("owner"),
+            F.max("id").alias("last"), F.max("size").alias("size"), F.sum("size").alias("bytes"))
+        .filter("several or owner < last"), "keys")
+    several = by_key.filter("several")
+    bytes_in = several.agg(F.sum("bytes")).first()[0] or 0
+    compared = _packs(singles, bitmap(several.select(F.col("key").alias("id"))), length, max(bins, bytes_in // _GROUP_BYTES))
+    compared = compared.groupBy("bin").applyInPandas(
         lambda rows: _expanded(rows, length), "key long, name long, lo long, hi long, owner long")
-    places = pieces.filter("bin is null").select("id", "row", "at", "key", "name")
-    spans = stored(
+    alike = by_key.filter("not several").select(
+        "key", "name", F.lit(0).cast("long").alias("lo"), (F.col("size") - length).alias("hi"), "owner")
+    owners = compared.union(alike)
+    lost = stored(
         places.join(owners, ["key", "name"]).filter("owner < id")
         .select("id", "row", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length).alias("hi")), "spans")
-    touched = bit_table(spans.select("id", "row").union(copies).select(F.xxhash64("id", "row").alias("id")))
+    touched = bit_table(lost.select("id", "row").union(copies).select(F.xxhash64("id", "row").alias("id")))
     every = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), F.col("id").cast("long"))
     every = with_hit(every, touched, F.xxhash64(F.col("id").cast("long"), "row"))
-    info = spans.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(
+    info = lost.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(
         copies.withColumn("copy", F.lit(True)), ["id", "row"], "full").withColumnsRenamed({"id": "_id", "row": "_row"})
     losing = every.filter("_hit")
     losing = losing.join(info, (F.col("id").cast("long") == F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "_text", "spans", "copy")
