@@ -19,6 +19,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def set_aside(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``frame`` with new names for the columns that begin with an underscore, as all names of helper
+    columns do; and the new name of every column by its old one, for :func:`put_back`."""
+    taken = {c.lower() for c in frame.columns}
+    names = {c: c for c in frame.columns}
+    for i, c in enumerate(frame.columns):
+        if c.startswith("_"):
+            new = f"aside_{i}"
+            while new in taken:
+                new += "_"
+            names[c] = new
+    return frame.toDF(*names.values()), names
+
+
+def put_back(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Old names for the columns of :func:`set_aside`; others, new ones included, keep theirs."""
+    return frame.withColumnsRenamed({new: old for old, new in names.items() if new != old})
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that stand for these values of a row; null is told apart from empty."""
+    parts = [F.concat(F.when(F.col(c).isNull(), "-").otherwise(F.lit("+")), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    return F.unhex(F.md5(F.encode(F.concat_ws("\0", *parts), "UTF-8")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

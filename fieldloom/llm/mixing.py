@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.common import put_back, set_aside
+
 OTHER = "(other)"
 
 #: Topics by words that speak for them, in the order in which ties are settled.
@@ -83,11 +85,12 @@ def mix_to_targets(
     ``fraction`` of all tokens wanted. It is sampled when a hash of seed, id and text lies below
     that, so a second run, or a lost executor, changes nothing and repeated rows go together.
     Empty and null texts have no tokens and the probability of their cell; a cell without tokens
-    has ``fraction``. An empty table gives no rows. Columns named like a new one are replaced.
+    has ``fraction``. An empty table gives no rows. Columns named like a new one are replaced,
+    those named like helpers pass through. Texts of any length are read whole.
     """
     spark = docs.sparkSession
-    given = docs.columns
-    out = docs.drop("n_tokens", "probability", "sampled")
+    out, renamed = set_aside(docs.drop("n_tokens", "probability", "sampled"))
+    given, id_col, text_col = out.columns, renamed[id_col], renamed[text_col]
     if "topic" in targets and "topic" not in given:
         out = out.withColumn("topic", topic_of(F.coalesce(F.col(text_col), F.lit("")), topics))
     out = out.withColumn("n_tokens", token_count(F.col(text_col)))
@@ -95,7 +98,7 @@ def mix_to_targets(
     keys = [sorted(targets[n]) + [OTHER] for n in names]
     cell = F.lit(0)
     for name, key in zip(names, keys, strict=True):
-        place = F.array_position(F.array(*map(F.lit, key[:-1])), F.col(name).cast("string")).cast("int")
+        place = F.array_position(F.array(*map(F.lit, key[:-1])), F.col(renamed.get(name, name)).cast("string")).cast("int")
         cell = cell * len(key) + F.coalesce(F.when(place > 0, place - 1), F.lit(len(key) - 1))
     out = out.withColumn("_cell", cell)
     shape = [len(k) for k in keys]
@@ -117,8 +120,5 @@ def mix_to_targets(
     schema = T.StructType([T.StructField("_cell", T.IntegerType()), T.StructField("probability", T.DoubleType())])
     table = spark.createDataFrame([(i, float(min(1.0, c))) for i, c in enumerate(chance)], schema)
     dice = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11)).cast("double") / float(1 << 53)
-    return (
-        out.join(F.broadcast(table), "_cell", "left")
-        .withColumn("sampled", dice < F.col("probability"))
-        .drop("_cell")
-    )
+    sampled = out.join(F.broadcast(table), "_cell", "left").withColumn("sampled", dice < F.col("probability"))
+    return put_back(sampled.drop("_cell"), renamed)

@@ -62,7 +62,7 @@ words as (
 tops as (
   select leaf, pos, max(c) as top from (select leaf, pos, word, count(*) as c from words group by all) group by leaf, pos),
 fixed as (select t.leaf, pos, top >= 0.9 * n_lines as is_fixed from tops t join counts c on t.leaf = c.leaf),
-general as (select leaf from fixed group by leaf having avg(is_fixed::int) >= 0.6),
+general as (select leaf from fixed where pos > 4 group by leaf having avg(is_fixed::int) >= 0.6),
 templates as (
   select w.leaf, w.masked, string_agg(case when f.is_fixed or g.leaf is null then w.word else '<*>' end, ' ' order by w.pos) as template
   from (select e.leaf, e.masked, u.pos, string_split(e.masked, ' ')[u.pos] as word

@@ -9,11 +9,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldloom.llm import ngram_join
 from fieldloom.llm.common import components
+from fieldloom.llm.decontaminate import drop_contaminated
 from fieldloom.llm.exact_dedup import exact_dedup
 from fieldloom.llm.line_dedup import line_dedup
+from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import CountTree, drop_near_duplicates, near_duplicates
+from fieldloom.llm.sharding import hilbert_shards
 from fieldloom.llm.suffix_dedup import least_owner, repeated_spans
 
 SCHEMA = "doc_id long, text string, lang string, size long, _text string"
@@ -243,3 +247,41 @@ def test_frequencies_are_counts_of_sets(docs, rows):
     found = [r.df for r in ngram_join._frequencies(docs.coalesce(1), 5, 3, "text").collect()]
     shared = sorted(n for n in counts.values() if n > 1)
     assert found and 0.3 * len(shared) < len(found) <= len(shared) and max(found) <= max(shared)
+
+
+def test_unique_lines_with_a_common_beginning_stay(spark):
+    """Leading words are the same in every line of a leaf, so they say nothing about a template."""
+    rows = [(1, "The population of the city"), (2, "The population of the county"), (3, "We have seen it all before"),
+            (4, "We have seen it not yet"), (5, "The population of the city")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {5: ""}
+
+
+#: Names that the operators give to columns of their own (Spark ignores their case).
+HELPERS = ["_WORD", "_bits", "_h", "_hit", "_id", "_hash", "_parts", "_lost", "_key", "_root", "_r", "_n", "_q0", "_q1", "_at",
+           "_rank", "_cell", "_part", "_all", "_cell_n", "_cell_at", "_part_at", "_text", "aside_4"]
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "drop_near_duplicates", "drop_contaminated", "hilbert_shards", "mix_to_targets", "quality"])
+def test_columns_named_like_helpers_pass_through(spark, name):
+    names = ["doc_id", "text", "lang", "source", "n_chars", *HELPERS]
+    texts = ["ka lo mi re tun sh ve do a b c d", "one two three four five six seven eight", "ka lo mi re tun sh ve do a b c d", None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or ""), *(f"{h} {i}" for h in HELPERS), {"k": i}) for i, t in enumerate(texts)]
+    kinds = ", ".join(f"`{c}` {k}" for c, k in zip(names, ["long", "string", "string", "string", "long", *["string"] * len(HELPERS)], strict=True))
+    docs = spark.createDataFrame(rows, kinds + ", _map map<string, long>")
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    left = {"line_dedup": 5, "drop_near_duplicates": 4, "drop_contaminated": 4, "hilbert_shards": 5, "mix_to_targets": 5, "quality": 5}
+    got = {
+        "line_dedup": lambda: line_dedup(docs),
+        "drop_near_duplicates": lambda: drop_near_duplicates(docs),
+        "drop_contaminated": lambda: drop_contaminated(docs, bench),
+        "hilbert_shards": lambda: hilbert_shards(docs, shards=2),
+        "mix_to_targets": lambda: mix_to_targets(docs, {"source": {"s0": 0.5, "s1": 0.5}}),
+        "quality": lambda: corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.001"),
+    }[name]()
+    found = got.collect()
+    assert got.columns[: len(docs.columns)] == docs.columns
+    assert len(found) == left[name] if name != "quality" else 0 < len(found) <= 5
+    for r in found:
+        assert all(r[h] == f"{h} {r.doc_id}" for h in HELPERS) and r["_map"] == {"k": r.doc_id}
+    assert drop_near_duplicates(docs.union(docs)).count() == 4
