@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import partitions
+from fieldloom.llm.common import partitions, put_back, set_aside
 
 #: Bits of each dimension: 2**BITS steps, so 4,096 cells for three dimensions.
 BITS = 4
@@ -66,27 +66,31 @@ def _prefix_number(text: Column, skip: Column) -> Column:
 def quantised(docs: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
     """Columns ``_q0, _q1, …`` with each dimension in ``2**bits`` steps of its order.
 
-    Numbers are taken by the logarithm of their distance from the least one, texts by the six bytes
-    after the prefix that all of them share; both are then cut into equal steps between least and
-    greatest. Null lies in step 0. The least and greatest values are one row of aggregates.
+    Steps are cut at quantiles, so that about as many rows lie in each; a value that is more often
+    than that has a step of its own, and steps without rows are not counted. Texts are taken by the
+    six bytes after the prefix that all of them share. Null lies in step 0. Least, greatest and
+    quantiles are aggregates of bounded size.
     """
     steps = 1 << bits
     kinds = dict(docs.dtypes)
-    ends = docs.agg(*(f(d).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    texts = [d for d in dims if kinds[d] == "string"]
+    ends = docs.agg(F.count("*"), *(f(d).alias(f"{n}{texts.index(d)}") for d in texts for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    values = []
+    for d in dims:
+        if d not in texts:
+            values.append(F.col(d).cast("double"))
+            continue
+        low, high = (ends[f"{n}{texts.index(d)}"] or "" for n in ("lo", "hi"))
+        skip = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+        values.append(F.when(F.col(d).isNotNull(), _prefix_number(F.col(d), F.lit(skip))))
+    shares = F.array(*(F.lit(k / steps) for k in range(1, steps)))
+    cuts = docs.agg(*(F.percentile_approx(v, shares, 10_000).alias(f"c{i}") for i, v in enumerate(values))).first()
     out = docs
-    for i, dim in enumerate(dims):
-        low, high = ends[f"lo{i}"], ends[f"hi{i}"]
-        if low is None or low == high:
-            step = F.lit(0)
-        elif kinds[dim] == "string":
-            skip = next((k for k, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
-            value = _prefix_number(F.col(dim), F.lit(skip))
-            lo, hi = (int.from_bytes(t[skip:].encode()[:6].ljust(6, b"\0"), "big") for t in (low, high))
-            step = F.floor((value - F.lit(lo)).cast("double") * steps / F.lit(float(hi - lo + 1)))
-        else:
-            span = F.log1p(F.lit(float(high) - float(low)))
-            step = F.floor(F.log1p(F.col(dim).cast("double") - F.lit(float(low))) / span * steps)
-        out = out.withColumn(f"_q{i}", F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(steps - 1)), F.lit(0)).cast("int"))
+    for i, value in enumerate(values):
+        step = F.lit(0)
+        for cut in sorted(set(cuts[i] or [])):
+            step = step + (value > F.lit(cut)).cast("int")
+        out = out.withColumn(f"_q{i}", F.coalesce(step, F.lit(0)).cast("int"))
     return out
 
 
@@ -109,11 +113,13 @@ def hilbert_shards(
     cells, and the parts of a cell. Only rows of one part are numbered together. Within a part rows
     go by id, checksum and size. Null ids and texts, empty texts and repeated rows are rows like
     others (a null text has size 1 and the checksum of no bytes); an empty table gives no rows.
-    Columns of ``docs`` named like a new one are replaced.
+    Texts of any length are only measured. Columns of ``docs`` named like a new one are replaced, those
+    named like helpers pass through.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    docs = docs.drop("size", "text_crc32", "hilbert", "shard", "slot")
+    docs, names = set_aside(docs.drop("size", "text_crc32", "hilbert", "shard", "slot"))
+    id_col, text_col, dims = names[id_col], names[text_col], [names[d] for d in dims]
     bytes_of = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     cells = quantised(docs, dims, bits)
     cell = F.lit(0)
@@ -148,19 +154,20 @@ def hilbert_shards(
     shard = F.when(F.col("_at") < edge, F.expr(f"_at div (_all div {shards} + 1)")).otherwise(
         longer + F.expr(f"(_at - (_all % {shards}) * (_all div {shards} + 1)) div greatest(1, _all div {shards})"))
     begin = F.col("shard") * each + F.least(F.col("shard").cast("long"), longer)
-    return (
+    return put_back(
         numbered.join(begins, ["_cell", "_part"])
         .withColumn("_at", at)
         .withColumn("shard", shard.cast("int"))
         .withColumn("slot", (F.col("_at") - begin).cast("long"))
-        .select(*docs.columns, "size", "text_crc32", "hilbert", "shard", "slot")
-    )
+        .select(*docs.columns, "size", "text_crc32", "hilbert", "shard", "slot"),
+        names)
 
 
-def write_shards(sharded: DataFrame, path: str, shards: int = 16) -> None:
-    """One folder for each shard, rows in curve order: readers skip files by any of the dimensions."""
+def write_shards(sharded: DataFrame, path: str, shards: int = 16, files: int = 4) -> None:
+    """``sharded`` as Parquet, one folder for each shard, of some ``files`` files in curve order: readers
+    skip files by the ranges of any of the dimensions."""
     (
-        sharded.repartitionByRange(shards * 4, "shard", "slot")
+        sharded.repartitionByRange(shards * files, "shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").parquet(path)
     )

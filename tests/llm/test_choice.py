@@ -10,7 +10,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldloom.llm import queries
@@ -19,7 +21,7 @@ from fieldloom.llm.decontaminate import (
     Items, Vocabulary, benchmark_matches, common_subsequence, drop_contaminated, latent_terms, possible_passages, words_of)
 from fieldloom.llm.mixing import mix_to_targets, rake
 from fieldloom.llm.quality import STATISTICS, isotonic, quality_scores, statistics
-from fieldloom.llm.sharding import hilbert_index, hilbert_shards
+from fieldloom.llm.sharding import hilbert_index, hilbert_shards, quantised, write_shards
 
 SF = "/root/testdata/sf0.001"
 
@@ -341,6 +343,27 @@ def test_shards(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_shard_files_can_be_skipped(spark, tmp_path):
+    """Dimensions are cut at quantiles, so sources with a common prefix, and a hot one, are told apart."""
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randrange(1, 400), ("en", "de", "fr", None)[i // 3 % 4], "src0" if i % 3 == 0 else f"src{rng.randrange(20)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    steps = quantised(docs, ("lang", "source", "n_chars")).groupBy("_q1").agg(F.countDistinct("source").alias("n")).collect()
+    assert len(steps) >= 8 and max(r.n for r in steps) <= 4
+    write_shards(hilbert_shards(docs, shards=4), str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).drop("shard").select(*docs.columns).exceptAll(docs).count() == 0
+    files = [pq.ParquetFile(f) for f in (tmp_path / "out").rglob("*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == 6000 and len(files) >= 12
+
+    def must_read(column: str, value) -> int:
+        at = files[0].schema_arrow.get_field_index(column)
+        ends = [f.metadata.row_group(g).column(at).statistics for f in files for g in range(f.num_row_groups)]
+        return sum(e.has_min_max and e.min <= value <= e.max for e in ends)
+
+    for column, value in (("lang", "fr"), ("source", "src13"), ("n_chars", 390)):
+        assert must_read(column, value) <= 0.7 * len(files)
+
+
 def test_set_filters(spark):
     ids = spark.range(0, 5000, 7)
     full = bitmap(ids, 20)
