@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table, without
+from fieldloom.llm.common import put_back, row_key, set_aside, table, without
 from fieldloom.llm.decontaminate import drop_contaminated
 from fieldloom.llm.mixing import mix_to_targets
 from fieldloom.llm.ngram_join import drop_near_duplicates
@@ -32,12 +32,13 @@ SHARDS = 16
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. A document without an id is judged by a score of its
     own like any other; of rows with one id, each text by its own score."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    docs, names = set_aside(docs)
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
     labels = table(spark, sf_dir, "labels")
     # The key tells rows of one id apart; labels belong to ids.
-    scores = quality_scores(docs, labels, keep=[F.xxhash64("doc_id", "text").alias("_key")])
+    scores = quality_scores(docs, labels, keep=[row_key("doc_id", "text").alias("_key")])
     rejected = stored(scores.filter("predicted = 0").select("_key").distinct(), "rejected")
-    return without(keyed, rejected, ["_key"]).select(*docs.columns)
+    return put_back(without(keyed, rejected, ["_key"]).select(*docs.columns), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
