@@ -67,7 +67,8 @@ def quantised(docs: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFra
     """Columns ``_q0, _q1, …`` with each dimension in ``2**bits`` steps of its order.
 
     Steps are cut at quantiles, so that about as many rows lie in each; a value that is more often
-    than that has a step of its own, and steps without rows are not counted. Texts are taken by the
+    than that has a step of its own and leaves those behind it empty, so few values are still far
+    apart on the curve. Texts are taken by the
     six bytes after the prefix that all of them share. Null lies in step 0. Least, greatest and
     quantiles are aggregates of bounded size.
     """
@@ -88,7 +89,7 @@ def quantised(docs: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFra
     out = docs
     for i, value in enumerate(values):
         step = F.lit(0)
-        for cut in sorted(set(cuts[i] or [])):
+        for cut in cuts[i] or []:
             step = step + (value > F.lit(cut)).cast("int")
         out = out.withColumn(f"_q{i}", F.coalesce(step, F.lit(0)).cast("int"))
     return out
