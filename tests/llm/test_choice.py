@@ -20,7 +20,7 @@ from fieldloom.llm.common import bit_table, bitmap, in_bitmap, with_hit
 from fieldloom.llm.decontaminate import (
     Items, Vocabulary, benchmark_matches, common_subsequence, drop_contaminated, latent_terms, possible_passages, words_of)
 from fieldloom.llm.mixing import mix_to_targets, rake
-from fieldloom.llm.quality import STATISTICS, isotonic, quality_scores, statistics
+from fieldloom.llm.quality import BINS, STATISTICS, isotonic, quality_scores, statistics
 from fieldloom.llm.sharding import hilbert_index, hilbert_shards, quantised, write_shards
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +63,42 @@ def test_quality_learns_and_holds_out(spark, texts):
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in got)
 
 
+def test_quality_equals_a_fit_in_one_place(spark, texts):
+    """Features, ridge and calibration over all rows at once: least squares with extra rows for the
+    penalty, and the minimum-maximum form of isotonic regression."""
+    rng = random.Random(14)
+    truth = [(i, t, q if rng.random() < 0.85 else 1 - q) for i, t, q in texts]
+    got = {r.doc_id: r.score for r in quality_scores(
+        docs_of(spark, [r[:2] for r in truth]).repartition(5), spark.createDataFrame([(i, q) for i, _, q in truth], "doc_id long, quality int")).collect()}
+    ids, y = [i for i, _, _ in truth], np.array([q for _, _, q in truth], float)
+    stats = np.asarray(statistics(pd.Series([t for _, t, _ in truth])), float)
+    known = np.array([zlib.crc32(str(i).encode()) % 5 > 0 for i in ids])
+    half = np.array([zlib.crc32(f"h{i}".encode()) % 2 for i in ids])
+    spread = stats[known].std(0)
+    z = np.clip((stats - stats[known].mean(0)) / np.where(spread < 1e-5, 1, spread), -8, 8)
+    draw = np.random.default_rng(7)
+    omega, phase = draw.normal(0, 1 / 5.0, (z.shape[1], 256)), draw.uniform(0, 2 * np.pi, 256)
+    x = np.column_stack([np.cos(z @ omega + phase) * np.sqrt(2 / 256), z, np.ones(len(z))])
+    n, wide = known.sum(), x.shape[1]
+    weight = np.where(y == 1, n / (2 * y[known].sum()), n / (2 * (n - y[known].sum())))
+
+    def raw_of(rows):
+        root = np.sqrt(weight[rows])
+        a = np.vstack([x[rows] * root[:, None], np.sqrt(1e-3 * n / wide) * np.eye(wide)])
+        return x @ np.linalg.lstsq(a, np.concatenate([y[rows] * root, np.zeros(wide)]), rcond=None)[0]
+
+    apart = np.where(half == 0, raw_of(known & (half == 1)), raw_of(known & (half == 0)))
+    cell = np.clip((apart + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+    seen = np.unique(cell[known])
+    count = np.array([(cell[known] == c).sum() for c in seen])
+    ones = np.array([y[known][cell[known] == c].sum() for c in seen])
+    mean = lambda i, j: ones[i : j + 1].sum() / count[i : j + 1].sum()
+    level = [max(min(mean(i, j) for j in range(k, len(seen))) for i in range(k + 1)) for k in range(len(seen))]
+    raw = raw_of(known)
+    want = np.clip(0.999 * np.interp(raw, -0.5 + 2 * (seen + 0.5) / BINS, level) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1), 0, 1)
+    assert len(seen) > 20 and np.allclose([got[i] for i in ids], want, atol=1e-3)
+
+
 def test_quality_without_labels_or_rows(spark, texts):
     docs = docs_of(spark, [r[:2] for r in texts[:5]])
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -271,6 +307,14 @@ def test_raking_meets_its_targets():
         share = kept.sum(axis=tuple(a for a in range(3) if a != axis))
         assert np.allclose(share / share.sum(), target, atol=1e-6)
     assert (kept <= mass + 1e-9).all() and kept.sum() == pytest.approx(0.2 * mass.sum())
+    # Cells that do not occur need not be there, and the fitted table is the grid's times one factor
+    # for each category: that is what proportional fitting gives, and nothing else has these margins.
+    some = rng.random((4, 3, 2)) < 0.8
+    some[:, 0, 0] = some[0] = True
+    sparse = rake(mass[some], targets, 0.2 * mass.sum(), np.array(np.nonzero(some)))
+    assert np.allclose(sparse, rake(np.where(some, mass, 0), targets, 0.2 * mass.sum())[some])
+    logs = np.log(kept / mass)
+    assert np.allclose(logs - logs[:1] - logs[:, :1] - logs[:, :, :1] + logs[:1, :1] + logs[:1, :, :1] + logs[:, :1, :1], logs[:1, :1, :1], atol=1e-6)
     # A category that holds too little is taken whole.
     scarce = rake(np.array([[1.0], [99.0]]), [np.array([0.5, 0.5]), np.array([1.0])], 50)
     assert scarce.ravel() == pytest.approx([1, 49])
