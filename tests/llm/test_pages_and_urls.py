@@ -6,6 +6,7 @@ import pytest
 
 from fieldloom.llm.html_wrapper import content_paths, expression, extract_pages, page_text, parse
 from fieldloom.llm.html_wrapper import _merged as merged
+from fieldloom.llm.queries import QUERIES
 from fieldloom.llm.url_filter import build_trie, filter_urls, look_up
 
 RULES = [
@@ -33,6 +34,19 @@ def test_longest_match(spark, limit):
     assert {r.host for r in got if r.url and "Example" in r.url} == {"a.example.com"}
 
 
+def test_the_rules_of_the_query(spark, tmp_path):
+    """Each rule of the query's contract decides, subdomains included."""
+    want = {
+        "http://shop.com/en/1": ("block", "com/en/"), "http://a.example.com/en/70": ("allow", "example.com/en/7"),
+        "http://shop.net/de/1": ("allow", "net/de/"), "http://a.example.net/de/9": ("allow", "net/de/"),
+        "http://a.example.net/de/80": ("block", "example.net/de/8"), "http://x.org/es/": ("block", "org/es/"), "http://x.org/en/": ("allow", None),
+    }
+    rows = list(enumerate([*want, "http://shop.net/de/1"]))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()
+    assert {r.page_id: (r.verdict, r.rule) for r in got} == {i: want[u] for i, u in rows} and len(got) == len(rows)
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = spark.createDataFrame([], "action string, host string, path string")
