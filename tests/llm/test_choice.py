@@ -247,6 +247,18 @@ def test_latent_cosines_alone_find_the_matches(spark):
     assert benchmark_matches(docs, bench, similarity=1.1).count() == 0
 
 
+def test_the_decomposition_is_fitted_on_all_documents(spark):
+    """Also on a table of more passages (some 100,000) than a caller would take for a fit."""
+    rng = random.Random(53)
+    words = [f"w{i}" for i in range(300)]
+    items = [" ".join(rng.choices(words, k=30)) for _ in range(5)]
+    rows = [(i, " ".join(rng.choices(words, k=200)) + " x" * 80_000 + " " + " ".join(paraphrased(rng, items[i % 5].split(), 3, words))) for i in range(40)]
+    docs = docs_of(spark, rows)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    plain, whole = ({(r.id, r.item_id): r.similarity for r in benchmark_matches(docs, bench, rank=16, **options).collect()} for options in ({}, {"fit_passages": 1 << 40}))
+    assert len(plain) >= 40 and plain == pytest.approx(whole, abs=1e-4)
+
+
 def test_the_bounds_leave_no_passage_out():
     """Every passage around which enough of an item's words lie is looked at."""
     rng = random.Random(77)
