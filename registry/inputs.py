@@ -24,13 +24,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a table that a task works on at most, about: documents made of them are much larger than they are.
+TASK_ROWS = 100_000
+
+
 def spread(frame: DataFrame) -> DataFrame:
-    """Give every core a part of a table that comes in fewer splits than there are cores.
+    """Deal the rows of a table evenly over tasks: one for each core at least, and as many as its rows need.
 
-    Large tables have more splits than that and stay as they are read.
+    Splits won't do: they are cut by bytes of columns that are small and well packed, and whole row groups
+    fall to one of them, so that a task gets millions of rows while others get none. Counting reads footers only.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    return frame.repartition(max(cores, -(-frame.count() // TASK_ROWS)))
 
 
 # ------------------------------------------------------------------ one template per priority

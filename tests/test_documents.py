@@ -19,6 +19,7 @@ from fieldloom.plans.layout import (
     TargetRule,
     TemplateLayout,
 )
+from registry import inputs
 
 TEMPLATE = {
     "assessmentDescription": "My <b>form</b>",
@@ -337,3 +338,11 @@ def test_streamed_documents(spark, contracts, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [r["rule"] for r in spark.table("found").collect()] == ["enum"]
+
+
+def test_spread_deals_rows_by_their_number(spark, monkeypatch):
+    """A table with more splits than cores, whose rows all lie in one of them."""
+    monkeypatch.setattr(inputs, "TASK_ROWS", 100)
+    frame = spark.range(100_000, numPartitions=40).filter("id < 2500")
+    sizes = inputs.spread(frame).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 2500 and max(r["count"] for r in sizes) <= 400
