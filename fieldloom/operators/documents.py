@@ -10,6 +10,8 @@ already carries the rules.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +228,12 @@ RULE_COLUMNS = [
     "lock_json", "lock_size", "item_enum", "own",
 ]
 
+#: Those that the built-in checks of :mod:`fieldloom.operators.validate` look at.
+CHECKED_COLUMNS = [
+    "target_type", "json_types", "minimum", "maximum", "enum_on", "max_items", "const", "enum", "lock_type",
+    "lock_json", "lock_size", "item_enum", "own",
+]
+
 #: Columns that only an index with locks has.
 LOCK_COLUMNS = {"lock_type": "string", "lock_json": "string", "lock_size": "int", "item_enum": "array<string>"}
 
@@ -271,7 +279,7 @@ def contract_rows(index: DataFrame, flat: DataFrame) -> DataFrame:
 
 def line_up(
     docs: DataFrame, contracts: DataFrame, layout: TemplateLayout, doc: str = "doc",
-    keep: tuple[str, ...] = (), **join,
+    keep: tuple[str, ...] = (), columns: Sequence[str] = RULE_COLUMNS, **join,
 ) -> DataFrame:
     """Documents against their contracts, still one row per document.
 
@@ -286,10 +294,15 @@ def line_up(
     * ``misnamed``: the ``table_name`` is not that of the template
 
     ``leaves`` (path and value) and ``rules_text`` are for operators that work on whole batches.
+    ``columns`` are those of the field index that ``rule`` has: every field of every document carries them.
     """
     kept = ["doc_id", "template_id", *keep]
     parsed = parse_documents(docs.select(*kept, doc), layout, doc).drop(doc)
     contracts = contracts.withColumn("rules_text", rules_text(F.col("rules")))
+    if list(columns) != RULE_COLUMNS:
+        some = [c for c in RULE_COLUMNS if c in columns or c == "level_keys"]
+        contracts = contracts.withColumn(
+            "rules", F.transform_values("rules", lambda _, r: F.struct(*(r[c].alias(c) for c in some))))
     joined = lookup_join(parsed, contracts, ["template_id"], "left", **join)
     trouble = F.when(F.col("rules").isNull(), "unknown template").when(
         F.col("leaves").isNull(), "unreadable"
@@ -411,7 +424,7 @@ def _problems(layout: TemplateLayout) -> Column:
 
 def align_documents(
     docs: DataFrame, contracts: DataFrame, layout: TemplateLayout, doc: str = "doc",
-    keep: tuple[str, ...] = (), **join,
+    keep: tuple[str, ...] = (), columns: Sequence[str] = RULE_COLUMNS, **join,
 ) -> DataFrame:
     """:func:`line_up` in long form: one row per document and path.
 
@@ -420,7 +433,7 @@ def align_documents(
     """
     kept = ["doc_id", "template_id", *keep]
     return (
-        line_up(docs, contracts, layout, doc, keep, **join)
+        line_up(docs, contracts, layout, doc, keep, columns, **join)
         .select(
             *kept, "trouble",
             F.posexplode_outer(F.map_entries("aligned")).alias("_pos", "_e"),

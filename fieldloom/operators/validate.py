@@ -243,12 +243,13 @@ def _violations(
     """Violations, and a row without a phase where ``marker`` holds and nothing is wrong."""
     value, rule = F.col("value"), F.col("rule")
     known = F.col("state") == "match"
-    shape = structure_error(F.col("state"), value)
+    # The step behind the explode is one method of compiled code; beyond 8,000 bytes the JVM would
+    # interpret it, so what can wait (the error of the shape) is computed later.
     parts = with_value_parts(
         aligned.select(
             *kept, "path", "rule", marker.alias("_marker"),
-            shape.alias("_shape"), F.when(known, value).alias("value"),
-            known.alias("_known"),
+            F.col("state").alias("_state"), F.when(F.col("state") == "misnamed", value).alias("_given"),
+            F.when(known, value).alias("value"), known.alias("_known"),
         )
     )
     known = F.col("_known")
@@ -257,7 +258,7 @@ def _violations(
     everything = F.concat(
         F.array(
             F.when(F.col("_marker"), F.lit("")),
-            "_shape",
+            structure_error(F.col("_state"), F.col("_given")),
             *(F.when(known, e) for e in scalar_errors(value, rule)),
             F.when(known, second_phase(value, rule, rules)),
         ),

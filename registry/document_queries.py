@@ -10,6 +10,7 @@ from fieldloom.functions.dates import is_iso_date, is_iso_datetime
 from fieldloom.operators.compare import flatten_records
 from fieldloom.operators.contract import field_fragment, json_text
 from fieldloom.operators.documents import (
+    CHECKED_COLUMNS,
     align_documents,
     contract_rows,
     flatten_documents,
@@ -117,7 +118,7 @@ def event_docs(spark, sf):
 
 
 def event_errors(spark, sf):
-    return validate(align_documents(event_docs(spark, sf), event_contracts(spark, sf), EVENT))
+    return validate(align_documents(event_docs(spark, sf), event_contracts(spark, sf), EVENT, columns=CHECKED_COLUMNS))
 
 
 @query(
@@ -241,7 +242,7 @@ ORDER_VIOLATIONS = f"""
 
 
 def aligned_orders(spark, sf):
-    return align_documents(order_docs(spark, sf), order_contracts(spark, sf), QUESTIONNAIRE)
+    return align_documents(order_docs(spark, sf), order_contracts(spark, sf), QUESTIONNAIRE, columns=CHECKED_COLUMNS)
 
 
 @query("validate_orders", ORDER_VIOLATIONS)
@@ -300,7 +301,7 @@ _OWN = "select o_orderkey, cast(substr(o_orderpriority, 1, 1) as bigint), cast(1
 def validate_own(spark, sf):
     """All violations of orders when types have fragments of the caller's own."""
     contracts = contract_rows(*_own_index(spark, sf))
-    return validate(align_documents(order_docs(spark, sf), contracts, OWN_FRAGMENTS))
+    return validate(align_documents(order_docs(spark, sf), contracts, OWN_FRAGMENTS, columns=CHECKED_COLUMNS))
 
 
 @query(

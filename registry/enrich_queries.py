@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import enrich as E
 from fieldloom.operators import locks as L
 from fieldloom.operators.contract import field_fragment, json_text
-from fieldloom.operators.documents import align_documents, contract_rows
+from fieldloom.operators.documents import CHECKED_COLUMNS, align_documents, contract_rows
 from fieldloom.operators.validate import validate
 from fieldloom.plans.layout import QUESTIONNAIRE, SELECT_ONE, TARGET_RULES
 from registry import query
@@ -282,7 +282,7 @@ def validate_locked(spark, sf):
         spark, sf, ("Cust_A_1", F.lit('{"value":"Status O"}')), ("Cust_B_1", F.lit('{"value":"remark 3"}')))
     index = L.lock_fields(order_index(spark, sf), locks)
     contracts = contract_rows(index, order_flat(spark, sf))
-    found = validate(align_documents(order_docs(spark, sf), contracts, QUESTIONNAIRE)).filter("rule = 'lock'")
+    found = validate(align_documents(order_docs(spark, sf), contracts, QUESTIONNAIRE, columns=CHECKED_COLUMNS)).filter("rule = 'lock'")
     return found.select("doc_id", F.regexp_extract("path", r"questions\.(.*)$", 1).alias("field"), "message")
 
 

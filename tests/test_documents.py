@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -346,3 +347,23 @@ def test_spread_deals_rows_by_their_number(spark, monkeypatch):
     frame = spark.range(100_000, numPartitions=40).filter("id < 2500")
     sizes = inputs.spread(frame).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 2500 and max(r["count"] for r in sizes) <= 400
+
+
+def test_checks_are_compiled(spark, contracts, capsys):
+    """The JVM interprets methods beyond 8,000 bytes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = V.validate(D.align_documents(docs_of(spark, GOOD), contracts, QUESTIONNAIRE, columns=D.CHECKED_COLUMNS))
+        rows.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_checked_columns_give_the_same_violations(spark, contracts):
+    docs = docs_of(spark, GOOD, "{}", "[]", {"table_name": "other", "sections": {}})
+    plain = V.validate(D.align_documents(docs, contracts, QUESTIONNAIRE))
+    fewer = V.validate(D.align_documents(docs, contracts, QUESTIONNAIRE, columns=D.CHECKED_COLUMNS))
+    assert sorted(map(str, fewer.collect())) == sorted(map(str, plain.collect())) != []
