@@ -25,17 +25,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 #: Rows of a table that a task works on at most, about: documents made of them are much larger than they are.
-TASK_ROWS = 100_000
+TASK_ROWS = 10_000
+
+
+def tasks_for(frame: DataFrame) -> int:
+    """How many tasks the rows of a table need: a multiple of the cores, so that none idles while the
+    last tasks run. Counting reads footers only."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-frame.count() // (TASK_ROWS * cores))) * cores
 
 
 def spread(frame: DataFrame) -> DataFrame:
     """Deal the rows of a table evenly over tasks: one for each core at least, and as many as its rows need.
 
     Splits won't do: they are cut by bytes of columns that are small and well packed, and whole row groups
-    fall to one of them, so that a task gets millions of rows while others get none. Counting reads footers only.
+    fall to one of them, so that a task gets millions of rows while others get none.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(max(cores, -(-frame.count() // TASK_ROWS)))
+    return frame.repartition(tasks_for(frame))
 
 
 # ------------------------------------------------------------------ one template per priority
@@ -201,16 +207,17 @@ concat(
 """
 
 
-def order_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """``doc_id, template_id, doc``: every order as a filled document."""
+def order_docs(spark: SparkSession, sf: str, orders: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, template_id, doc``: every order as a filled document. ``orders`` are the rows of the table,
+    dealt over tasks already, with columns to ``keep``."""
     return (
-        spread(table(spark, sf, "orders"))
+        (spread(table(spark, sf, "orders")) if orders is None else orders)
         .withColumn("price", F.col("o_totalprice").cast("string"))
         .withColumn("day", F.substring(F.col("o_orderdate").cast("string"), 1, 10))
         .select(
             F.col("o_orderkey").alias("doc_id"),
             F.substring("o_orderpriority", 1, 1).cast("bigint").alias("template_id"),
-            F.expr(ORDER_DOC_SQL).alias("doc"),
+            F.expr(ORDER_DOC_SQL).alias("doc"), *keep,
         )
     )
 

@@ -367,3 +367,10 @@ def test_checked_columns_give_the_same_violations(spark, contracts):
     plain = V.validate(D.align_documents(docs, contracts, QUESTIONNAIRE))
     fewer = V.validate(D.align_documents(docs, contracts, QUESTIONNAIRE, columns=D.CHECKED_COLUMNS))
     assert sorted(map(str, fewer.collect())) == sorted(map(str, plain.collect())) != []
+
+
+def test_spread_fills_the_cores_with_small_tasks(spark):
+    """Tasks have as many rows of a large table as of a small one, and come in whole rounds of the cores."""
+    sizes = [r["count"] for r in inputs.spread(spark.range(200_000)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 10_100
+    assert len(sizes) % spark.sparkContext.defaultParallelism == 0
