@@ -374,3 +374,16 @@ def test_spread_fills_the_cores_with_small_tasks(spark):
     sizes = [r["count"] for r in inputs.spread(spark.range(200_000)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 200_000 and max(sizes) <= 10_100
     assert len(sizes) % spark.sparkContext.defaultParallelism == 0
+
+
+def test_pair_texts_are_made_behind_the_join(spark, tmp_path):
+    """Orders are joined while their rows are narrow; repeated keys meet each other, rows without a key go."""
+    from registry.compare_queries import order_pair_texts
+
+    spark.sql("""select * from values (1L, 5L, 'P', 10.5D, timestamp'1995-01-02 00:00:00', '1-URGENT'), (2L, 6L, 'O', 7D, timestamp'1995-01-03 00:00:00', '2-HIGH'),
+      (2L, 7L, 'F', 8D, timestamp'1995-01-04 00:00:00', '2-HIGH'), (null, 8L, 'F', 8D, timestamp'1995-01-04 00:00:00', '2-HIGH')
+      as t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)""").write.parquet(str(tmp_path / "orders.parquet"))
+    made = order_pair_texts(spark, str(tmp_path))
+    assert [r["file"] for r in made.orderBy("file").collect()] == ["f000000000001"] + ["f000000000002"] * 4
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert '{"table_name":"Order ' in plan and '{"table_name":"Order ' not in plan[plan.index("Join"):]
