@@ -66,13 +66,15 @@ def record_fields(record: Column, typed_text: bool = False) -> Column:
 
 
 def _last_of_field(fields: Column) -> Column:
-    names = F.transform(fields, lambda f: f["field"])
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), fields).otherwise(
-        F.filter(
-            fields,
-            lambda f, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), f["field"]),
+    def last(listed: Column, names: Column) -> Column:
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), listed).otherwise(
+            F.filter(listed, lambda f, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), f["field"]))
         )
-    )
+
+    # An array of one item, so that the fields are made once: as the argument of an explode they
+    # would be made again wherever they are mentioned.
+    kept = F.transform(F.array(fields), lambda listed: last(listed, F.transform(listed, lambda f: f["field"])))
+    return F.get(kept, F.lit(0))
 
 
 def flatten_records(records: DataFrame, keys: Sequence[str], record: str = "record",

@@ -387,3 +387,11 @@ def test_pair_texts_are_made_behind_the_join(spark, tmp_path):
     assert [r["file"] for r in made.orderBy("file").collect()] == ["f000000000001"] + ["f000000000002"] * 4
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert '{"table_name":"Order ' in plan and '{"table_name":"Order ' not in plan[plan.index("Join"):]
+
+
+def test_fields_of_records_are_made_once(spark):
+    from fieldloom.operators import compare as C
+
+    rows = spark.sql("select '{}' as r").select(F.from_json("r", C.STORED_RECORD).alias("record"))
+    shown = C.flatten_records(rows, [])._jdf.queryExecution().analyzed().toString()
+    assert 0 < shown.count("response_text") <= 4
