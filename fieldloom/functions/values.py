@@ -72,8 +72,11 @@ def _float_text(number: Column) -> Column:
 
 def answer_text(value: Column) -> Column:
     """Text of a value: ``True``/``False``, floats keep one decimal, lists and objects as JSON."""
-    name = F.schema_of_variant(value)
-    plain = F.try_variant_get(value, "$", "string")
+    return text_from_name(F.schema_of_variant(value), F.try_variant_get(value, "$", "string"), value)
+
+
+def text_from_name(name: Column, plain: Column, value: Column) -> Column:
+    """:func:`answer_text` from the name ``schema_of_variant`` gives and the value as a string."""
     return (
         F.when(value.isNull() | (name == "VOID"), F.lit(None).cast("string"))
         .when(name.isin("STRING", "BIGINT"), plain)

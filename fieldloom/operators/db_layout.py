@@ -11,8 +11,9 @@ from fieldloom.functions.values import (
     answer_text,
     is_truthy,
     items,
-    json_type,
     map_items,
+    text_from_name,
+    type_from_name,
 )
 from fieldloom.operators import batches
 
@@ -24,32 +25,39 @@ _CHECK = ("chk", "ams")
 GRIDS = ("gbdy",)
 
 
-def response(value: Column, rule: Column) -> Column:
-    """``response_value`` and ``response_text`` of one answer; both null when there is none."""
-    kind = json_type(value)
-    text = answer_text(value)
-    none = F.lit(None).cast("string")
-    clean, raw, codes = rule["option_clean"], rule["option_texts"], rule["option_values"]
-    code = answer_code(text, clean, raw, codes)
-    empty = kind.isNull() | (kind == "null") | (
-        (kind == "string") & (strip_space(text) == "")
-    )
+def with_response(rows: DataFrame) -> DataFrame:
+    """Add ``response_value`` and ``response_text`` of each answer (``value``); both null when there is none.
+
+    Each step uses what the one before it computed, so that an answer is taken apart once.
+    """
+    value, text, kind, source = F.col("value"), F.col("_text"), F.col("_kind"), F.col("source_type")
+    clean, raw, codes = F.col("option_clean"), F.col("option_texts"), F.col("option_values")
+    no_number = F.lit(None).cast("double")
     chosen = F.transform(F.filter(items(value), is_truthy), answer_text)
     listed = F.when(kind == "array", chosen).when(kind == "string", split_multi(text))
-    joined = F.nullif(F.array_join(map_items(listed, clean, raw, codes), ","), F.lit(""))
-    on = ((kind == "boolean") & (text == "True")) | (
-        (kind == "string") & (strip_space(text) == "1")
-    )
-    source = rule["source_type"]
-    shown = (
-        F.when(empty, none)
-        .when(source.isin(*_SINGLE), F.coalesce(code, text))
-        .when(source.isin(*_MULTI), joined)
-        .when(source.isin(*_CHECK), F.when(on, "1"))
-        .otherwise(text)
+    return (
+        rows.withColumns({"_name": F.schema_of_variant(value), "_plain": F.try_variant_get(value, "$", "string")})
+        .withColumns({
+            "_text": text_from_name(F.col("_name"), F.col("_plain"), value),
+            "_kind": type_from_name(F.col("_name"), no_number),
+        })
+        .withColumns({
+            "_stripped": F.when(kind == "string", strip_space(text)),
+            "_code": F.when(source.isin(*_SINGLE), answer_code(text, clean, raw, codes)),
+            "_joined": F.when(source.isin(*_MULTI), F.array_join(map_items(listed, clean, raw, codes), ",")),
+        })
+        .withColumn("_empty", kind.isNull() | (kind == "null") | ((kind == "string") & (F.col("_stripped") == "")))
+        .withColumns({
+            "response_value": (
+                F.when(F.col("_empty"), F.lit(None).cast("string"))
+                .when(source.isin(*_SINGLE), F.coalesce("_code", text))
+                .when(source.isin(*_MULTI), F.nullif("_joined", F.lit("")))
+                .when(source.isin(*_CHECK), F.when(((kind == "boolean") & (text == "True")) | (F.col("_stripped") == "1"), "1"))
+                .otherwise(text)
+            ),
+            "response_text": F.when(~F.col("_empty") & source.isin(*_SINGLE) & F.col("_code").isNotNull(), text),
+        })
     )
-    label = F.when(~empty & source.isin(*_SINGLE) & code.isNotNull(), text)
-    return F.struct(shown.alias("response_value"), label.alias("response_text"))
 
 
 def db_responses(fields: DataFrame) -> DataFrame:
@@ -58,17 +66,16 @@ def db_responses(fields: DataFrame) -> DataFrame:
     Columns: ``doc_id, template_id, section_code, group_number, group_title, pos, question_key,
     question_number, question_text, response_value, response_text``.
     """
-    rule = F.struct("option_clean", "option_texts", "option_values", "source_type")
-    return (
-        fields.filter(~F.col("is_virtual_child") & ~F.col("source_type").isin(*GRIDS))
-        .withColumn("_r", response(F.col("value"), rule))
-        .select(
-            "doc_id", "template_id", section_code(F.col("level_keys")).alias("section_code"),
-            F.get("level_keys", F.lit(3)).alias("group_number"), "group_title", "pos",
-            F.col("key").alias("question_key"), F.col("id").alias("question_number"),
-            F.coalesce("raw_name", F.lit("")).alias("question_text"), "_r.*",
-        )
+    shown = ("doc_id", "template_id", "section_code", "group_number", "group_title", "pos", "question_key",
+             "question_number", "question_text")
+    rows = fields.filter(~F.col("is_virtual_child") & ~F.col("source_type").isin(*GRIDS)).select(
+        "doc_id", "template_id", section_code(F.col("level_keys")).alias("section_code"),
+        F.get("level_keys", F.lit(3)).alias("group_number"), "group_title", "pos",
+        F.col("key").alias("question_key"), F.col("id").alias("question_number"),
+        F.coalesce("raw_name", F.lit("")).alias("question_text"),
+        "value", "source_type", "option_clean", "option_texts", "option_values",
     )
+    return with_response(rows).select(*shown, "response_value", "response_text")
 
 
 def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

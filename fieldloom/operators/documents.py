@@ -234,6 +234,12 @@ CHECKED_COLUMNS = [
     "lock_json", "lock_size", "item_enum", "own",
 ]
 
+#: Those that the built-in formatters, the record layout and their long forms look at.
+FORMATTED_COLUMNS = [
+    "pos", "key", "id", "raw_name", "section_code", "key_field", "group_title", "source_type", "length", "max_items",
+    "option_texts", "option_clean", "option_values", "level_keys", "is_virtual_child",
+]
+
 #: Columns that only an index with locks has.
 LOCK_COLUMNS = {"lock_type": "string", "lock_json": "string", "lock_size": "int", "item_enum": "array<string>"}
 

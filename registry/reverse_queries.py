@@ -8,10 +8,9 @@ from fieldloom.operators import reverse as R
 from fieldloom.operators.catalog import template_names
 from fieldloom.operators.contract import build_contracts
 from fieldloom.operators.db_layout import db_records, db_responses, with_metadata
-from fieldloom.operators.documents import field_rows, line_up
+from fieldloom.operators.documents import FORMATTED_COLUMNS, align_documents, field_rows, line_up
 from fieldloom.plans.layout import QUESTIONNAIRE, SELECT_MORE, SELECT_ONE, TARGET_RULES
 from registry import query
-from registry.document_queries import aligned_orders
 from registry.inputs import lined_orders, order_contracts, order_docs, order_flat, order_index, table
 
 _ID = "cast(substr(o_orderpriority, 1, 1) as bigint)"
@@ -34,7 +33,8 @@ _URGENT = """case when o_orderpriority = '1-URGENT' then '"1"' else '"null"' end
 
 
 def fields(spark, sf):
-    return field_rows(aligned_orders(spark, sf))
+    return field_rows(align_documents(
+        order_docs(spark, sf), order_contracts(spark, sf), QUESTIONNAIRE, columns=FORMATTED_COLUMNS))
 
 
 def _entries(spark, sf, name, *keys):
