@@ -209,27 +209,40 @@ def ui_multi(value: Column, rule: Column) -> Column:
 
 def ui_grid(value: Column, rule: Column) -> Column:
     """Always ``max_items`` pairs of cells; unused cells are off."""
-    rows = F.coalesce(items(value), F.array().cast("array<variant>"))
     kind = rule["source_type"]
 
+    # Lambdas are not compiled and share nothing, so each row is read once and its parts are passed on.
+    def read(item: Column) -> Column:
+        return F.struct(
+            F.try_variant_get(item, "$.entry", "string").alias("chosen"),
+            F.to_json(F.try_variant_get(item, "$.description", "variant")).alias("about"),
+        )
+
+    def decoded(row: Column) -> Column:
+        code = answer_code(row["chosen"], rule["option_clean"], rule["option_texts"], rule["option_values"])
+        return F.struct(json_text(code).alias("code"), row["about"].alias("about"))
+
     def cell(letter: str, part: str, i: Column, shown: Column) -> Column:
         key = F.concat(F.lit(letter), i.cast("string"), F.lit("_"), rule["key"])
-        html = widget(F.concat(kind, F.lit(f"_{part}")), rule["length"])
-        return entry(key, kind, F.coalesce(F.nullif(shown, F.lit('""')), F.lit(OFF)), html)
+        return entry(key, kind, F.when(~shown.isin("null", '""'), shown).otherwise(OFF), _grid_widget(kind, part))
 
-    def pair(i: Column) -> Column:
-        item = F.get(rows, i)
-        about = F.try_variant_get(item, "$.description", "variant")
-        return F.array(
-            cell("a", "entry", i, json_text(_grid_code(item, rule))),
-            cell("b", "description", i,
-                 F.when(~F.is_variant_null(about), F.to_json(about))),
-        )
+    def pair(row: Column, i: Column) -> Column:
+        return F.array(cell("a", "entry", i, row["code"]), cell("b", "description", i, row["about"]))
+
+    found = F.transform(F.transform(items(value), read), decoded)
+    most = F.greatest(F.coalesce(rule["max_items"], F.lit(0)), F.lit(0))
+    empty = F.struct(F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("about"))
+    padded = F.slice(F.concat(F.coalesce(found, F.array().cast("array<struct<code:string,about:string>>")), F.array_repeat(empty, most)), F.lit(1), most)
+    return F.flatten(F.transform(padded, pair))
 
-    places = F.when(
-        rule["max_items"] > 0, F.sequence(F.lit(0), rule["max_items"] - 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(places, pair))
+
+def _grid_widget(kind: Column, part: str) -> Column:
+    """:func:`widget` of the type that a part of a grid has: the name of the grid's type and that of the part."""
+    out = F.lit("text")
+    for name, html in WIDGETS.items():
+        if name.endswith(f"_{part}"):
+            out = F.when(kind == name.removesuffix(f"_{part}"), html).otherwise(out)
+    return out
 
 
 def ui_checkbox(value: Column, rule: Column) -> Column:
