@@ -21,6 +21,11 @@ SEGMENT = 8
 #: Segments of passages, by length of item: an item belongs to the last that it fills.
 SCALES = (2, 4, 8)
 _SLOTS, _GROUPS, _BLOCK, _CELLS, _AT_ONCE, _RUNS = 20, 32, 1 << 20, 1 << 21, 512, 256
+#: Terms up to which a task counts pairs of terms in a table (64 MB); more are projected passage by passage.
+_PAIRED = 1 << 12
+#: Places of a passage counted into the table at most before it is multiplied out: no cell can overflow.
+_MOST_PLACES = (1 << 31) // (4 * SEGMENT) - 1
+_AT_A_TIME = _MOST_PLACES // (4 * SEGMENT)
 
 
 def words_of(texts: pd.Series) -> Words:
@@ -67,18 +72,20 @@ def _passages(words: Words, term: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return term[known], (np.cumsum(fresh) - 1)[known], int(fresh.sum())
 
 
-def _summed(docs: DataFrame, vocabulary: Vocabulary, size: int, sums_of) -> np.ndarray:
-    """Sums over all documents of what ``sums_of(term, passage, passages)`` gives for a block: in each
-    task, then in groups of tasks, then of the groups. One array reaches the driver."""
+def _summed(docs: DataFrame, vocabulary: Vocabulary, size: int, sums_of, begin=lambda: None, end=lambda total, state: None) -> np.ndarray:
+    """Sums over all documents of what ``sums_of(total, state, term, passage, passages)`` adds for a block: in
+    each task, then in groups of tasks, then of the groups. One array reaches the driver. A task's ``state`` is
+    what ``begin`` makes; ``end`` adds what is left in it."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        total, state = np.zeros(size), begin()
         for batch in batches:
             for rows in in_blocks(batch, "_text", _BLOCK):
                 words = words_of(rows["_text"])
                 if len(words.hashes):
-                    sums_of(total, *_passages(words, shared.value.index(words.hashes), len(shared.value.terms)))
+                    sums_of(total, state, *_passages(words, shared.value.index(words.hashes), len(shared.value.terms)))
+        end(total, state)
         if total.any():
             yield pd.DataFrame({"grp": [zlib.crc32(total.tobytes()) % _GROUPS], "sums": [total.tobytes()]})
 
@@ -98,7 +105,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, f
     """In how many passages of all documents each term is, and how many passages there are."""
     n = len(vocabulary.terms)
 
-    def count(total: np.ndarray, term: np.ndarray, passage: np.ndarray, passages: int) -> None:
+    def count(total: np.ndarray, _, term: np.ndarray, passage: np.ndarray, passages: int) -> None:
         total[n] += passages
         total[:n] += np.bincount(np.unique(passage * n + term) % n, minlength=n)
 
@@ -127,15 +134,62 @@ def _add_runs(total: np.ndarray, rows: np.ndarray, at: np.ndarray, run: np.ndarr
         total[run[some]] += np.add.reduceat(taken, some - some[0], axis=0)
 
 
+class Pairs:
+    """How often two of ``n`` terms stand in a passage: ``T' T`` for the counts ``T`` of terms in passages.
+
+    A passage of four segments has 496 pairs of places at most, each one step in the table; to project it
+    takes 64 rows of the rank's length, several times as long.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.n, self.places = n, 0
+        #: Pairs of an earlier and a later place, and single places.
+        self.table = np.zeros(n * n, np.int32)
+        self.single = np.zeros(n, np.int64)
+
+    def add(self, term: np.ndarray, passage: np.ndarray) -> None:
+        """Add the terms of passages, each of four segments at most, laid end to end."""
+        self.places += len(term)
+        self.single += np.bincount(term, minlength=self.n)
+        row = term.astype(np.int64) * self.n
+        for step in range(1, 4 * SEGMENT):
+            same = np.flatnonzero(passage[step:] == passage[:-step])
+            if not len(same):
+                break
+            np.add.at(self.table, row[same] + term[same + step], np.int32(1))
+
+    def multiply(self, product: np.ndarray, test: np.ndarray) -> None:
+        """Add ``T' T test`` to ``product`` and begin anew."""
+        table = self.table.reshape(self.n, self.n)
+        for k in range(0, self.n, _AT_ONCE):
+            both = table[k : k + _AT_ONCE] + table[:, k : k + _AT_ONCE].T.astype(np.float32)
+            product[k : k + _AT_ONCE] += both.astype(np.float32) @ test
+        product += self.single[:, None] * test
+        self.table[:], self.single[:], self.places = 0, 0, 0
+
+
 def _sketch(docs: DataFrame, vocabulary: Vocabulary, omega: np.ndarray) -> np.ndarray:
     """``T' T omega`` for the counts ``T`` of terms in all passages of these documents."""
     n, rank = omega.shape
     test = omega.astype(np.float32)
 
-    def project(total: np.ndarray, term: np.ndarray, passage: np.ndarray, passages: int) -> None:
+    def project(total: np.ndarray, _, term: np.ndarray, passage: np.ndarray, passages: int) -> None:
         _gram(total.reshape(n, rank), test, term, passage, passages)
 
-    return _summed(docs, vocabulary, n * rank, project).reshape(n, rank)
+    def count(total: np.ndarray, pairs: Pairs, term: np.ndarray, passage: np.ndarray, passages: int) -> None:
+        # A long text is a block of its own, so a block may be cut, but not a passage.
+        for first in range(0, passages, _AT_A_TIME):
+            a, b = np.searchsorted(passage, (first, first + _AT_A_TIME))
+            if pairs.places + b - a > _MOST_PLACES:
+                multiply(total, pairs)
+            pairs.add(term[a:b], passage[a:b])
+
+    def multiply(total: np.ndarray, pairs: Pairs) -> None:
+        pairs.multiply(total.reshape(n, rank), test)
+
+    if n > _PAIRED:
+        return _summed(docs, vocabulary, n * rank, project).reshape(n, rank)
+    return _summed(docs, vocabulary, n * rank, count, lambda: Pairs(n), multiply).reshape(n, rank)
 
 
 def latent_terms(product: np.ndarray, found: np.ndarray, passages: float, omega: np.ndarray) -> np.ndarray:
@@ -179,6 +233,11 @@ def holds(item: np.ndarray, text: np.ndarray) -> bool:
     return bool((windows == item).all(1).any())
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Place of each number in a table of ``1 << _SLOTS``."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+
 @dataclass
 class Items:
     """A block of benchmark items, as the search needs them; sizes grow with their words alone."""
@@ -195,6 +254,8 @@ class Items:
     #: Every (item, term) as one number, and how often the item has the term.
     keys: np.ndarray
     times: np.ndarray
+    #: Where the hash of such a number falls: what falls elsewhere is none of them.
+    maybe: np.ndarray
     scale: np.ndarray
     #: Latent vectors of length 1 by piece, and the item's first piece.
     vectors: np.ndarray
@@ -213,6 +274,8 @@ class Items:
         chosen = order[place < (lengths - least + k)[words.text]]
         every = words.text.astype(np.int64) * (n + 1) + term
         keys, times = np.unique(every[term < n], return_counts=True)
+        maybe = np.zeros(1 << _SLOTS, bool)
+        maybe[_slot(keys)] = True
         rare = np.unique(every[chosen[term[chosen] < n]])
         # Items much longer than the longest passage are searched by pieces of about its length.
         most = SCALES[-1] * SEGMENT
@@ -223,7 +286,7 @@ class Items:
         vectors = np.stack([padded[vocabulary.index(t)].sum(0) for c in cut for t in c])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         piece = np.cumsum([0, *map(len, cut)])
-        return cls(names, texts, lengths, least, rare % (n + 1), rare // (n + 1), k, keys, times, scale, vectors, piece)
+        return cls(names, texts, lengths, least, rare % (n + 1), rare // (n + 1), k, keys, times, maybe, scale, vectors, piece)
 
 
 def benchmark_matches(
@@ -412,9 +475,9 @@ def _enough(words: Words, term: np.ndarray, items: Items, item: np.ndarray, star
     """Whether the words around each passage hold enough of its item, as often as the item has them."""
     size = items.lengths[item]
     at, run = _around(words, start, size, items.scale[item] * SEGMENT + size)
-    known = term[at] < n
-    at, run = at[known], run[known]
-    key = item[run] * (n + 1) + term[at]
+    key = (item * (n + 1))[run] + term[at]
+    some = np.flatnonzero(items.maybe[_slot(key)])
+    run, key = run[some], key[some]
     place = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
     has = items.keys[place] == key
     # How often each passage has a term of its item, and how often the item has it.
