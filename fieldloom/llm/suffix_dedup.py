@@ -17,7 +17,7 @@ from fieldloom.session import stored
 PIECE = 24
 _BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 19, 1_000_000, 8 << 20
 #: Bytes of runs, or of texts whose keys are counted, for each group of keys.
-_GROUP_BYTES = 32 << 20
+_GROUP_BYTES = 16 << 20
 
 
 def _piece(length: int) -> int:
@@ -207,17 +207,21 @@ def least_owner(data: np.ndarray, offset: np.ndarray, sizes: np.ndarray, owner:
     never grow again and is left out; the steps stop at ``length``.
     """
     strings = sizes - length + 1
-    piece = np.repeat(np.arange(len(sizes)), strings)
-    start = offset[piece] + np.arange(len(piece)) - (np.cumsum(strings) - strings)[piece]
-    result = owner[piece].copy()
-    index = np.arange(len(piece))
+    # Places in half the memory where they fit.
+    number = np.int32 if len(data) + length < 1 << 31 else np.int64
+    piece = np.repeat(np.arange(len(sizes), dtype=number), strings)
+    result = owner[piece]
+    at = (offset - (np.cumsum(strings) - strings) + length).astype(number)[piece]
+    index = np.arange(len(piece), dtype=number)
+    at += index
     interval = np.zeros(len(piece), np.int32)
-    at = start + length
+    del piece
     for _ in range(length):
-        at = at - 1
+        at = at - number(1)
         byte = data[at]
         order = np.argsort(byte, kind="stable")
         at, index, byte, interval = at[order], index[order], byte[order], interval[order]
+        del order
         new = np.empty(len(at), bool)
         new[:1] = True
         new[1:] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
