@@ -15,7 +15,7 @@ from fieldloom.session import stored
 
 #: Bytes of the pieces whose least hash stands for a string.
 PIECE = 24
-_BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 19, 1_000_000, 8 << 20
+_BLOCK, _FLUSH, _FLUSH_BYTES = 1 << 18, 500_000, 8 << 20
 #: Bytes of runs, or of texts whose keys are counted, for each group of keys.
 _GROUP_BYTES = 16 << 20
 
@@ -75,6 +75,13 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches in blocks. A batch is let go of before the next one is read."""
+    for batch in batches:
+        yield from in_blocks(batch, "_text", _BLOCK)
+        del batch
+
+
 def _shared_keys(docs: DataFrame, length: int, bins: int) -> DataFrame:
     """Keys that occur in two documents, as rows (id long)."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,23 +99,22 @@ def _shared_keys(docs: DataFrame, length: int, bins: int) -> DataFrame:
             return pd.DataFrame({"bin": at[cuts], "keys": [keys[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True)]})
 
         count = 0
-        for batch in batches:
-            for rows in in_blocks(batch, "_text", _BLOCK):
-                runs = Runs(*text_bytes(rows["_text"]), length)
-                if not len(runs.key):
-                    continue
-                order = np.lexsort((runs.text, runs.key))
-                key, text = runs.key[order], runs.text[order]
-                twice = (key[1:] == key[:-1]) & (text[1:] != text[:-1])
-                held.append(np.unique(key))
-                several.append(key[1:][twice])
-                count += len(held[-1])
-                if count >= _FLUSH:
-                    # Of two blocks, one key each: two texts have it.
-                    keys, times = np.unique(np.concatenate(held), return_counts=True)
-                    several.append(keys[times > 1])
-                    yield flush()
-                    count = 0
+        for rows in _blocks(batches):
+            runs = Runs(*text_bytes(rows["_text"]), length)
+            if not len(runs.key):
+                continue
+            order = np.lexsort((runs.text, runs.key))
+            key, text = runs.key[order], runs.text[order]
+            twice = (key[1:] == key[:-1]) & (text[1:] != text[:-1])
+            held.append(np.unique(key))
+            several.append(key[1:][twice])
+            count += len(held[-1])
+            if count >= _FLUSH:
+                # Of two blocks, one key each: two texts have it.
+                keys, times = np.unique(np.concatenate(held), return_counts=True)
+                several.append(keys[times > 1])
+                yield flush()
+                count = 0
         if held:
             keys, times = np.unique(np.concatenate(held), return_counts=True)
             several.append(keys[times > 1])
@@ -141,14 +147,13 @@ def _places(docs: DataFrame, shared: np.ndarray, length: int) -> DataFrame:
     keys_of = docs.sparkSession.sparkContext.broadcast(shared)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rows in in_blocks(batch, "_text", _BLOCK):
-                found = _chosen(rows, keys_of.value, length)
-                if found is not None:
-                    text, _, at, sizes, key, name, _ = found
-                    yield pd.DataFrame({
-                        "id": rows["id"].to_numpy(np.int64)[text], "row": rows["row"].to_numpy(np.int64)[text], "at": at,
-                        "size": sizes, "key": key.view(np.int64), "name": name.view(np.int64)})
+        for rows in _blocks(batches):
+            found = _chosen(rows, keys_of.value, length)
+            if found is not None:
+                text, _, at, sizes, key, name, _ = found
+                yield pd.DataFrame({
+                    "id": rows["id"].to_numpy(np.int64)[text], "row": rows["row"].to_numpy(np.int64)[text], "at": at,
+                    "size": sizes, "key": key.view(np.int64), "name": name.view(np.int64)})
 
     return docs.mapInPandas(work, "id long, row long, at long, size long, key long, name long")
 
@@ -177,18 +182,17 @@ def _packs(docs: DataFrame, several: np.ndarray, length: int, bins: int) -> Data
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
-            for rows in in_blocks(batch, "_text", _BLOCK):
-                found = _chosen(rows, keys_of.value, length)
-                if found is None:
-                    continue
-                text, first, _, sizes, key, name, data = found
-                run, inner = spans(sizes)
-                held.append((key, name, rows["id"].to_numpy(np.int64)[text], sizes, data[first[run] + inner]))
-                size += len(run)
-                if size >= _FLUSH_BYTES:
-                    yield packed(held)
-                    held, size = [], 0
+        for rows in _blocks(batches):
+            found = _chosen(rows, keys_of.value, length)
+            if found is None:
+                continue
+            text, first, _, sizes, key, name, data = found
+            run, inner = spans(sizes)
+            held.append((key, name, rows["id"].to_numpy(np.int64)[text], sizes, data[first[run] + inner]))
+            size += len(run)
+            if size >= _FLUSH_BYTES:
+                yield packed(held)
+                held, size = [], 0
         if held:
             yield packed(held)
 
