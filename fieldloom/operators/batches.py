@@ -11,17 +11,22 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
+from itertools import accumulate
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parsed templates that a worker keeps.
 KEPT_TEMPLATES = 512
 
+#: Answers that a worker takes out of Arrow at a time, so that large documents need little memory.
+TAKEN_ANSWERS = 1 << 16
+
 #: What a formatter needs to know of a field.
 _RULE_PARTS = (
     "pos", "key", "id", "raw_name", "section_code", "key_field", "group_title", "source_type", "length", "max_items",
@@ -32,6 +37,8 @@ _NULL = "null"
 OFF = '"null"'
 # JSON renderings that count as false.
 _FALSY = frozenset(("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"))
+# The type of a JSON text by its first sign; what starts otherwise is a number.
+_KINDS = {'"': "STRING", "t": "BOOLEAN", "f": "BOOLEAN", "n": "VOID", "{": "OBJECT", "[": "ARRAY"}
 _SIGNS = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 _SPECIAL = re.compile(r'[\x00-\x1f"\\]').search
 _ESCAPES = str.maketrans({**{chr(i): f"\\u{i:04X}" for i in range(32)}, **_SIGNS})
@@ -43,19 +50,37 @@ def rules_text(rules: Column) -> Column:
     return F.to_json(F.transform(F.map_entries(rules), lambda e: F.struct(e["key"].alias("path"), *parts(e["value"]))))
 
 
-def answers(leaves: Column) -> Column:
-    """The values of a document (path and VARIANT) as Arrow takes them: path, JSON text and type of each,
-    and the same of the items of lists."""
-    def part(value: Column) -> list[Column]:
-        return [F.to_json(value).alias("json"), F.schema_of_variant(value).alias("kind")]
+def sent(lined: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns to ``keep`` of documents (see :func:`fieldloom.operators.documents.line_up`), and ``_sent`` with what
+    :func:`documents` takes: the rules of the template, null for a document in trouble, and of its answers the paths, the
+    JSON texts, and what a text doesn't tell: the type of a number, and texts and types of the items of a list that has numbers.
+
+    Spark measures its Arrow batches after every row, and each time walks over all null lists since the last one that
+    isn't null. So lists are not nested, and empty ones stand for null.
+    """
+    def part(item: Column) -> Column:
+        return F.struct(F.to_json(item).alias("json"), F.schema_of_variant(item).alias("kind"))
 
-    def answer(leaf: Column) -> Column:
+    def more(leaf: Column, text: Column) -> Column:
         value = leaf["value"]
-        inner = F.when(F.schema_of_variant(value).startswith("ARRAY"),
-                       F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda i: F.struct(*part(i))))
-        return F.struct(leaf["path"].alias("path"), *part(value), inner.alias("items"))
+        return F.when(F.substring(text, 1, 1).between("-", "9"), F.schema_of_variant(value)).when(
+            text.rlike(r"(?s)^\[(.*,)?[-0-9]"), F.to_json(F.transform(F.try_variant_get(value, "$", "array<variant>"), part)))
+
+    none, usable = F.array().cast("array<string>"), F.col("trouble").isNull()
+    texts = lined.select(
+        *keep, "rules_text", "trouble", "leaves", F.when(usable, F.transform("leaves", lambda n: F.to_json(n["value"]))).alias("_texts"))
+    columns = F.struct(
+        F.when(usable, F.col("rules_text")).alias("rules"),
+        F.coalesce(F.when(usable, F.col("leaves.path")), none).alias("paths"),
+        F.coalesce("_texts", none).alias("texts"),
+        F.coalesce(F.when(usable, F.zip_with("leaves", "_texts", more)), none).alias("more"),
+    )
+    # The explode of one item keeps the optimizer from moving lambdas into the arguments.
+    return texts.select(*keep, F.explode(F.array(columns)).alias("_sent"))
 
-    return F.transform(leaves, answer)
+
+#: The columns of ``_sent``, as arguments.
+SENT = ("_sent.rules", "_sent.paths", "_sent.texts", "_sent.more")
 
 
 def made_in_row(aligned: Column, entries: Callable[[Column, Column], Column]) -> Column:
@@ -80,11 +105,12 @@ def _string(text: str) -> str:
 
 
 class Value(NamedTuple):
-    """An answer: its JSON text and the type that ``schema_of_variant`` gives; nulls for no answer."""
+    """An answer: its JSON text and its type, as ``schema_of_variant`` names it (lists and objects without what they
+    hold); nulls for no answer. ``items`` are the texts and types of a list's items, where it has numbers."""
 
     json: str | None = None
     kind: str | None = None
-    items: list | None = None
+    items: str | None = None
 
     @property
     def filled(self) -> bool:
@@ -112,16 +138,35 @@ class Value(NamedTuple):
         return repr(float(self.json)) if kind == "DOUBLE" else self.json
 
     def each(self) -> list[Value] | None:
-        return None if self.items is None else [Value(i["json"], i["kind"]) for i in self.items]
+        """The items of a list; null for anything else."""
+        if self.kind != "ARRAY":
+            return None
+        if self.items is None:
+            return [_value(rendered(i)) for i in parsed(self.json)]
+        return [_value(i.get("json"), i.get("kind")) for i in json.loads(self.items)]
+
+    def rows(self) -> list[dict[str, Any]]:
+        """The objects of a list; an item that is none has no entries."""
+        return [i if isinstance(i, dict) else {} for i in parsed(self.json)] if self.kind == "ARRAY" else []
+
+
+def _value(text: str | None, more: str | None = None) -> Value:
+    """A value from its JSON text, and from what the text doesn't tell (see :func:`sent`)."""
+    if text is None:
+        return _MISSING
+    kind = _KINDS.get(text[0])
+    return Value(text, more) if kind is None else Value(text, kind, more if kind == "ARRAY" else None)
+
+
+_MISSING = Value()
 
 
 class _Number(str):
     """A number as it is written."""
 
 
-def parsed(text: str) -> Any:
-    """JSON with its numbers as they are written."""
-    return json.loads(text, parse_int=_Number, parse_float=_Number)
+#: JSON with its numbers as they are written.
+parsed: Callable[[str], Any] = json.JSONDecoder(parse_int=_Number, parse_float=_Number).decode
 
 
 def rendered(value: Any) -> str:
@@ -137,9 +182,8 @@ def rendered(value: Any) -> str:
     return {None: _NULL, True: "true", False: "false"}[value]
 
 
-def _grid_row(item: Value, rule: Rule) -> tuple[str | None, Any]:
+def _grid_row(row: Mapping[str, Any], rule: Rule) -> tuple[str | None, str | None]:
     """Code of the entry of a grid row, and its description as JSON text; nulls where they are missing."""
-    row = parsed(item.json) if item.kind is not None and item.kind.startswith("OBJECT") else {}
     chosen = row.get("entry")
     if chosen is not None and not isinstance(chosen, str):
         chosen = rendered(chosen)
@@ -179,22 +223,45 @@ def _template(text: str) -> list[Rule]:
     return sorted((Rule(r) for r in json.loads(text) if not r.get("is_virtual_child")), key=lambda r: r.pos)
 
 
-def documents(rules: pa.Array, fields: pa.Array) -> Iterator[list[tuple[Rule, Value]] | None]:
-    """For each document all fields of its template with their values; null for one that has none."""
+def documents(rules: pa.Array, *answers: pa.Array) -> Iterator[tuple[int, list[Rule], list[Value]] | None]:
+    """From what :func:`sent` gives, for each document the number of its template in this batch, all fields of the
+    template and the value of each; null for one that has none."""
     coded = rules.dictionary_encode()
     templates = [_template(t) for t in coded.dictionary.to_pylist()]
-    parts = fields.flatten()
-    path, text, kind, items = (parts.field(k).to_pylist() for k in range(4))
+    numbers, lengths = coded.indices.to_pylist(), answers[0].value_lengths().to_pylist()
+    first = 0
+    while first < len(lengths):
+        ends = accumulate(lengths[first:])
+        some = max(1, next((n for n, end in enumerate(ends) if end > TAKEN_ANSWERS), len(lengths) - first))
+        yield from _documents(templates, numbers[first:first + some], lengths[first:first + some],
+                              *(a.slice(first, some).flatten() for a in answers))
+        first += some
+
+
+def _documents(
+    templates: list[list[Rule]], numbers: list[int | None], lengths: list[int],
+    paths: pa.Array, texts: pa.Array, more: pa.Array,
+) -> Iterator[tuple[int, list[Rule], list[Value]] | None]:
+    coded = paths.dictionary_encode()
+    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    values = [_value(*v) for v in zip(*(column.to_numpy(zero_copy_only=False).tolist() for column in (texts, more)))]
+    # Documents with the same paths find their values at the same places.
+    places: dict[tuple[int, bytes], list[int]] = {}
     at = 0
-    for template, length in zip(coded.indices.to_pylist(), fields.value_lengths().to_pylist()):
-        if length is None or template is None:
-            at += length or 0
+    for number, length in zip(numbers, lengths):
+        if number is None:
+            at += length
             yield None
             continue
-        place = {path[k]: k for k in range(at, at + length)}
+        template, own = templates[number], codes[at:at + length]
+        layout = number, own.tobytes()
+        found = places.get(layout)
+        if found is None:
+            place = {names[code]: k for k, code in enumerate(own)}
+            found = places[layout] = [place.get(rule.path, length) for rule in template]
+        given = [*values[at:at + length], _MISSING]
         at += length
-        found = ((rule, place.get(rule.path)) for rule in templates[template])
-        yield [(rule, Value() if k is None else Value(text[k], kind[k], items[k])) for rule, k in found]
+        yield number, template, [given[k] for k in found]
 
 
 # --- entries ---------------------------------------------------------------------------------
@@ -240,7 +307,7 @@ def checked(value: Value, rule: Rule) -> list[Entry]:
 
 
 def table_rows(value: Value, rule: Rule) -> list[Entry]:
-    rows = [_grid_row(i, rule) for i in value.each() or []]
+    rows = [_grid_row(r, rule) for r in value.rows()]
     listed = (
         f'{{{quoted(f"a{n}_{rule.key}")}:{quoted(code or "")},{quoted(f"b{n}_{rule.key}")}:{_EMPTY if about is None else about}}}'
         for n, (code, about) in enumerate(rows))
@@ -283,7 +350,7 @@ def ui_formatters(widget: Widget) -> dict[str, BatchFormatter]:
         return [Entry(f"{rule.key}__{n}", rule.key, rule.source_type, html, clean_code(i, rule)) for n, i in enumerate(chosen)]
 
     def grid(value: Value, rule: Rule) -> list[Entry]:
-        rows, out = value.each() or [], []
+        rows, out = value.rows(), []
         for n in range(rule.max_items or 0):
             code, about = _grid_row(rows[n], rule) if n < len(rows) else (None, None)
             for letter, part, shown in (("a", "entry", quoted(code)), ("b", "description", about)):
@@ -348,23 +415,27 @@ def _body(entries: list[tuple[Rule, Entry]], how: Packing) -> str:
 
 
 def packed(formatters: Mapping[str, BatchFormatter], how: Packing) -> Callable[..., Column]:
-    """Documents in a layout: ``(template_id as text, title, rules, answers, made in row) -> JSON text``."""
+    """Documents in a layout: ``(template_id as text, title, made in row as JSON text, sent) -> JSON text``."""
 
     @F.arrow_udf("string")
-    def pack(ids: pa.Array, titles: pa.Array, rules: pa.Array, fields: pa.Array, made: pa.Array) -> pa.Array:
+    def pack(
+        ids: pa.Array, titles: pa.Array, made: pa.Array,
+        rules: pa.Array, paths: pa.Array, texts: pa.Array, more: pa.Array,
+    ) -> pa.Array:
         out: list[str | None] = []
-        for number, title, document, extra in zip(ids.to_pylist(), titles.to_pylist(), documents(rules, fields), made.to_pylist()):
+        found = documents(rules, paths, texts, more)
+        for number, title, extra, document in zip(ids.to_pylist(), titles.to_pylist(), made.to_pylist(), found):
             if document is None:
                 out.append(None)
                 continue
-            own = {m["pos"]: m["made"] for m in extra or ()}
+            own = {m["pos"]: m["made"] for m in json.loads(extra)} if extra else {}
             entries: list[tuple[Rule, Entry]] = []
-            for rule, value in document:
+            for rule, value in zip(*document[1:]):
                 formatter = formatters.get(rule.source_type)
                 if formatter is not None:
                     entries += [(rule, e) for e in formatter(value, rule)]
                 elif rule.pos in own:
-                    entries += [(rule, Entry(**e)) for e in own[rule.pos]]
+                    entries += [(rule, Entry(*map(e.get, Entry._fields))) for e in own[rule.pos]]
             # Two fields with the same key share one place: the later one counts.
             last = {e.storage_key: n for n, (_, e) in enumerate(entries)}
             if len(last) < len(entries):
@@ -409,7 +480,7 @@ def _response(value: Value, rule: Rule, kinds: Kinds) -> tuple[str | None, str |
         return (text, None) if code is None else (code, text)
     if source in kinds.multi:
         listed = None
-        if value.kind.startswith("ARRAY"):
+        if value.kind == "ARRAY":
             listed = [i.text() for i in value.each() or [] if i.truthy]
         elif value.kind == "STRING":
             listed = [t for t in (part.strip() for part in text.split(",")) if t]
@@ -423,43 +494,77 @@ def _response(value: Value, rule: Rule, kinds: Kinds) -> tuple[str | None, str |
     return text, None
 
 
-def records(kinds: Kinds) -> Callable[[Column, Column], Column]:
-    """Nested sections of documents: ``(rules, answers) -> sections``."""
-    kind = pa.list_(pa.struct([
-        ("section_code", pa.string()),
-        ("assessment_question_groups", pa.list_(pa.struct([
-            ("group_number", pa.string()), ("group_title", pa.string()),
-            ("assessment_responses", pa.list_(pa.struct([
-                ("question_key", pa.string()), ("question_number", pa.string()), ("question_text", pa.string()),
-                ("responses", pa.list_(pa.struct([("response_value", pa.string()), ("response_text", pa.string())]))),
-            ]))),
-        ]))),
-    ]))
+class Skeleton:
+    """What the records of a template share: its sections, groups and questions in their order, column by column."""
+
+    def __init__(self, template: list[Rule], kinds: Kinds) -> None:
+        sections: dict[str, dict[str, tuple[str | None, list[int]]]] = {}
+        for place, rule in enumerate(template):
+            if len(rule.level_keys) <= 3:
+                continue
+            groups = sections.setdefault(rule.level_keys[1].split(".", 1)[0], {})
+            if rule.source_type not in kinds.grids:
+                groups.setdefault(rule.level_keys[3], (rule.group_title, []))[1].append(place)
+        laid = [group for groups in sections.values() for group in sorted(groups.items())]
+        self.codes, self.groups_in = [*sections], [len(groups) for groups in sections.values()]
+        self.numbers, self.titles = [number for number, _ in laid], [title for _, (title, _) in laid]
+        self.questions_in = [len(places) for _, (_, places) in laid]
+        #: The places of the questions among the fields of the template.
+        self.places = [place for _, (_, places) in laid for place in places]
+        asked = [template[place] for place in self.places]
+        self.keys, self.ids, self.names = [r.key for r in asked], [r.id for r in asked], [r.raw_name or "" for r in asked]
+
+
+def _repeated(tables: list[list], which: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The items of one table after the other, as ``which`` names them."""
+    start = np.cumsum([0, *map(len, tables)])
+    lengths = np.diff(start)[which]
+    at = np.repeat(start[:-1][which] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    return pa.array([item for table in tables for item in table], kind).take(pa.array(at, pa.int64()))
+
+
+def _lists(lengths: np.ndarray | pa.Array, items: pa.Array, mask: pa.Array | None = None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), items, mask=mask)
+
+
+def _structs(**columns: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([*columns.values()], [*columns])
+
+
+def records(kinds: Kinds) -> Callable[..., Column]:
+    """Nested sections of documents: ``(sent) -> sections``.
 
+    Only responses are made answer by answer; what the records of a template share is copied column by column.
+    """
     @F.arrow_udf(SECTIONS)
-    def make(rules: pa.Array, fields: pa.Array) -> pa.Array:
-        made: list[list | None] = []
-        for document in documents(rules, fields):
+    def make(rules: pa.Array, paths: pa.Array, texts: pa.Array, more: pa.Array) -> pa.Array:
+        skeletons: dict[int, Skeleton] = {}
+        used: list[int] = []
+        missing: list[bool] = []
+        shown: list[tuple[str | None, str | None]] = []
+        for document in documents(rules, paths, texts, more):
+            missing.append(document is None)
             if document is None:
-                made.append(None)
                 continue
-            sections: dict[str, dict[str, list]] = {}
-            for rule, value in document:
-                if len(rule.level_keys) <= 3:
-                    continue
-                groups = sections.setdefault(rule.level_keys[1].split(".", 1)[0], {})
-                if rule.source_type in kinds.grids:
-                    continue
-                shown, label = _response(value, rule, kinds)
-                title, questions = groups.setdefault(rule.level_keys[3], [rule.group_title, []])
-                questions.append({
-                    "question_key": rule.key, "question_number": rule.id, "question_text": rule.raw_name or "",
-                    "responses": [{"response_value": shown, "response_text": label}]})
-            made.append([
-                {"section_code": code, "assessment_question_groups": [
-                    {"group_number": number, "group_title": title, "assessment_responses": questions}
-                    for number, (title, questions) in sorted(groups.items())]}
-                for code, groups in sections.items()])
-        return pa.array(made, kind)
+            number, template, values = document
+            if number not in skeletons:
+                skeletons[number] = Skeleton(template, kinds)
+            used.append(number)
+            shown += [_response(values[place], template[place], kinds) for place in skeletons[number].places]
+        order = {number: n for n, number in enumerate(skeletons)}
+        which = np.array([order[number] for number in used], np.int64)
+
+        def laid(column: str, kind: pa.DataType = pa.string()) -> pa.Array:
+            return _repeated([getattr(s, column) for s in skeletons.values()], which, kind)
+
+        responses = _structs(response_value=pa.array([v for v, _ in shown], pa.string()), response_text=pa.array([t for _, t in shown], pa.string()))
+        questions = _structs(question_key=laid("keys"), question_number=laid("ids"), question_text=laid("names"),
+                             responses=_lists(np.ones(len(shown), np.int32), responses))
+        groups = _structs(group_number=laid("numbers"), group_title=laid("titles"),
+                          assessment_responses=_lists(laid("questions_in", pa.int32()), questions))
+        sections = _structs(section_code=laid("codes"), assessment_question_groups=_lists(laid("groups_in", pa.int32()), groups))
+        lengths = np.zeros(len(missing), np.int32)
+        lengths[~np.array(missing, bool)] = [len(skeletons[number].codes) for number in used]
+        return _lists(lengths, sections, pa.array(missing, pa.bool_()))
 
     return make.asNondeterministic()

@@ -89,11 +89,8 @@ def db_records(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     question that has a place in this layout is left out.
     """
     make = batches.records(batches.Kinds(frozenset(_SINGLE), frozenset(_MULTI), frozenset(_CHECK), frozenset(GRIDS)))
-    usable = F.when(F.col("trouble").isNull(), batches.answers(F.col("leaves")))
     shown = ["doc_id", "template_id", "table_title", "trouble", *keep]
-    # The explode of one item keeps the optimizer from moving lambdas into the arguments.
-    return lined.select(*shown, "rules_text", F.explode_outer(F.array(usable)).alias("_fields")).select(
-        *shown, make(F.col("rules_text"), F.col("_fields")).alias("sections"))
+    return batches.sent(lined, shown).select(*shown, make(*batches.SENT).alias("sections"))
 
 
 def with_metadata(

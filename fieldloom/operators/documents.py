@@ -304,13 +304,14 @@ def line_up(
     """
     kept = ["doc_id", "template_id", *keep]
     parsed = parse_documents(docs.select(*kept, doc), layout, doc).drop(doc)
-    contracts = contracts.withColumn("rules_text", rules_text(F.col("rules")))
+    # Whether there are rules is a column of its own, so that no document carries rules that nobody reads.
+    contracts = contracts.withColumns({"rules_text": rules_text(F.col("rules")), "_known": F.col("rules").isNotNull()})
     if list(columns) != RULE_COLUMNS:
         some = [c for c in RULE_COLUMNS if c in columns or c == "level_keys"]
         contracts = contracts.withColumn(
             "rules", F.transform_values("rules", lambda _, r: F.struct(*(r[c].alias(c) for c in some))))
     joined = lookup_join(parsed, contracts, ["template_id"], "left", **join)
-    trouble = F.when(F.col("rules").isNull(), "unknown template").when(
+    trouble = F.when(~F.coalesce("_known", F.lit(False)), "unknown template").when(
         F.col("leaves").isNull(), "unreadable"
     )
     usable = joined.select(

@@ -393,18 +393,15 @@ def reverse_map(
     formatters = formatter_set(name, sets)
     in_batches = {k: TWINS[f] for k, f in formatters.items() if f in TWINS}
     others = {k: f for k, f in formatters.items() if f not in TWINS}
-    no_entries = F.lit(None).cast(f"array<struct<pos:int,made:{_ENTRIES}>>")
-    made = batches.made_in_row(F.col("aligned"), lambda v, r: entries_of(v, r, others)) if others else no_entries
+    made = F.lit(None).cast("string")
+    if others:
+        made = F.to_json(batches.made_in_row(F.col("aligned"), lambda v, r: entries_of(v, r, others)))
     head = f"{batches.quoted(type_field[0])}:{batches.quoted(type_field[1])}" if type_field and all(type_field) else ""
     how = batches.Packing(group_as, properties_key, pack_properties_as == "object", pack_containers_as == "array", head,
                           title_field, id_field, state)
     pack = batches.packed(in_batches, how)
-    usable = F.when(F.col("trouble").isNull(), batches.answers(F.col("leaves")))
-    shown = ["doc_id", "template_id", "table_title", "trouble", "rules_text"]
-    # The explode of one item keeps the optimizer from moving lambdas into the arguments.
-    both = F.struct(usable.alias("fields"), made.alias("made"))
-    return lined.select(*shown, F.explode_outer(F.array(both)).alias("_a")).select(
+    shown = ["doc_id", "template_id", "table_title", "trouble", "_made"]
+    return batches.sent(lined.withColumn("_made", made), shown).select(
         "doc_id", "template_id",
-        pack(F.col("template_id").cast("string"), "table_title", "rules_text", "_a.fields", "_a.made").alias("result"),
-        "trouble",
+        pack(F.col("template_id").cast("string"), "table_title", "_made", *batches.SENT).alias("result"), "trouble",
     )

@@ -9,7 +9,7 @@ from fieldloom.plans.reconcile import keyed_pairs, reconcile
 from fieldloom.sources.files import parse_pairs
 from fieldloom.plans.layout import QUESTIONNAIRE
 from registry import query
-from registry.inputs import order_contracts, order_docs, table, tasks_for
+from registry.inputs import order_contracts, order_docs, table, with_records
 
 _FIELDS = ("status", "price", "priority")
 
@@ -155,11 +155,7 @@ def order_pair_texts(spark, sf):
 
     Two files in a row share their record now and then; some lack a part.
     """
-    # Joined while rows are narrow: the texts made of them are much larger, and need no shuffle of their own.
-    orders = table(spark, sf, "orders")
-    record_of = orders.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("_other"))
-    both = orders.repartition(tasks_for(orders), "o_orderkey").join(record_of, "o_orderkey")
-    docs = order_docs(spark, sf, both, keep=("_other.o_custkey", "_other.o_orderstatus"))
+    docs = order_docs(spark, sf, with_records(spark, sf), keep=("_other.o_custkey", "_other.o_orderstatus"))
     key = F.col("doc_id")
     record = F.when(key % 50 == 1, key - 1).otherwise(key)
     status = F.when(key % 3 == 0, F.concat(

@@ -44,6 +44,16 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(tasks_for(frame))
 
 
+def with_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order next to customer and state of each order with its key, as ``_other``.
+
+    Joined while rows are narrow: the texts made of them are much larger, and need no shuffle of their own.
+    """
+    orders = table(spark, sf, "orders")
+    record_of = orders.select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("_other"))
+    return orders.repartition(tasks_for(orders), "o_orderkey").join(record_of, "o_orderkey")
+
+
 # ------------------------------------------------------------------ one template per priority
 
 _QUESTION = (

@@ -11,7 +11,7 @@ from fieldloom.operators.db_layout import db_records, db_responses, with_metadat
 from fieldloom.operators.documents import FORMATTED_COLUMNS, align_documents, field_rows, line_up
 from fieldloom.plans.layout import QUESTIONNAIRE, SELECT_MORE, SELECT_ONE, TARGET_RULES
 from registry import query
-from registry.inputs import lined_orders, order_contracts, order_docs, order_flat, order_index, table
+from registry.inputs import lined_orders, order_contracts, order_docs, order_flat, order_index, table, with_records
 
 _ID = "cast(substr(o_orderpriority, 1, 1) as bigint)"
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -305,11 +305,8 @@ def _group_sql(section, number, title):
     from orders""",
 )
 def db_layout(spark, sf):
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderstatus"
-    )
-    docs = order_docs(spark, sf).join(orders, "doc_id")
     kept = ("o_custkey", "o_orderstatus")
+    docs = order_docs(spark, sf, with_records(spark, sf), keep=tuple(f"_other.{c}" for c in kept))
     lined = line_up(docs, order_contracts(spark, sf), QUESTIONNAIRE, keep=kept)
     records = with_metadata(
         db_records(lined, kept), F.col("doc_id"), F.col("o_custkey"),

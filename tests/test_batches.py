@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ ANSWERS = [
 
 @pytest.fixture(scope="module")
 def lined(spark):
+    return _lined(spark, ANSWERS)
+
+
+def _lined(spark, answers):
     options = [{"responseText": "<b>x</b> y", "responseValue": "X"}, {"responseText": "z", "responseValue": "Z\"1"},
                {"responseText": "z", "responseValue": "second"}, {"responseText": "w", "responseValue": None}]
     questions = [
@@ -55,7 +60,7 @@ def lined(spark):
             at[name] = "@"
         return json.dumps({"table_name": "All types", **tree}).replace('"@"', answer)
 
-    docs = [(i, 7, filled(a)) for i, a in enumerate(ANSWERS)]
+    docs = [(i, 7, filled(a)) for i, a in enumerate(answers)]
     docs += [(100, 7, '{"table_name": "All types", "sections": {}}'), (101, 8, filled("5")), (102, 7, "no JSON"), (103, 7, None)]
     frame = spark.createDataFrame(docs, "doc_id long, template_id long, doc string")
     return D.line_up(frame, contracts, QUESTIONNAIRE), D.align_documents(frame, contracts, QUESTIONNAIRE)
@@ -123,6 +128,53 @@ def test_no_lambda_formats_and_nothing_is_shuffled(lined):
     assert "ArrowEvalPython" in facts and "Exchange hashpartitioning" not in facts and "array_position" not in facts
 
 
+LISTS = [
+    '["z", null]', "[null]", "[true, null, false]", "[[1], null, []]", '[{"entry": "z", "description": 5.50}, null]', "[5.0, 5]", "[-1, null]",
+    '["z", -1.50, "x y"]', '["a\u2028,1", 2.0]', '["[1", "x,-2", "z"]', '[{"entry": 5.0}, 2]', '[{"entry": [1.50, "z"]}]', "[1e20, true]",
+]
+
+
+def test_lists_equal_columns(spark):
+    """Items of lists whose JSON text tells their types, and of those that need the types beside it."""
+    lines, aligned = _lined(spark, LISTS)
+    for name in ("ui", "default"):
+        long = R.format_fields(D.field_rows(aligned), name).orderBy("doc_id", "pos", "item").collect()
+        want = {k: listed(v) for k, v in by_document(long).items()}
+        got = {r["doc_id"]: r["result"] for r in R.reverse_map(lines, name, group_as=None, properties_key="p", id_field=None, type_field=None).collect()}
+        for k, text in enumerate(LISTS):
+            assert got[k] == '{"assessment_title":"All types","data":[{"p":' + want[k] + "}]}", text
+    shown = {(r["doc_id"], r["question_key"], r["response_value"], r["response_text"]) for r in L.db_responses(D.field_rows(aligned)).collect()}
+    made = {(r["doc_id"], a["question_key"], *a["responses"][0]) for r in L.db_records(lines).collect() for s in r["sections"] or []
+            for g in s["assessment_question_groups"] for a in g["assessment_responses"]}
+    assert made == shown
+
+
+def test_what_is_sent_has_no_nested_and_no_null_lists(lined):
+    """Spark walks over null lists, and over those within lists, after every row of an Arrow batch."""
+    sent = batches.sent(lined[0], ["doc_id"])
+    assert {f.dataType.simpleString() for f in sent.schema["_sent"].dataType} == {"string", "array<string>"}
+    rows = {r["doc_id"]: r["_sent"] for r in sent.collect()}
+    assert {k for k, r in rows.items() if r["rules"] is None} == {101, 102, 103}
+    for r in rows.values():
+        assert len(r["paths"]) == len(r["texts"]) == len(r["more"])
+    assert rows[101]["paths"] == [] and len(rows[0]["paths"]) == len(KINDS)
+    facts = L.db_records(lined[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rules_text" in facts and "map_zip_with" not in facts
+
+
+def test_documents_of_several_templates_in_small_parts(lined, monkeypatch):
+    """Documents of several templates, some without a record, in parts that Arrow hands out one by one."""
+    rows = batches.sent(lined[0], ["doc_id"]).orderBy("doc_id").select("_sent.*").toArrow().combine_chunks()
+    columns = [rows.column(c).chunk(0) for c in ("rules", "paths", "texts", "more")]
+    rules = [None if t is None else t if i % 3 else t.replace('"B.1', '"C.1') for i, t in enumerate(columns[0].to_pylist())]
+    columns[0] = pa.array(rules, pa.string())
+    whole = list(batches.documents(*columns))
+    monkeypatch.setattr(batches, "TAKEN_ANSWERS", 20)
+    parts = list(batches.documents(*columns))
+    shown = lambda found: [d and (d[0], [r.path for r in d[1]], d[2]) for d in found]
+    assert shown(parts) == shown(whole) and len({d[0] for d in whole if d}) == 2 and None in whole
+
+
 def test_values_are_written_as_spark_writes_them(spark):
     texts = ['a"b\\c', "\x01\x1f\x7f\b\f\n\r\t/é ", "", "plain"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.to_json(F.array("t")).alias("j")).collect()

@@ -41,3 +41,27 @@ def test_long_form(spark, folder, name):
     assert len(got) >= 300
     assert sorted(got.columns) == sorted(want.columns)
     assert check.rows_of(got) == check.rows_of(want)
+
+
+@pytest.mark.parametrize("name", ["flat_result", "db_layout", "read_pairs", "group_sections"])
+def test_whole_documents(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+    got = queries()[name](spark, folder).toPandas()
+    want = con.execute(oracle_sql()[name]).df()
+    assert len(got) == 499
+    assert check.rows_of(got) == check.rows_of(want)
+
+
+def test_db_layout_joins_before_documents_are_made(spark, folder):
+    """A join behind the making of documents shuffles their texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()["db_layout"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    shuffles = [n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    made = max(n for n, line in enumerate(lines) if "Clerk notes" in line)
+    assert shuffles and min(shuffles) > made
