@@ -115,8 +115,8 @@ def read_templates_query(spark, sf):
 def read_pairs_query(spark, sf):
     """Record pairs written one per line and read back, good ones with what they hold and others with the reason."""
     path = shared_folder(spark, "pairs")
-    order_pair_texts(spark, sf).select(F.col("doc").alias("value")).write.text(path)
-    usable, left_out = read_pairs(spark, path, glob="*.txt", one_per_line=True)
+    order_pair_texts(spark, sf).select(F.col("doc").alias("value")).write.text(path, compression="gzip")
+    usable, left_out = read_pairs(spark, path, glob="*.txt.gz", one_per_line=True)
     responses = F.flatten(F.flatten(F.transform(
         "stored.sections", lambda s: F.transform(s["assessment_question_groups"], lambda g: g["assessment_responses"]))))
     answers = F.transform(responses, lambda r: F.concat(

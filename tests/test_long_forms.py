@@ -6,9 +6,12 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import check
 from __spark_entry__ import oracle_sql, queries
+from registry import file_queries
+from registry.compare_queries import order_pair_texts
 
 STATES = ["F", "O", "P"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -65,3 +68,11 @@ def test_db_layout_joins_before_documents_are_made(spark, folder):
     shuffles = [n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line]
     made = max(n for n, line in enumerate(lines) if "Clerk notes" in line)
     assert shuffles and min(shuffles) > made
+
+
+def test_pair_files_are_packed(spark, folder, tmp_path, monkeypatch):
+    """The texts of record pairs are much larger than the tables, and lie on disk until they are read."""
+    monkeypatch.setattr(file_queries, "shared_folder", lambda spark, name: str(tmp_path / name))
+    assert queries()["read_pairs"](spark, folder).count() == 499
+    text = order_pair_texts(spark, folder).agg(F.sum(F.octet_length("doc") + 1)).first()[0]
+    assert 0 < 2 * sum(f.stat().st_size for f in (tmp_path / "pairs").glob("part-*")) < text
