@@ -145,6 +145,10 @@ class Value(NamedTuple):
             return [_value(rendered(i)) for i in parsed(self.json)]
         return [_value(i.get("json"), i.get("kind")) for i in json.loads(self.items)]
 
+    def strings(self) -> list[str | None]:
+        """The texts of a list; null for an item that is none."""
+        return [i if type(i) is str else None for i in parsed(self.json)] if self.kind == "ARRAY" else []
+
     def rows(self) -> list[dict[str, Any]]:
         """The objects of a list; an item that is none has no entries."""
         return [i if isinstance(i, dict) else {} for i in parsed(self.json)] if self.kind == "ARRAY" else []
@@ -155,7 +159,7 @@ def _value(text: str | None, more: str | None = None) -> Value:
     if text is None:
         return _MISSING
     kind = _KINDS.get(text[0])
-    return Value(text, more) if kind is None else Value(text, kind, more if kind == "ARRAY" else None)
+    return Value(text, kind, more) if kind is not None else Value(text, more)
 
 
 _MISSING = Value()
@@ -298,7 +302,7 @@ def coded(label: str) -> BatchFormatter:
 
 
 def code_list(value: Value, rule: Rule) -> list[Entry]:
-    codes = [c for c in (rule.code(i.string()) for i in value.each() or []) if c is not None]
+    codes = [c for c in map(rule.code, value.strings()) if c is not None]
     return _plain(rule, "multi", "[" + ",".join(map(quoted, codes)) + "]" if codes else None)
 
 
@@ -309,7 +313,7 @@ def checked(value: Value, rule: Rule) -> list[Entry]:
 def table_rows(value: Value, rule: Rule) -> list[Entry]:
     rows = [_grid_row(r, rule) for r in value.rows()]
     listed = (
-        f'{{{quoted(f"a{n}_{rule.key}")}:{quoted(code or "")},{quoted(f"b{n}_{rule.key}")}:{_EMPTY if about is None else about}}}'
+        f'{{{_cell("a", n, rule.key)}:{quoted(code or "")},{_cell("b", n, rule.key)}:{_EMPTY if about is None else about}}}'
         for n, (code, about) in enumerate(rows))
     return _plain(rule, "table", "[" + ",".join(listed) + "]") if rows else []
 
@@ -317,6 +321,12 @@ def table_rows(value: Value, rule: Rule) -> list[Entry]:
 _EMPTY = '""'
 
 
+@lru_cache(1 << 16)
+def _cell(letter: str, place: int, key: str) -> str:
+    """The name of a cell of a grid, as JSON."""
+    return quoted(f"{letter}{place}_{key}")
+
+
 def omitted(value: Value, rule: Rule) -> list[Entry]:
     return []
 
@@ -423,17 +433,21 @@ def packed(formatters: Mapping[str, BatchFormatter], how: Packing) -> Callable[.
         rules: pa.Array, paths: pa.Array, texts: pa.Array, more: pa.Array,
     ) -> pa.Array:
         out: list[str | None] = []
+        chosen: dict[int, list[BatchFormatter | None]] = {}
         found = documents(rules, paths, texts, more)
         for number, title, extra, document in zip(ids.to_pylist(), titles.to_pylist(), made.to_pylist(), found):
             if document is None:
                 out.append(None)
                 continue
             own = {m["pos"]: m["made"] for m in json.loads(extra)} if extra else {}
+            template, fields, values = document
+            if template not in chosen:
+                chosen[template] = [formatters.get(r.source_type) for r in fields]
             entries: list[tuple[Rule, Entry]] = []
-            for rule, value in zip(*document[1:]):
-                formatter = formatters.get(rule.source_type)
+            for rule, value, formatter in zip(fields, values, chosen[template]):
                 if formatter is not None:
-                    entries += [(rule, e) for e in formatter(value, rule)]
+                    for e in formatter(value, rule):
+                        entries.append((rule, e))
                 elif rule.pos in own:
                     entries += [(rule, Entry(*map(e.get, Entry._fields))) for e in own[rule.pos]]
             # Two fields with the same key share one place: the later one counts.

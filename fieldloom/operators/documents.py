@@ -127,7 +127,6 @@ def parse_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -
     content = f"_doc.{_quoted(layout.root_array)}"
     opened = docs.withColumn("_doc", F.from_json(F.col(doc), schema, options)).withColumns(
         {
-            "_keys": F.json_object_keys(F.col(doc)),
             "_leaves": _flat(layout, content, depth, True),
         }
     )
@@ -141,15 +140,17 @@ def parse_documents(docs: DataFrame, layout: TemplateLayout, doc: str = "doc") -
         f"from_json({_quoted(doc)}, {_text(head)}).{_quoted(layout.root_array)}", not layout.levels
     )
     name = _text(layout.root_array)
+    # The keys are read where they are needed, which for most callers is in documents that aren't well-formed.
+    keys = F.json_object_keys(F.col(doc))
     step_by_step = F.expr(
-        f"concat(case when array_contains(_keys, {name}) then "
+        f"concat(case when array_contains(json_object_keys({_quoted(doc)}), {name}) then "
         f"array({_container(name, f'{outer} is not null')}) else {_NONE} end, "
         f"{_walk(layout, 0, outer, name)})"
     )
     split = opened.select(
-        *docs.columns, "_keys", "_leaves", sound.alias("_sound"),
+        *docs.columns, keys.alias("_keys"), "_leaves", sound.alias("_sound"),
         F.when(sound, paths).alias("_paths"),
-        F.when(~sound & F.col("_keys").isNotNull(), step_by_step).alias("_nodes"),
+        F.when(~sound & keys.isNotNull(), step_by_step).alias("_nodes"),
         F.when(sound, F.col("_doc").getField(TABLE_NAME))
         .otherwise(heads.getField(TABLE_NAME)).alias("named"),
     )
