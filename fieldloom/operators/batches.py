@@ -169,8 +169,12 @@ class _Number(str):
     """A number as it is written."""
 
 
-#: JSON with its numbers as they are written.
-parsed: Callable[[str], Any] = json.JSONDecoder(parse_int=_Number, parse_float=_Number).decode
+_DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number)
+
+
+def parsed(text: str) -> Any:
+    """JSON with its numbers as they are written."""
+    return _DECODER.decode(text)
 
 
 def rendered(value: Any) -> str:
